@@ -23,22 +23,22 @@ def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] = ()
     marks = [m for p in sorted_probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]),
                                  F.lit(accuracy))
-    brackets = rows.groupBy(*by).agg(sketch.alias("_m"), F.count(F.lit(1)).alias("_n"))
+    brackets = rows.groupBy(*by).agg(sketch.alias("_marks"), F.count(F.lit(1)).alias("_cnt"))
     if by:
         joined = rows.alias("r").join(
             brackets.alias("b"),
             F.expr(" AND ".join(f"r.`{k}` <=> b.`{k}`" for k in by))
-        ).select(*[f"r.{k}" for k in by], "_v", "_m", "_n")
+        ).select(*[f"r.{k}" for k in by], "_v", "_marks", "_cnt")
     else:
         joined = attach_row(rows, brackets)
     slot = F.when(F.lit(False), F.lit(0))
     for i in range(len(sorted_probs)):
-        lo, hi = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]
+        lo, hi = F.col("_marks")[2 * i], F.col("_marks")[2 * i + 1]
         slot = slot.when(F.col("_v") < lo, 2 * i).when(F.col("_v") <= hi, 2 * i + 1)
     slot = slot.otherwise(2 * len(sorted_probs))
     counted = (joined.withColumn("_slot", slot)
                .withColumn("_key", F.when(F.col("_slot") % 2 == 1, F.col("_v")))
-               .groupBy(*by, "_n", "_slot", "_key").agg(
+               .groupBy(*by, "_cnt", "_slot", "_key").agg(
                    F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"),
                    F.max("_v").alias("_max")))
     w = Window.partitionBy(*by).orderBy("_slot", "_key").rowsBetween(
@@ -54,15 +54,15 @@ def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] = ()
 
     picks, values = [], {}
     for i, p in enumerate(sorted_probs):
-        position = (F.col("_n") - 1) * F.lit(p)
+        position = (F.col("_cnt") - 1) * F.lit(p)
         low = F.floor(position)
         picks += [at_rank(low).alias(f"_lo{i}"), at_rank(F.ceil(position)).alias(f"_hi{i}")]
         lo, hi, frac = F.col(f"_lo{i}"), F.col(f"_hi{i}"), position - low
         exact = F.when(lo.isNull() | hi.isNull(), F.raise_error(
             F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
         values[order[i]] = exact.otherwise(lo * (1 - frac) + hi * frac)
-    return (ranked.groupBy(*by, "_n").agg(*picks)
-            .select(*by, F.col("_n").alias("n"),
+    return (ranked.groupBy(*by, "_cnt").agg(*picks)
+            .select(*by, F.col("_cnt").alias("n"),
                     F.array(*[values[i] for i in range(len(probs))]).alias(name)))
 
 

@@ -390,7 +390,8 @@ def choose_m(draws: DataFrame, powers: list[float], by: list[str] = TEST) -> Dat
     nxt = keyed.withColumn("m_index", F.col("m_index") - 1).where("m_index >= 0")
     prev = keyed.where(F.col("m_index") < len(powers) - 1)
     ks = ks_distance(prev, nxt, [*by, "m_index"])
-    best = F.min(F.struct("ks", "m_index"))
+    # equal distances differ in the last bit; rounding lets the smaller index win
+    best = F.min(F.struct(F.round("ks", 9).alias("ks"), "m_index"))
     return ks.groupBy(*by).agg(best.alias("_b")).select(
         *by, F.col("_b.m_index").alias("m_index"),
         F.element_at(F.array(*[F.lit(p) for p in powers]), F.col("_b.m_index") + 1)

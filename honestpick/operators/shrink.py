@@ -10,7 +10,8 @@ from honestpick.functions.lineage import cut_lineage
 from honestpick.operators.bootstrap import numbered
 from honestpick.operators.effects import TEST, select_winner
 
-MAX_BINS = 5_000     # histogram bins one spline fit may hold
+MAX_BINS = 5_000             # histogram bins one spline fit may hold
+BROADCAST_GROUPS = 100_000   # groups up to which EM parameters are broadcast
 
 
 # --- plug-in, two arms (C1, C2) -----------------------------------------------------------
@@ -252,25 +253,34 @@ def spike_slab_fit(effects: DataFrame, over: list[str], pi: float = 0.5, max_ite
         params = params.withColumn(f"{old}_last", F.col(old))
     noise = F.col("var") * F.col("var") if compat else F.col("var")
 
+    params = cut_lineage(params)
+    if params.count() <= BROADCAST_GROUPS:      # a few numbers per group, counted first
+        send = F.broadcast
+    else:
+        def send(p):
+            return p
+    state = ["pi", "mu0", "tau2", "pi_last", "mu0_last", "tau2_last", "change"]
+
     def step(p):
-        w = slim.join(p, key).withColumn("_r", _slab_weight())
-        sums = w.groupBy(*key).agg(
+        # the old parameters ride along as grouping keys, so a step reads `p` once
+        sums = slim.join(send(p), key).withColumn("_r", _slab_weight()).groupBy(
+            *key, *state).agg(
             F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"),
             F.sum(F.col("_r") * F.col("effect")).alias("_sx"),
             F.sum(F.col("_r") * F.col("effect") * F.col("effect")).alias("_sxx"),
             F.sum(F.col("_r") * noise).alias("_sv"))
         mu = F.when(F.col("_s") > 0, F.col("_sx") / F.col("_s")).otherwise(F.lit(0.0))
-        new = sums.select(*key, (1 - F.col("_s") / F.col("_n")).alias("_pi"), mu.alias("_mu0"),
-                          F.greatest(F.lit(1e-6), F.coalesce(F.try_divide(
-                              F.col("_sxx") - 2 * mu * F.col("_sx") + mu * mu * F.col("_s")
-                              - F.col("_sv"), F.col("_s")), F.lit(0.0))).alias("_tau2"))
+        tau2 = F.greatest(F.lit(1e-6), F.coalesce(F.try_divide(
+            F.col("_sxx") - 2 * mu * F.col("_sx") + mu * mu * F.col("_s") - F.col("_sv"),
+            F.col("_s")), F.lit(0.0)))
+        new = sums.select(*key, *state, (1 - F.col("_s") / F.col("_n")).alias("_pi"),
+                          mu.alias("_mu0"), tau2.alias("_tau2"))
         live = F.col("change") >= tol
-        moved = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(c)) for c in ("pi", "mu0", "tau2")])
-        return p.join(new, key).select(*key, *[
-            F.when(live, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-            for c in ("pi", "mu0", "tau2")], *[
-            F.when(live, F.col(c)).otherwise(F.col(f"{c}_last")).alias(f"{c}_last")
-            for c in ("pi", "mu0", "tau2")],
+        moved = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(c)) for c in state[:3]])
+        return new.select(
+            *key, *[F.when(live, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in state[:3]],
+            *[F.when(live, F.col(c)).otherwise(F.col(f"{c}_last")).alias(f"{c}_last")
+              for c in state[:3]],
             F.when(live, moved).otherwise(F.col("change")).alias("change"))
 
     done = 0

@@ -35,7 +35,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def load_all() -> dict[str, Query]:
-    from honestpick.plans import (queries_arms,  # noqa: F401
-                                  queries_bootstrap, queries_effects, queries_sources, queries_splits
-                                  )
+    from importlib import import_module
+    for part in ("arms", "effects", "sources", "bootstrap", "splits", "shrink", "selective"):
+        import_module(f"honestpick.plans.queries_{part}")
     return CATALOG
