@@ -289,7 +289,7 @@ def spike_slab_fit(effects: DataFrame, over: list[str], pi: float = 0.5, max_ite
             params = step(params)
             done += 1
         params = cut_lineage(params)
-        if params.where(F.col("change") >= tol).isEmpty():
+        if params.agg(F.max("change")).first()[0] < tol:
             break
     return params if over else params.drop("_all")
 

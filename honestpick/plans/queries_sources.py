@@ -75,21 +75,7 @@ def _(spark, sf):
     return SR.run_incremental(a, estimate, path, sig).drop("signature")
 
 
-def _errors(spark, sf):
-    """Long result table from orders: setting = status, repeat = day, three estimators."""
-    o = R.priority_rows(spark, sf).join(
-        R.table(spark, sf, "orders").select(
-            F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("setting"),
-            F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
-            .alias("repeat")), "row_id")
-    truth = F.lit(250.0)
-    means = o.groupBy("setting", "repeat").agg(
-        F.avg("spend").alias("none"), F.max("spend").alias("split"),
-        F.min("spend").alias("standard"))
-    return means.unpivot(["setting", "repeat"], ["none", "split", "standard"], "estimator",
-                         "val_est").select(
-        "setting", "repeat", "estimator", "val_est", truth.alias("val_true"),
-        (F.col("val_est") - truth).alias("wc"))
+_errors = R.error_table
 
 
 _ERR = dict(err_wide="""

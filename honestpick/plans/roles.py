@@ -43,6 +43,46 @@ def raw_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "created_at")
 
 
+def supplier_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests with two to seven arms: suppliers are tests, line numbers fold into the arms."""
+    test = F.col("l_suppkey")
+    arm = F.least(F.col("l_linenumber").cast("bigint"), 2 + test % 6)
+    line = table(spark, sf_dir, "lineitem")
+    return (line.groupBy(test.alias("supplier"), arm.alias("source_row_id"))
+            .agg(F.count(F.lit(1)).alias("impressions"),
+                 F.count_if(F.col("l_returnflag") == "R").alias("clicks"),
+                 F.min("l_shipdate").alias("created_at"))
+            .select(F.concat(F.lit("S"), "supplier").alias("test_id"),
+                    F.when(F.col("supplier") % 10 < 4, "exploratory")
+                     .when(F.col("supplier") % 10 < 7, "confirmatory")
+                     .otherwise("holdout").alias("split"),
+                    "source_row_id", "impressions", "clicks",
+                    F.when(F.col("impressions") % 3 == 0, "T").alias("first_place"),
+                    F.when(F.col("clicks") % 2 == 0, " Yes ").otherwise("no").alias("winner"),
+                    "created_at"))
+
+
+def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every supplier test."""
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("test_id"), F.col("s_nationkey").alias("nation"))
+
+
+def error_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long result table: setting = order status, repeat = day, truth 250, three estimators."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("setting"),
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+        .alias("repeat"), (F.col("o_totalprice") / PRICE_UNIT).alias("spend"))
+    means = o.groupBy("setting", "repeat").agg(
+        F.avg("spend").alias("none"), F.max("spend").alias("split"),
+        F.min("spend").alias("standard"))
+    return means.unpivot(["setting", "repeat"], ["none", "split", "standard"], "estimator",
+                         "val_est").select(
+        "setting", "repeat", "estimator", "val_est", F.lit(250.0).alias("val_true"),
+        (F.col("val_est") - 250.0).alias("wc"))
+
+
 def many_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small tests: segment and year, arm = order priority, click = finished order."""
     o = order_rows(spark, sf_dir)

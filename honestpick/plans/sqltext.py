@@ -134,10 +134,23 @@ _NEEDS = {"arms": ["raw_arms"], "many": ["rows_"], "effects": ["arms"],
           "est": ["records", "eb"]}
 
 
-def with_(*names: str, **own: str) -> str:
+SUPPLIER_ARMS = """
+  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS test_id,
+    CASE WHEN l_suppkey % 10 < 4 THEN 'exploratory' WHEN l_suppkey % 10 < 7 THEN 'confirmatory'
+         ELSE 'holdout' END AS split,
+    least(CAST(l_linenumber AS BIGINT), 2 + l_suppkey % 6) AS source_row_id,
+    count(*) AS impressions, count(*) FILTER (WHERE l_returnflag = 'R') AS clicks,
+    CASE WHEN count(*) % 3 = 0 THEN 'T' END AS first_place,
+    CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') % 2 = 0 THEN ' Yes ' ELSE 'no' END
+      AS winner,
+    min(l_shipdate) AS created_at
+  FROM lineitem GROUP BY l_suppkey, least(CAST(l_linenumber AS BIGINT), 2 + l_suppkey % 6)"""
+
+
+def with_(*names: str, raw: str | None = None, **own: str) -> str:
     """WITH clause: the named blocks and what they need, then own blocks in order.
 
-    Ends ready for the final SELECT.
+    `raw` replaces the arm table all arm-level blocks start from.
     """
     out: list[str] = []
 
@@ -149,7 +162,8 @@ def with_(*names: str, **own: str) -> str:
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({CTES[n]})" for n in out] + [f"{k} AS ({v})" for k, v in own.items()]
+    text = {**CTES, **({"raw_arms": raw} if raw else {})}
+    parts = [f"{n} AS ({text[n]})" for n in out] + [f"{k} AS ({v})" for k, v in own.items()]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
