@@ -44,28 +44,36 @@ def numbered(rows: DataFrame, by: list[str], arm: str, row_key: str) -> DataFram
                          hex_bucket("_h")).drop("_h")
 
 
-def index_draws(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str = "arm",
-                value: str = "y", row_key: str = "row_id", powers: list[float] | None = None,
-                seed: int = 42, salt: str = "moon", fast: bool = False) -> DataFrame:
-    """Exact resampling with replacement: n rows per arm, or floor(n^power) per power.
-
-    The first m positions of an arm act as the m slots of a draw; each slot hashes to a
-    position and fetches that row by an equi-join on (by, arm, position), whose keys are
-    spread evenly even when one arm holds most rows.  With `powers` a `power` key is added.
+def index_rows(rows: DataFrame, draws: int, strata: list[str], carry: list[str],
+               row_key: str = "row_id", powers: list[float] | None = None, seed: int = 42,
+               salt: str = "moon", fast: bool = False) -> DataFrame:
+    """Rows drawn with replacement: n per stratum and draw, or floor(n^power) per power.
+
+    The first m positions of a stratum act as the m slots of a draw; each slot hashes to a
+    position and fetches that row by an equi-join on (strata, position), whose keys are
+    spread evenly even when one stratum holds most rows.  With `powers` a `power` key is added.
     """
-    num = numbered(rows.select(*by, arm, row_key, value), by, arm, row_key)
-    slots = num.select(*by, arm, "pos", "n")
-    keys = [*by, arm, "pos", "draw"]
-    out_keys = list(by)
+    num = numbered(rows.select(*strata, row_key, *carry), strata[:-1], strata[-1], row_key)
+    slots = num.select(*strata, "pos", "n")
+    keys = [*strata, "pos", "draw"]
+    power_key = []
     if powers is not None:
         slots = (slots.withColumn("power", F.explode(F.array(*[F.lit(p) for p in powers])))
                  .where(F.col("pos") < F.floor(F.pow("n", "power"))))
         keys.append((F.col("power") * 1000).cast("int"))
-        out_keys.append("power")
+        power_key = ["power"]
     slots = D.with_draws(slots, draws).select(
-        *out_keys, arm, "draw", (D.hash48(keys, seed, salt, fast) % F.col("n")).alias("pos"))
-    fetched = slots.join(num.select(*by, arm, "pos", value), [*by, arm, "pos"])
-    return fetched.groupBy(*out_keys, arm, "draw").agg(
+        *strata, *power_key, "draw",
+        (D.hash48(keys, seed, salt, fast) % F.col("n")).alias("pos"))
+    return slots.join(num.select(*strata, "pos", *carry), [*strata, "pos"]).drop("pos")
+
+
+def index_draws(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str = "arm",
+                value: str = "y", row_key: str = "row_id", powers: list[float] | None = None,
+                seed: int = 42, salt: str = "moon", fast: bool = False) -> DataFrame:
+    """(by..., [power,] arm, draw, n, effect): means of exact resamples within the arm."""
+    drawn = index_rows(rows, draws, [*by, arm], [value], row_key, powers, seed, salt, fast)
+    return drawn.groupBy(*by, *(["power"] if powers is not None else []), arm, "draw").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("effect"))
 
 

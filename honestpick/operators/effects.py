@@ -117,30 +117,36 @@ def add_snr(top: DataFrame) -> DataFrame:
 
 
 def test_records(arms: DataFrame) -> DataFrame:
-    """One record per test: totals, the picked arm, its runner-up, gap and ties."""
-    totals = arms.groupBy("test_id").agg(
-        F.min("split").alias("split"), F.count(F.lit(1)).alias("n_arms"),
-        F.sum("impressions").alias("total_impressions"), F.sum("clicks").alias("total_clicks"),
-        F.min("impressions").alias("min_arm_impressions"),
-        F.max("impressions").alias("max_arm_impressions"),
-        (F.sum("clicks") / F.sum("impressions")).alias("pooled_rate"))
-    effects = arms.withColumn("effect", F.col("rate"))
-    pick = select_winner(effects, arm="arm_ordinal", tie="source_row_id").select(
-        "test_id", F.col("arm_ordinal").alias("selected_arm"), "ties")
+    """One record per test: totals, the picked arm, its runner-up, gap and ties.
+
+    Totals, ties and the pick come from one two-level aggregate (equal rates folded first);
+    the runner-up from a rank filter that Spark applies before its shuffle.
+    """
+    n, c = F.col("impressions"), F.col("clicks")
+    first = F.min(F.struct(
+        F.col("source_row_id").alias("selected_source_row_id"),
+        F.col("arm_ordinal").alias("selected_arm"), n.alias("selected_impressions"),
+        c.alias("selected_clicks"), F.col("winner").alias("selected_winner"),
+        F.col("first_place").alias("selected_first_place")))
+    folded = arms.groupBy("test_id", "rate").agg(
+        first.alias("_first"), F.count(F.lit(1)).alias("ties"), F.min("split").alias("split"),
+        F.sum(n).alias("_n"), F.sum(c).alias("_c"), F.min(n).alias("_lo"), F.max(n).alias("_hi"))
+    totals = folded.groupBy("test_id").agg(
+        F.min("split").alias("split"), F.sum("ties").alias("n_arms"),
+        F.sum("_n").alias("total_impressions"), F.sum("_c").alias("total_clicks"),
+        F.min("_lo").alias("min_arm_impressions"), F.max("_hi").alias("max_arm_impressions"),
+        F.max(F.struct(F.col("rate").alias("naive"), "ties", "_first")).alias("_w"))
     w = Window.partitionBy("test_id").orderBy(F.col("rate").desc(), "source_row_id")
-    two = (arms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
-           .groupBy("test_id").agg(
-               F.max(F.when(F.col("_r") == 1, F.struct(
-                   F.col("source_row_id").alias("selected_source_row_id"),
-                   F.col("impressions").alias("selected_impressions"),
-                   F.col("clicks").alias("selected_clicks"),
-                   F.col("rate").alias("naive"),
-                   F.col("winner").alias("selected_winner"),
-                   F.col("first_place").alias("selected_first_place")))).alias("_w"),
-               F.max(F.when(F.col("_r") == 2, F.col("rate"))).alias("runner_up")))
-    return (totals.join(pick, "test_id").join(two, "test_id")
-            .select(*totals.columns, "selected_arm", "_w.*", "runner_up",
-                    (F.col("_w.naive") - F.col("runner_up")).alias("gap"), "ties"))
+    second = (arms.select("test_id", "rate", "source_row_id")
+              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
+              .groupBy("test_id").agg(F.max(F.when(F.col("_r") == 2, F.col("rate")))
+                                      .alias("runner_up")))
+    return totals.join(second, "test_id").select(
+        "test_id", "split", "n_arms", "total_impressions", "total_clicks",
+        "min_arm_impressions", "max_arm_impressions",
+        (F.col("total_clicks") / F.col("total_impressions")).alias("pooled_rate"),
+        "_w._first.*", "_w.naive", "runner_up",
+        (F.col("_w.naive") - F.col("runner_up")).alias("gap"), "_w.ties")
 
 
 def distribution_rule(effects: DataFrame, draws: int, by: list[str] = TEST,

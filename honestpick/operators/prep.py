@@ -102,23 +102,42 @@ def _attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     return df.join(small, by, "left") if by else attach_row(df, small)
 
 
-def quantile_bin(df: DataFrame, c: str, q: int, by: list[str] = (), clip=None,
-                 name: str | None = None, drop_dup: bool = True) -> DataFrame:
-    """1-based equal-probability bin, right-closed, lowest value included."""
-    by, name = list(by), name or f"{c}_bin"
-    x = F.col(c).cast("double")
-    if clip is not None:
-        x = F.greatest(F.lit(float(clip[0])), F.least(F.lit(float(clip[1])), x))
-    df = df.withColumn("_x", x)
-    edges = exact_quantiles(df, "_x", [i / q for i in range(q + 1)], by, name="_edges")
+def quantile_bins(df: DataFrame, bins: dict[str, str], q: int, by: list[str] = (),
+                  clip=None, drop_dup: bool = True) -> DataFrame:
+    """{new column: source}: 1-based equal-probability bins, right-closed, lowest included.
+
+    All columns share one quantile computation, which reads `df` twice; the bins themselves
+    are added to a third reading, so save an expensive `df` first.
+    """
+    by, names = list(by), list(bins)
+    xs = {}
+    for n, c in bins.items():
+        x = F.col(c).cast("double")
+        xs[f"_x_{n}"] = x if clip is None else F.greatest(
+            F.lit(float(clip[0])), F.least(F.lit(float(clip[1])), x))
+    df = df.withColumns(xs)
+    stacked = df.select(*by, *xs).unpivot(by, list(xs), "_measure", "_value")
+    edges = exact_quantiles(stacked, "_value", [i / q for i in range(q + 1)],
+                            [*by, "_measure"], name="_edges")
     if drop_dup:
         edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
-    above = F.filter(inner, lambda e: F.col("_x") > e)
-    return (_attach(df, edges.drop("n"), by)
-            .withColumn(name, F.when(F.col("_x").isNotNull() & (F.size("_edges") > 1),
-                                     F.size(above) + 1))
-            .drop("_x", "_edges"))
+    wide = edges.groupBy(*by).agg(*[F.first(F.when(
+        F.col("_measure") == f"_x_{n}", F.col("_edges")), ignorenulls=True).alias(f"_e_{n}")
+        for n in names])
+    out = _attach(df, wide, by)
+
+    def bin_of(n):
+        x, e = F.col(f"_x_{n}"), F.col(f"_e_{n}")
+        inner = F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0)))
+        return F.when(x.isNotNull() & (F.size(e) > 1),
+                      F.size(F.filter(inner, lambda v: x > v)) + 1)
+    return out.withColumns({n: bin_of(n) for n in names}).drop(
+        *xs, *[f"_e_{n}" for n in names])
+
+
+def quantile_bin(df: DataFrame, c: str, q: int, by: list[str] = (), clip=None,
+                 name: str | None = None, drop_dup: bool = True) -> DataFrame:
+    return quantile_bins(df, {name or f"{c}_bin": c}, q, by, clip, drop_dup)
 
 
 def unit_columns(df: DataFrame, columns: list[str], suffix: str = "_pp") -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from honestpick.functions import gauss
 from honestpick.functions.columns import bin_arm_count, month_of, safe_ratio, week_of
+from honestpick.functions.lineage import cut_lineage
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators.effects import add_snr, top_two
 from honestpick.operators.joins import join_one_to_one
-from honestpick.operators.prep import log_columns, quantile_bin
+from honestpick.operators.prep import log_columns, quantile_bins
 
 MAX_LEVELS = 1_000   # levels one categorical term may have
 WIDE = 16            # design columns beyond which cross products are summed per Arrow batch
@@ -25,7 +26,10 @@ WIDE = 16            # design columns beyond which cross products are summed per
 
 def derive(per_test: DataFrame, arms: DataFrame, bias: str = "bias",
            deciles: int = 10) -> DataFrame:
-    """Adds SNR, controls, bins and dates to a per-test table (one row per test)."""
+    """Adds SNR, controls, bins and dates to a per-test table (one row per test).
+
+    The joined table is saved once, as the bins read it three times.
+    """
     snr = add_snr(top_two(arms)).select("test_id", (100 * F.col("snr")).alias("snr_pct"))
     start = arms.groupBy("test_id").agg(F.min("created_at").alias("date"))
     p = join_one_to_one(join_one_to_one(per_test, snr, ["test_id"]), start, ["test_id"])
@@ -37,8 +41,8 @@ def derive(per_test: DataFrame, arms: DataFrame, bias: str = "bias",
         "week": week_of("date"), "month": month_of("date")})
     p = log_columns(p, {"log_J": "n_arms", "log_n": "n_per_arm", "log_sigma": "sigma_all",
                         "log_total": "total_impressions"})
-    p = quantile_bin(p, "snr_pct", deciles, name="snr_decile")
-    return quantile_bin(p, "total_impressions", deciles, name="total_decile")
+    return quantile_bins(cut_lineage(p), {"snr_decile": "snr_pct",
+                                          "total_decile": "total_impressions"}, deciles)
 
 
 # --- design columns (D9) ---------------------------------------------------------------------

@@ -36,6 +36,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def load_all() -> dict[str, Query]:
     from importlib import import_module
-    for part in ("arms", "effects", "sources", "bootstrap", "splits", "shrink", "selective", "regress"):
+    for part in ("arms", "effects", "sources", "bootstrap", "splits", "shrink", "selective", "regress",
+                 "report", "targeting", "assortment"):
         import_module(f"honestpick.plans.queries_{part}")
     return CATALOG

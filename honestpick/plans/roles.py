@@ -140,8 +140,8 @@ def targeting_train(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
                     ).alias("row_id"),
         (F.col("p_size") / 10.0).alias("x"),
-        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
-         .otherwise(2).alias("t"),
+        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)
+         .otherwise(3).alias("t"),
         (F.col("l_extendedprice") / 10000.0).alias("y"))
 
 

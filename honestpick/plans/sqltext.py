@@ -56,7 +56,7 @@ CTES = {
   SELECT concat_ws('-', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR,
       l_suppkey::VARCHAR) AS row_id,
     p_size / 10.0::DOUBLE AS x,
-    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t,
+    CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS t,
     l_extendedprice / 10000.0::DOUBLE AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "target": "SELECT p_partkey AS customer_id, p_size / 10.0::DOUBLE AS x FROM part",
