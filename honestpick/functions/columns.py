@@ -93,6 +93,6 @@ def winner_of(effect="effect", arm="arm", keep=()) -> Column:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row aggregate next to every row (broadcast of that one row)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Put the columns of a one-row aggregate next to every row, as a scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")

@@ -1,6 +1,12 @@
-"""Cutting lineage in iterative jobs, in the folder the cluster shares."""
+"""Saving intermediate tables, in the folder the cluster shares.
+
+A table that several branches of a plan read is written once: otherwise every branch would
+scan and shuffle the raw rows again.  Files survive lost executors, and their known size lets
+Spark broadcast the small ones by its own size threshold.
+"""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +32,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def save_table(df: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet files written now."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/honestpick-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ are zero-filled without a grid, and an assortment is a bit mask over that order.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
+from honestpick.functions.lineage import save_table
 from honestpick.operators.bootstrap import index_rows
 from honestpick.operators.splits import split_rows
 
@@ -169,13 +170,14 @@ def assortment_correct(choices: DataFrame, products: list[str], capacities: list
     Several capacities (rules) share the same resamples and intercepts.
     """
     by = list(by)
-    effects = market_effects(choices, products, by)
+    effects = save_table(market_effects(choices, products, by))
     rows = choices.select(*by, "row_id", "product")
     perturb = None
     if method == "moon":
         if power is None or not 0 < power < 1:
             raise ValueError("power must be in (0, 1)")
-        drawn = index_rows(rows, draws, by, ["product"], "row_id", [power], seed, "choice-moon",
+        sizes = effects.select(*by, F.col("n_market").alias("n")).distinct()
+        drawn = index_rows(rows, sizes, draws, by, ["product"], "row_id", [power], seed, "choice-moon",
                            fast)
         counts = choice_counts(drawn, products, [*by, "draw"])
     elif method in ("standard", "numerical"):

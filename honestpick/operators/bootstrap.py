@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import draws as D
 from honestpick.functions.columns import winner_of
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import cut_lineage, save_table
 from honestpick.functions.ranks import hex_bucket, id_bucket, with_position
 from honestpick.operators.effects import TEST, arm_effects, select_winner
 
+BLOCK = 50_000       # slots of one draw unfolded at a time
 SALTS = {"standard": "std", "moon": "moon", "numerical": "num", "conditional": "cond",
          "outer": "outer", "inner": "inner"}
 
@@ -44,35 +45,54 @@ def numbered(rows: DataFrame, by: list[str], arm: str, row_key: str) -> DataFram
                          hex_bucket("_h")).drop("_h")
 
 
-def index_rows(rows: DataFrame, draws: int, strata: list[str], carry: list[str],
-               row_key: str = "row_id", powers: list[float] | None = None, seed: int = 42,
-               salt: str = "moon", fast: bool = False) -> DataFrame:
+def slots(sizes: DataFrame, draws: int, strata: list[str],
+          powers: list[float] | None = None) -> DataFrame:
+    """(strata..., [power,] draw, pos, n): the m slots of every draw, made from sizes alone.
+
+    Slots come in blocks that are spread over the cluster before they are unfolded, so a
+    stratum with billions of rows is not one task.
+    """
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, m, keys = sizes.select(*strata, "n"), F.col("n"), [*strata, "draw"]
+    if powers is not None:
+        out = out.withColumn("power", F.explode(F.array(*[F.lit(p) for p in powers])))
+        m, keys = F.floor(F.pow("n", "power")), [*strata, "power", "draw"]
+    last = F.col("_m") - 1
+    blocks = D.with_draws(out.withColumn("_m", m.cast("bigint")).where("_m > 0"), draws).withColumn(
+        "_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK))))
+    start = F.col("_blk") * BLOCK
+    return blocks.repartition(parts, *keys, "_blk").select(
+        *keys, "n", F.explode(F.sequence(start, F.least(start + BLOCK - 1, last))).alias("pos"))
+
+
+def index_rows(rows: DataFrame, sizes: DataFrame, draws: int, strata: list[str],
+               carry: list[str], row_key: str = "row_id", powers: list[float] | None = None,
+               seed: int = 42, salt: str = "moon", fast: bool = False) -> DataFrame:
     """Rows drawn with replacement: n per stratum and draw, or floor(n^power) per power.
 
-    The first m positions of a stratum act as the m slots of a draw; each slot hashes to a
-    position and fetches that row by an equi-join on (strata, position), whose keys are
-    spread evenly even when one stratum holds most rows.  With `powers` a `power` key is added.
+    Each slot of a draw hashes to a position and fetches that row by an equi-join on
+    (strata, position), whose keys are spread evenly even when one stratum holds most rows.
+    `sizes` is (strata..., n); with `powers` a `power` key is added.
     """
-    num = numbered(rows.select(*strata, row_key, *carry), strata[:-1], strata[-1], row_key)
-    slots = num.select(*strata, "pos", "n")
     keys = [*strata, "pos", "draw"]
     power_key = []
     if powers is not None:
-        slots = (slots.withColumn("power", F.explode(F.array(*[F.lit(p) for p in powers])))
-                 .where(F.col("pos") < F.floor(F.pow("n", "power"))))
         keys.append((F.col("power") * 1000).cast("int"))
         power_key = ["power"]
-    slots = D.with_draws(slots, draws).select(
+    wanted = slots(sizes, draws, strata, powers).select(
         *strata, *power_key, "draw",
         (D.hash48(keys, seed, salt, fast) % F.col("n")).alias("pos"))
-    return slots.join(num.select(*strata, "pos", *carry), [*strata, "pos"]).drop("pos")
+    num = numbered(rows.select(*strata, row_key, *carry), strata[:-1], strata[-1], row_key)
+    return wanted.join(num.select(*strata, "pos", *carry), [*strata, "pos"]).drop("pos")
 
 
-def index_draws(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str = "arm",
-                value: str = "y", row_key: str = "row_id", powers: list[float] | None = None,
-                seed: int = 42, salt: str = "moon", fast: bool = False) -> DataFrame:
+def index_draws(rows: DataFrame, sizes: DataFrame, draws: int, by: list[str] = TEST,
+                arm: str = "arm", value: str = "y", row_key: str = "row_id",
+                powers: list[float] | None = None, seed: int = 42, salt: str = "moon",
+                fast: bool = False) -> DataFrame:
     """(by..., [power,] arm, draw, n, effect): means of exact resamples within the arm."""
-    drawn = index_rows(rows, draws, [*by, arm], [value], row_key, powers, seed, salt, fast)
+    drawn = index_rows(rows, sizes, draws, [*by, arm], [value], row_key, powers, seed, salt,
+                       fast)
     return drawn.groupBy(*by, *(["power"] if powers is not None else []), arm, "draw").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("effect"))
 
@@ -174,22 +194,30 @@ def correct(draws: DataFrame, effects: DataFrame, estimator: str, by: list[str]
 
 # --- correctors on rows (B4-B11) -----------------------------------------------------------
 
+def saved_effects(rows: DataFrame, by: list[str] = TEST, arm: str = "arm",
+                  value: str = "y") -> DataFrame:
+    """The arm effects, written once: the pick, the sizes and the originals all read them."""
+    return save_table(arm_effects(rows, by=by, arm=arm, value=value))
+
+
 def correct_standard(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str = "arm",
                      value: str = "y", row_key: str = "row_id", mode: str = "poisson",
-                     seed: int = 42, fast: bool = False) -> DataFrame:
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
+                     seed: int = 42, fast: bool = False,
+                     effects: DataFrame | None = None) -> DataFrame:
+    effects = effects or saved_effects(rows, by, arm, value)
     drawn = (poisson_draws(rows, draws, by, arm, value, [row_key], seed, "std", fast)
              if mode == "poisson" else
-             index_draws(rows, draws, by, arm, value, row_key, None, seed, "std", fast))
+             index_draws(rows, effects, draws, by, arm, value, row_key, None, seed, "std", fast))
     return correct(bias_draws(drawn, effects, by, arm), effects, "standard", by, arm)
 
 
 def correct_moon(rows: DataFrame, draws: int, power: float, by: list[str] = TEST,
                  arm: str = "arm", value: str = "y", row_key: str = "row_id",
-                 mode: str = "index", seed: int = 42, fast: bool = False) -> DataFrame:
+                 mode: str = "index", seed: int = 42, fast: bool = False,
+                 effects: DataFrame | None = None) -> DataFrame:
     _check_power(power)
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
-    drawn = (index_draws(rows, draws, by, arm, value, row_key, [power], seed, "moon", fast)
+    effects = effects or saved_effects(rows, by, arm, value)
+    drawn = (index_draws(rows, effects, draws, by, arm, value, row_key, [power], seed, "moon", fast)
              .drop("power") if mode == "index" else
              poisson_moon_draws(rows, effects, draws, power, by, arm, value, [row_key], seed,
                                 "moon", fast))
@@ -202,7 +230,7 @@ def correct_numerical(rows: DataFrame, draws: int, power: float = -0.45,
                       row_key: str = "row_id", seed: int = 42, fast: bool = False) -> DataFrame:
     if not -0.5 < power < 0:
         raise ValueError("power must be in (-0.5, 0)")
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
+    effects = saved_effects(rows, by, arm, value)
     drawn = poisson_draws(rows, draws, by, arm, value, [row_key], seed, "num", fast)
     found = bias_draws(drawn, effects, by, arm, numerical_scale(power))
     return correct(found, effects, "numerical", by, arm)
@@ -210,14 +238,15 @@ def correct_numerical(rows: DataFrame, draws: int, power: float = -0.45,
 
 def conditional_draws(rows: DataFrame, draws: int, max_attempts: int | None = None,
                       by: list[str] = TEST, arm: str = "arm", value: str = "y",
-                      row_key: str = "row_id", seed: int = 42, fast: bool = False) -> DataFrame:
+                      row_key: str = "row_id", seed: int = 42, fast: bool = False,
+                      effects: DataFrame | None = None) -> DataFrame:
     """The first `draws` resamples per test that pick the original winner, plus attempt counts.
 
     Attempts grow in rounds, each only for tests that are still short; results of a round are
     checkpointed.  (by..., draw, bias, accepted_rank, attempts).
     """
     max_attempts = max_attempts or 100 * draws
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
+    effects = effects or saved_effects(rows, by, arm, value)
     pick = select_winner(effects, by, arm).select(*by, F.col(arm).alias("_original"))
     accepted, end = None, 0
     size, pending = min(max_attempts, 3 * draws), rows
@@ -249,8 +278,9 @@ def correct_conditional(rows: DataFrame, draws: int, max_attempts: int | None =
                         row_key: str = "row_id", seed: int = 42,
                         fast: bool = False) -> DataFrame:
     """Adds the acceptance rate; status 'short' when fewer than `draws` were accepted."""
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
-    found = conditional_draws(rows, draws, max_attempts, by, arm, value, row_key, seed, fast)
+    effects = saved_effects(rows, by, arm, value)
+    found = save_table(conditional_draws(rows, draws, max_attempts, by, arm, value, row_key,
+                                         seed, fast, effects))
     rates = found.groupBy(*by).agg(F.count(F.lit(1)).alias("accepted"),
                                    F.min("attempts").alias("attempts"))
     out = correct(found, effects, "conditional", by, arm).join(rates, by, "left")
@@ -265,8 +295,8 @@ def moon_power_sweep(rows: DataFrame, draws: int, powers: list[float], by: list[
     """The m-out-of-n correction for a grid of powers, one row per test and power."""
     for p in powers:
         _check_power(p)
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
-    drawn = index_draws(rows, draws, by, arm, value, row_key, powers, seed, "moon", fast)
+    effects = saved_effects(rows, by, arm, value)
+    drawn = index_draws(rows, effects, draws, by, arm, value, row_key, powers, seed, "moon", fast)
     found = bias_draws(drawn, effects, by, arm, moon_scale(F.col("power")), ["power"])
     return correct(found, effects, "moon", by, arm, ["power"])
 
@@ -282,9 +312,9 @@ def outer_rows(rows: DataFrame, outer: int, by: list[str] = TEST, arm: str = "ar
 
 def _inner_bias(rows, outer, inner, by, arm, value, row_key, seed, fast) -> DataFrame:
     """Mean inner-bootstrap bias of every outer resample, against its own effects."""
-    data = outer_rows(rows, outer, by, arm, value, row_key, seed, fast)
+    data = save_table(outer_rows(rows, outer, by, arm, value, row_key, seed, fast))
     keys = [*by, "outer"]
-    effects = arm_effects(data, by=keys, arm=arm, value=value)
+    effects = saved_effects(data, keys, arm, value)
     drawn = poisson_draws(data, inner, keys, arm, value, [row_key, "copy"], seed,
                           SALTS["inner"], fast)
     return bias_draws(drawn, effects, keys, arm).groupBy(*keys).agg(
@@ -293,8 +323,9 @@ def _inner_bias(rows, outer, inner, by, arm, value, row_key, seed, fast) -> Data
 
 def correct_double(rows: DataFrame, outer: int, inner: int, by: list[str] = TEST,
                    arm: str = "arm", value: str = "y", row_key: str = "row_id",
-                   seed: int = 42, fast: bool = False) -> DataFrame:
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
+                   seed: int = 42, fast: bool = False,
+                     effects: DataFrame | None = None) -> DataFrame:
+    effects = effects or saved_effects(rows, by, arm, value)
     found = _inner_bias(rows, outer, inner, by, arm, value, row_key, seed, fast)
     return correct(found, effects, "double", by, arm)
 
@@ -303,7 +334,7 @@ def correct_double_hall(rows: DataFrame, outer: int, inner: int, by: list[str] =
                         arm: str = "arm", value: str = "y", row_key: str = "row_id",
                         seed: int = 42, fast: bool = False) -> DataFrame:
     """Bias 2T - T_r: T from the data, T_r from every outer resample's own bootstrap."""
-    effects = arm_effects(rows, by=by, arm=arm, value=value)
+    effects = saved_effects(rows, by, arm, value)
     drawn = poisson_draws(rows, inner, by, arm, value, [row_key], seed, "std", fast)
     t = bias_draws(drawn, effects, by, arm).groupBy(*by).agg(F.avg("bias").alias("_t"))
     t_r = _inner_bias(rows, outer, inner, by, arm, value, row_key, seed, fast)
@@ -357,7 +388,7 @@ def custom_bias(rows: DataFrame, resample, estimate, rule: Column | None = None,
         best = F.max_by(F.struct(arm, "effect"), F.struct(rule.alias("_s"), -F.col(arm)))
         return estimates.groupBy(*keys).agg(best.alias("_w")).select(*keys, "_w.*")
 
-    base = estimate(rows.withColumn("weight", F.lit(1)), by)
+    base = save_table(estimate(rows.withColumn("weight", F.lit(1)), by))
     first = pick(base, by).select(*by, F.col(arm).alias("original_arm"))
     drawn = pick(estimate(resample(rows), [*by, "draw"]), [*by, "draw"])
     out = (drawn.withColumnRenamed("effect", "draw_effect")

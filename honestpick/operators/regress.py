@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from honestpick.functions import gauss
 from honestpick.functions.columns import bin_arm_count, month_of, safe_ratio, week_of
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators.effects import add_snr, top_two
 from honestpick.operators.joins import join_one_to_one
@@ -41,7 +41,7 @@ def derive(per_test: DataFrame, arms: DataFrame, bias: str = "bias",
         "week": week_of("date"), "month": month_of("date")})
     p = log_columns(p, {"log_J": "n_arms", "log_n": "n_per_arm", "log_sigma": "sigma_all",
                         "log_total": "total_impressions"})
-    return quantile_bins(cut_lineage(p), {"snr_decile": "snr_pct",
+    return quantile_bins(save_table(p), {"snr_decile": "snr_pct",
                                           "total_decile": "total_impressions"}, deciles)
 
 

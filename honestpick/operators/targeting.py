@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import draws as D
 from honestpick.functions.columns import all_of, attach_row
+from honestpick.functions.lineage import save_table
 from honestpick.operators import selective as S, shrink as H
 from honestpick.operators.bootstrap import index_rows
 from honestpick.operators.splits import split_rows
@@ -252,7 +253,7 @@ def policy_correct_standard(train: DataFrame, target: DataFrame, features: list[
     With `power` in (-0.5, 0): the numerical bootstrap, biases scaled by n^power * sqrt(n).
     """
     slim = train.select(row_key, *features, "t", "y")
-    fits = fit_arm_ols(slim, features)
+    fits = save_table(fit_arm_ols(slim, features))
     weighted = D.with_poisson_weights(slim, draws, [row_key], seed,
                                       "policy" if power is None else "policy-num", fast)
     drawn = fit_arm_ols(weighted, features, ["draw"], weight="weight")
@@ -280,8 +281,9 @@ def policy_correct_moon(train: DataFrame, target: DataFrame, features: list[str]
     """floor(n_k^power) rows drawn within every arm; biases scaled by sqrt(sum m / sum n)."""
     if not 0 < power < 1:
         raise ValueError("power must be in (0, 1)")
-    fits = fit_arm_ols(train, features)
-    rows = index_rows(train, draws, ["t"], [*features, "y"], row_key, [power], seed,
+    fits = save_table(fit_arm_ols(train, features))
+    sizes = fits.select((F.col("arm") + 1).alias("t"), F.col("n").cast("bigint").alias("n"))
+    rows = index_rows(train, sizes, draws, ["t"], [*features, "y"], row_key, [power], seed,
                       "policy-moon", fast)
     drawn = fit_arm_ols(rows, features, ["draw"])
     biases = attach_row(draw_biases(target, fits, drawn, features, n_arms, draws,

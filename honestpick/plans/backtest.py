@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from honestpick.functions.lineage import save_table
 from honestpick.operators import (bootstrap as B, effects as E, selective as S, shrink as H,
                                   splits as V)
 
@@ -19,7 +20,7 @@ def corrections(rows: DataFrame, estimators: list[str], keys: list[str], draws:
     if unknown:
         raise ValueError(f"unknown estimators: {sorted(unknown)}")
     kw = dict(by=keys, arm=arm, value=value, row_key=row_key, seed=seed, fast=fast)
-    effects = E.arm_effects(rows, by=keys, arm=arm, value=value)
+    effects = B.saved_effects(rows, keys, arm, value)
 
     def split():
         # inner splits use the column split_id too, so an outer one steps aside
@@ -32,8 +33,8 @@ def corrections(rows: DataFrame, estimators: list[str], keys: list[str], draws:
 
     made = {
         "none": lambda: E.uncorrected(effects, keys, arm).withColumn("corrected", F.col("naive")),
-        "standard": lambda: B.correct_standard(rows, draws, **kw),
-        "moon": lambda: B.correct_moon(rows, draws, power, **kw),
+        "standard": lambda: B.correct_standard(rows, draws, effects=effects, **kw),
+        "moon": lambda: B.correct_moon(rows, draws, power, effects=effects, **kw),
         "split": split,
         "eb_normal": lambda: H.correct_eb_normal(effects, keys, keys, arm),
         "hybrid_si": lambda: S.si_correct(effects, "hybrid", by=keys, arm=arm),
@@ -47,8 +48,8 @@ def backtest(rows: DataFrame, splits: int, estimators: list[str], draws: int,
              row_key: str = "row_id", seed: int = 42, fast: bool = False, **kw) -> DataFrame:
     """The split is just another key, so one plan covers all splits, tests and estimators."""
     keys = [*by, "split_id"]
-    parts = V.split_rows(rows.select(*by, arm, row_key, value), 0.5, splits, [*by, arm],
-                         row_key, seed, "backtest", fast)
+    parts = save_table(V.split_rows(rows.select(*by, arm, row_key, value), 0.5, splits, [*by, arm],
+                                    row_key, seed, "backtest", fast))
     half = parts.where("in_est").drop("in_est")
     holdout = parts.where(~F.col("in_est")).groupBy(*keys, arm).agg(
         F.avg(value).alias("effect"))

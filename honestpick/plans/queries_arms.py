@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from honestpick.functions import columns as C
+from honestpick.functions.lineage import save_table
 from honestpick.operators import effects as E, joins as J, prep as P
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, r, rounded
@@ -13,6 +14,11 @@ def arms(spark, sf):
     return P.prepare_arms(R.raw_arms(spark, sf))
 
 
+def saved_effects(spark, sf):
+    """Effects of the arm table, written once for queries that read them several times."""
+    return save_table(E.arm_effects_from_counts(arms(spark, sf)))
+
+
 def many(spark, sf):
     return P.prepare_arms(R.many_arms(spark, sf))
 

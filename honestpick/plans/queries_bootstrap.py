@@ -6,7 +6,7 @@ from honestpick.functions import draws as D
 from honestpick.operators import bootstrap as B, effects as E
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, rounded
-from honestpick.plans.queries_arms import arms
+from honestpick.plans.queries_arms import saved_effects
 from honestpick.plans.sqltext import hash48_sql, poisson_rows, with_
 
 DRAWS = 20
@@ -84,12 +84,13 @@ def _(spark, sf):
 @query("b1b_resample_rows_index", with_("rows_", **index_sql(DRAWS, "std")) + """
 SELECT test_id, arm, draw, n, round(effect, 6) AS effect FROM drawn""")
 def _(spark, sf):
-    return rounded(B.index_draws(rows(spark, sf), DRAWS, salt="std"), "effect")
+    data = rows(spark, sf)
+    return rounded(B.index_draws(data, B.saved_effects(data), DRAWS, salt="std"), "effect")
 
 
 @query("b2_resample_counts")
 def _(spark, sf):
-    return B.count_draws(E.arm_effects_from_counts(arms(spark, sf)), DRAWS)
+    return B.count_draws(saved_effects(spark, sf), DRAWS)
 
 
 @query("b3_bootstrap_bias", with_("rows_", "reff", drawn=drawn_sql("rows_", DRAWS, "std"),
@@ -110,7 +111,7 @@ def _(spark, sf):
 
 @query("b4b_correct_standard_counts")
 def _(spark, sf):
-    return B.correct_counts(E.arm_effects_from_counts(arms(spark, sf)), 200)
+    return B.correct_counts(saved_effects(spark, sf), 200)
 
 
 MOON_SCALE = "sqrt(greatest(1, floor(pow(n_avg, {p}))) / n_avg)"
@@ -124,7 +125,7 @@ def _(spark, sf):
 
 @query("b5b_correct_moon_counts")
 def _(spark, sf):
-    return B.correct_counts(E.arm_effects_from_counts(arms(spark, sf)), 200, power=0.6)
+    return B.correct_counts(saved_effects(spark, sf), 200, power=0.6)
 
 
 @query("b6_correct_numerical", with_("rpick", drawn=drawn_sql("rows_", DRAWS, "num"),
@@ -219,7 +220,7 @@ SELECT test_id, count(*) AS draws, round(avg(bias), 6) AS bias,
   round(quantile_cont(bias, 0.975), 6) AS bias_q975 FROM found GROUP BY test_id""")
 def _(spark, sf):
     data = rows(spark, sf)
-    found = B.bias_draws(B.poisson_draws(data, DRAWS), E.arm_effects(data))
+    found = B.bias_draws(B.poisson_draws(data, DRAWS), B.saved_effects(data))
     return rounded(B.bias_stats(found), *_STATS[2:])
 
 
@@ -230,7 +231,7 @@ SELECT f.test_id, count(*) AS draws,
 FROM found f JOIN rpick p ON f.test_id = p.test_id GROUP BY f.test_id""")
 def _(spark, sf):
     data = rows(spark, sf)
-    effects = E.arm_effects(data)
+    effects = B.saved_effects(data)
     found = B.bias_draws(B.poisson_draws(data, DRAWS), effects)
     return rounded(B.winner_agreement(found, effects), "agreement")
 
@@ -257,7 +258,8 @@ SELECT test_id, CAST(pair AS INTEGER) AS m_index,
 WHERE k = 1""")
 def _(spark, sf):
     data = rows(spark, sf)
-    drawn = B.index_draws(data, DRAWS, powers=_M_POWERS)
-    found = B.bias_draws(drawn, E.arm_effects(data), scale=B.moon_scale(F.col("power")),
+    effects = B.saved_effects(data)
+    drawn = B.index_draws(data, effects, DRAWS, powers=_M_POWERS)
+    found = B.bias_draws(drawn, effects, scale=B.moon_scale(F.col("power")),
                          draw_keys=["power"])
     return rounded(B.choose_m(found, _M_POWERS), "ks")

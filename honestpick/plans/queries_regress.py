@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import save_table
 from honestpick.operators import effects as E, prep as P, regress as G, shrink as H
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, r, rounded
@@ -11,7 +11,7 @@ from honestpick.plans.sqltext import SUPPLIER_ARMS, with_
 
 def supplier_tests(spark, sf):
     """The arm table, saved once: everything downstream reads it several times."""
-    return cut_lineage(P.prepare_arms(R.supplier_arms(spark, sf)))
+    return save_table(P.prepare_arms(R.supplier_arms(spark, sf)))
 
 
 def eb_estimates(arms):
@@ -24,7 +24,7 @@ def eb_estimates(arms):
 def analysis(spark, sf):
     arms = supplier_tests(spark, sf)
     p = G.derive(eb_estimates(arms), arms)
-    return cut_lineage(p.join(R.supplier_nations(spark, sf), "test_id", "left"))
+    return save_table(p.join(R.supplier_nations(spark, sf), "test_id", "left"))
 
 
 def _edges(c):

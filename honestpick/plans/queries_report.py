@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from honestpick.functions import columns as C
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import save_table
 from honestpick.operators import effects as E, report as Q, shrink as H
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, r, rounded
@@ -22,7 +22,7 @@ def estimates(spark, sf):
     keep = ["test_id", "estimator", "corrected", "bias"]
     made = H.correct_eb_normal(effects, tie="source_row_id").select(*keep).unionByName(
         H.correct_bayes_normal(effects, _PRIOR_MEAN, _PRIOR_STD).select(*keep))
-    return cut_lineage(E.test_records(arms).join(made, "test_id").withColumn(
+    return save_table(E.test_records(arms).join(made, "test_id").withColumn(
         "bias_pct", C.safe_ratio("bias", "naive")))
 
 

@@ -8,13 +8,13 @@ from honestpick.functions import gauss
 from honestpick.operators import effects as E, selective as S
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, r, rounded
-from honestpick.plans.queries_arms import arms
+from honestpick.plans.queries_arms import saved_effects
 from honestpick.plans.sqltext import hash_sql, with_
 from honestpick.functions import draws as D
 
 
 def _effects(spark, sf):
-    return E.arm_effects_from_counts(arms(spark, sf))
+    return saved_effects(spark, sf)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from honestpick.operators import effects as E, shrink as H
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, rounded
-from honestpick.plans.queries_arms import arms
+from honestpick.plans.queries_arms import saved_effects
 from honestpick.plans.queries_sources import _ERR, _errors
 from honestpick.plans.sqltext import with_
 
@@ -57,7 +57,7 @@ SELECT p.test_id, 'eb_normal' AS estimator, p.arm AS selected_arm, round(p.effec
   round(prior_mean, 8) AS prior_mean, round(sqrt(prior_var), 8) AS prior_std
 FROM pick p JOIN eb e ON p.test_id = e.test_id AND p.arm = e.arm""")
 def _(spark, sf):
-    e = E.arm_effects_from_counts(arms(spark, sf))
+    e = saved_effects(spark, sf)
     return rounded(H.correct_eb_normal(e, tie="source_row_id"), "naive", "corrected", "bias",
                    "prior_mean", "prior_std", digits=8)
 

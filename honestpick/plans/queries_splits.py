@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import save_table
 from honestpick.operators import bootstrap as B, effects as E, splits as V
 from honestpick.plans import backtest, roles as R
 from honestpick.plans.catalog import query, rounded
-from honestpick.plans.queries_arms import arms
+from honestpick.plans.queries_arms import saved_effects
 from honestpick.plans.queries_bootstrap import bias_sql, drawn_sql, index_sql
 from honestpick.plans.sqltext import hash_sql, with_
 
@@ -51,7 +51,7 @@ def _(spark, sf):
 
 @query("v2_split_counts")
 def _(spark, sf):
-    return V.split_counts(E.arm_effects_from_counts(arms(spark, sf)), 0.5, 20)
+    return V.split_counts(saved_effects(spark, sf), 0.5, 20)
 
 
 @query("v3_correct_split", with_("rpick", **_VALUES) + """
@@ -71,7 +71,7 @@ def _(spark, sf):
 
 @query("v3b_correct_split_counts")
 def _(spark, sf):
-    e = E.arm_effects_from_counts(arms(spark, sf))
+    e = saved_effects(spark, sf)
     return V.correct_split(V.split_values(V.split_counts(e, 0.5, 100), e))
 
 
@@ -204,7 +204,7 @@ _R_SUMMARY = ", ".join(f"round({c}, 6) AS {c}" for c in _SUMMARY_COLS)
 @query("v7_backtest_summary", with_("rows_", **_SUMMARY) +
        f"SELECT estimator, splits, {_R_SUMMARY} FROM summ")
 def _(spark, sf):
-    return rounded(V.backtest_summary(cut_lineage(_backtest(spark, sf))), *_SUMMARY_COLS)
+    return rounded(V.backtest_summary(save_table(_backtest(spark, sf))), *_SUMMARY_COLS)
 
 
 @query("v7b_pick_shares", with_("rows_", **_BT) + f"""
@@ -220,7 +220,7 @@ def _(spark, sf):
 SELECT estimator, splits, {_R_SUMMARY} FROM (SELECT * FROM summ ORDER BY summ.mae, estimator
   LIMIT 1)""")
 def _(spark, sf):
-    return rounded(V.best_method(V.backtest_summary(cut_lineage(_backtest(spark, sf))), "mae"), *_SUMMARY_COLS)
+    return rounded(V.best_method(V.backtest_summary(save_table(_backtest(spark, sf))), "mae"), *_SUMMARY_COLS)
 
 
 _OUTCOMES = ["visit", "conversion", "spend"]
