@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from honestpick.functions import draws as D
 from honestpick.functions.lineage import save_table
 from honestpick.operators.bootstrap import index_rows
+from honestpick.operators.joins import with_grid
 from honestpick.operators.splits import split_rows
 
 OUTSIDE = "outside"
@@ -210,10 +211,14 @@ def assortment_split(choices: DataFrame, products: list[str], capacities: list[i
     keys = [*by, "split_id"]
     parts = split_rows(choices.select(*by, "row_id", "product"), fraction, splits, by, "row_id",
                        seed, "choice-split", fast)
-    effects = mnl_fixed_effects(choice_counts(parts, products, [*keys, "in_est"]))
+    effects = save_table(mnl_fixed_effects(choice_counts(parts, products, [*keys, "in_est"])))
     picks = _top_sets(effects.where("in_est"), capacities, keys).select(
         *keys, "capacity", "position", F.col("v").alias("_est"))
     held = effects.where("NOT in_est").select(*keys, "position", F.col("v").alias("_eval"))
-    return picks.join(held, [*keys, "position"]).groupBy(*keys, "capacity").agg(
+    values = picks.join(held, [*keys, "position"]).groupBy(*keys, "capacity").agg(
         _value(F.sum(F.exp("_est"))).alias("est_value"),
         _value(F.sum(F.coalesce(F.exp("_eval"), F.lit(0.0)))).alias("corrected"))
+    # a market whose part has no usable counts keeps its row, with NULL values
+    every = with_grid(D.with_draws(choices.select(*by).distinct(), splits, "split_id"),
+                      capacity=capacities)
+    return every.join(values, [*keys, "capacity"], "left")

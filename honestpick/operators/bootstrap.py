@@ -386,14 +386,17 @@ def custom_bias(rows: DataFrame, resample, estimate, rule: Column | None = None,
 
     def pick(estimates, keys):
         best = F.max_by(F.struct(arm, "effect"), F.struct(rule.alias("_s"), -F.col(arm)))
-        return estimates.groupBy(*keys).agg(best.alias("_w")).select(*keys, "_w.*")
+        return estimates.groupBy(*keys).agg(best.alias("_w"), F.count(F.lit(1)).alias(
+            "_arms")).select(*keys, "_w.*", "_arms")
 
     base = save_table(estimate(rows.withColumn("weight", F.lit(1)), by))
-    first = pick(base, by).select(*by, F.col(arm).alias("original_arm"))
+    first = pick(base, by).select(*by, F.col(arm).alias("original_arm"),
+                                  F.col("_arms").alias("_all_arms"))
     drawn = pick(estimate(resample(rows), [*by, "draw"]), [*by, "draw"])
     out = (drawn.withColumnRenamed("effect", "draw_effect")
            .join(base.select(*by, arm, F.col("effect").alias("original")), [*by, arm])
-           .join(first, by).withColumnRenamed(arm, "selected_arm")
+           .join(first, by).where(F.col("_arms") == F.col("_all_arms"))
+           .drop("_arms", "_all_arms").withColumnRenamed(arm, "selected_arm")
            .withColumn("bias", bias))
     return out if accept is None else out.where(accept)
 

@@ -194,12 +194,18 @@ def si_convergence(df: DataFrame, by: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, truth: str, by: list[str], estimate: str = "corrected",
              low: str = "ci_low", high: str = "ci_high") -> DataFrame:
-    """Coverage, share over-estimated, mean and median error, median width per group."""
+    """Coverage, share over-estimated, mean and median error, median width per group.
+
+    A missing interval does not cover.
+    """
+    def share(condition):
+        return F.coalesce(condition, F.lit(False)).cast("int")
+
     error = F.col(estimate) - F.col(truth)
     main = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col(truth).between(F.col(low), F.col(high)).cast("int")).alias("coverage"),
-        F.avg((error > 0).cast("int")).alias("over_share"), F.avg(error).alias("mean_error"))
+        F.avg(share(F.col(truth).between(F.col(low), F.col(high)))).alias("coverage"),
+        F.avg(share(error > 0)).alias("over_share"), F.avg(error).alias("mean_error"))
     err = exact_quantiles(df, error, [0.5], by).select(
         *by, F.col("q")[0].alias("median_error"))
     wid = exact_quantiles(df, F.col(high) - F.col(low), [0.5], by).select(

@@ -127,8 +127,9 @@ def _(spark, sf):
   SELECT split, list_sort(list_distinct([quantile_cont(c, 0.0), quantile_cont(c, 0.25),
     quantile_cont(c, 0.5), quantile_cont(c, 0.75), quantile_cont(c, 1.0)])) AS e
   FROM (SELECT split, greatest(least(clicks::DOUBLE, 200), 40) AS c FROM arms) GROUP BY split""") + """
-SELECT test_id, source_row_id, split, CAST(1 + len(list_filter(e[2:len(e)-1],
-  lambda x: greatest(least(clicks::DOUBLE, 200), 40) > x)) AS INTEGER) AS quartile
+SELECT test_id, source_row_id, split, CASE WHEN len(e) > 1 THEN CAST(1 + len(list_filter(
+  e[2:len(e)-1], lambda x: greatest(least(clicks::DOUBLE, 200), 40) > x)) AS INTEGER) END
+  AS quartile
 FROM arms JOIN edges USING (split)""")
 def _(spark, sf):
     return P.quantile_bin(arms(spark, sf), "clicks", 4, by=["split"], clip=(40, 200),

@@ -189,12 +189,14 @@ _H = hash_sql("CAST(row_id AS VARCHAR), CAST(split_id AS VARCHAR)", 42, "choice-
                                      pf=v_sql("pc"), caps="SELECT unnest([1, 2]) AS capacity", top="""
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, split_id
       ORDER BY v DESC, position DESC) AS k FROM pf WHERE in_est AND v IS NOT NULL), caps
-  WHERE k <= capacity""") + """
+  WHERE k <= capacity""", every="""
+  SELECT * FROM (SELECT DISTINCT market FROM choices),
+    (SELECT CAST(range AS INTEGER) AS split_id FROM range(4)), caps""") + """
 SELECT market, split_id, capacity, round(se / (1 + se), 8) AS est_value,
-  round(sv / (1 + sv), 8) AS corrected FROM (
+  round(sv / (1 + sv), 8) AS corrected FROM every LEFT JOIN (
   SELECT t.market, t.split_id, t.capacity, sum(exp(t.v)) AS se, sum(coalesce(exp(e.v), 0)) AS sv
   FROM top t JOIN pf e ON t.market = e.market AND t.split_id = e.split_id
-    AND t.position = e.position AND NOT e.in_est GROUP BY ALL)""")
+    AND t.position = e.position AND NOT e.in_est GROUP BY ALL) USING (market, split_id, capacity)""")
 def _(spark, sf):
     out = A.assortment_split(_choices(spark, sf), PRODUCTS, CAPS, splits=4)
     return rounded(out, "est_value", "corrected", digits=8)

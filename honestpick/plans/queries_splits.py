@@ -153,7 +153,7 @@ _BT = dict(
     effect AS corrected FROM hpick
   UNION ALL
   SELECT p.test_id, p.split_id, 'standard', p.arm, p.effect, p.effect - b.bias FROM hpick p
-  JOIN (SELECT test_id, split_id, avg(bias) AS bias FROM hbias GROUP BY test_id, split_id) b
+  LEFT JOIN (SELECT test_id, split_id, avg(bias) AS bias FROM hbias GROUP BY test_id, split_id) b
     ON p.test_id = b.test_id AND p.split_id = b.split_id
   UNION ALL
   SELECT p.test_id, p.split_id, 'eb_normal', p.arm, p.effect, e.post FROM hpick p

@@ -148,14 +148,19 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targeting_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, x, t, y): part size, return flag as treatment, line price."""
+    """(row_id, x, t, y): part size, return flag as treatment, line price.
+
+    The key holds all that matters about a line, so lines that share it are interchangeable.
+    """
     line = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
         "l_extendedprice")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return spread(line, sf_dir, "lineitem").join(part, "l_partkey").select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
-                           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+                           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                            "l_returnflag")],
+                    F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
                     ).alias("row_id"),
         (F.col("p_size") / 10.0).alias("x"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)

@@ -54,7 +54,8 @@ CTES = {
   FROM orders""",
     "train": """
   SELECT concat_ws('-', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR,
-      l_suppkey::VARCHAR) AS row_id,
+      l_suppkey::VARCHAR, l_returnflag,
+      CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS row_id,
     p_size / 10.0::DOUBLE AS x,
     CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS t,
     l_extendedprice / 10000.0::DOUBLE AS y
