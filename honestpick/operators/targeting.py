@@ -316,11 +316,12 @@ def valid_draws(drawn: DataFrame, rows: DataFrame, strata: list[str], min_count:
     good = (drawn.groupBy(draw, *strata).agg(F.sum(w).alias("_k"))
             .where(F.col("_k") >= min_count).groupBy(draw).agg(F.count(F.lit(1)).alias("_ok")))
     kept = attach_row(good, n_strata).where(F.col("_ok") == F.col("_strata")).select(draw)
-    ranked = kept.orderBy(draw).limit(wanted)
-    enough = attach_row(ranked, ranked.agg(F.count(F.lit(1)).alias("_have")))
-    return enough.where(F.when(F.col("_have") < wanted, F.raise_error(F.lit(
-        "too few draws with enough rows in every stratum")).cast("boolean"))
-        .otherwise(F.lit(True))).select(draw)
+    # one row, also when no draw is good, so that falling short always shows
+    first = kept.orderBy(draw).limit(wanted).agg(F.sort_array(F.collect_list(draw)).alias("_d"))
+    checked = F.when(F.size("_d") < wanted, F.raise_error(F.lit(
+        "too few draws with enough rows in every stratum")).cast("array<int>")).otherwise(
+        F.col("_d"))
+    return first.select(F.explode(checked).alias(draw))
 
 
 # --- shrinkage, splits, selective inference (T13-T16) -----------------------------------------------
