@@ -5,6 +5,8 @@ into buckets that follow the sort order; positions are counted inside a bucket a
 by the size of the buckets before it, so one hot group uses many tasks.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -31,11 +33,38 @@ def with_position(df: DataFrame, by: list[str], order: list, bucket: Column,
     return out.select(*cols, *extra)
 
 
-def id_bucket(c: str, width: int = 100_000) -> Column:
-    """Bucket for ordering by an integer id: runs of `width` consecutive ids."""
-    return F.floor(F.col(c) / width)
+ROWS_PER_BUCKET = 500_000       # rows of one group that one task should sort
+
+
+def id_bucket(df: DataFrame, by: list[str], c: str) -> Column:
+    """Bucket for ordering by a numeric id: equal id ranges, as many as the largest group needs.
+
+    Looks at the group sizes and the id range first (one small aggregate), so sparse or
+    random ids do not make a bucket of every row.
+    """
+    low, high, largest = _profile(df, by, F.min(c), F.max(c))
+    buckets = math.ceil((largest or 0) / ROWS_PER_BUCKET)
+    if buckets <= 1 or low == high:
+        return F.lit(0)
+    width = (float(high) - float(low)) / buckets
+    return F.floor((F.col(c).cast("double") - F.lit(float(low))) / F.lit(width))
 
 
-def hex_bucket(h, digits: int = 2) -> Column:
+def hex_digits(df: DataFrame, by: list[str]) -> int:
+    """Leading hex digits that cut the largest group's uniform hashes into small buckets."""
+    _, _, largest = _profile(df, by, F.lit(None), F.lit(None))
+    digits = 0
+    while (largest or 0) / 16 ** digits > ROWS_PER_BUCKET:
+        digits += 1
+    return digits
+
+
+def hex_bucket(h, digits: int) -> Column:
     """Bucket for ordering by a uniform hex hash: its leading digits."""
-    return F.substring(h, 1, digits)
+    return F.substring(h, 1, digits) if digits else F.lit("")
+
+
+def _profile(df, by, low, high):
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), low.alias("lo"), high.alias("hi"))
+    row = groups.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+    return row[1], row[2], row[0]

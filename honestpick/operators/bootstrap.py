@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from honestpick.functions import draws as D
 from honestpick.functions.columns import winner_of
 from honestpick.functions.lineage import cut_lineage, save_table
-from honestpick.functions.ranks import hex_bucket, id_bucket, with_position
+from honestpick.functions.ranks import hex_bucket, hex_digits, id_bucket, with_position
 from honestpick.operators.effects import TEST, arm_effects, select_winner
 
 BLOCK = 50_000       # slots of one draw unfolded at a time
@@ -39,10 +39,10 @@ def poisson_draws(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str =
 def numbered(rows: DataFrame, by: list[str], arm: str, row_key: str) -> DataFrame:
     """Rows with their position inside the arm and the arm's size."""
     if isinstance(rows.schema[row_key].dataType, (T.LongType, T.IntegerType)):
-        return with_position(rows, [*by, arm], [row_key], id_bucket(row_key))
-    h = F.md5(F.col(row_key).cast("string"))
-    return with_position(rows.withColumn("_h", h), [*by, arm], ["_h", row_key],
-                         hex_bucket("_h")).drop("_h")
+        return with_position(rows, [*by, arm], [row_key], id_bucket(rows, [*by, arm], row_key))
+    digits = hex_digits(rows, [*by, arm])
+    hashed = rows.withColumn("_h", F.md5(F.col(row_key).cast("string")))
+    return with_position(hashed, [*by, arm], ["_h", row_key], hex_bucket("_h", digits)).drop("_h")
 
 
 def slots(sizes: DataFrame, draws: int, strata: list[str],

@@ -4,7 +4,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import gauss
 from honestpick.functions.columns import bin_arm_count, col, safe_ratio
@@ -231,8 +231,7 @@ def arm_summary(rows: DataFrame, outcomes: list[str], by: list[str] = E.TEST,
         *[F.avg(o).alias(f"{o}_mean") for o in outcomes],
         *[F.stddev_samp(o).alias(f"{o}_sd") for o in outcomes],
         *[F.avg((F.col(o) > 0).cast("int")).alias(f"{o}_positive_rate") for o in outcomes])
-    total = arms.groupBy(*by).agg(F.sum("n").alias("_total"))
-    return arms.join(total, by).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    return arms.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
 # --- errors against a truth (R15-R20) --------------------------------------------------------

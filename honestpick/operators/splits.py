@@ -4,21 +4,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from honestpick.functions import draws as D
 from honestpick.functions.quantiles import exact_median
-from honestpick.functions.ranks import hex_bucket, with_position
+from honestpick.functions.ranks import hex_bucket, hex_digits, with_position
 from honestpick.operators.bootstrap import numbered
 from honestpick.operators.effects import TEST, select_winner
 
 
 def split_rows(rows: DataFrame, fraction: float, splits: int, strata: list[str],
                row_key: str = "row_id", seed: int = 42, salt: str = "split",
-               fast: bool = False, hash_digits: int = 1) -> DataFrame:
+               fast: bool = False, hash_digits: int | None = None) -> DataFrame:
     """Every row once per split, `in_est` true for exactly floor(n*fraction) rows per stratum.
 
-    Order inside a stratum is by hash; `hash_digits` sets how many tasks one stratum may use
-    (16 per digit).
+    Order inside a stratum is by hash; 16^`hash_digits` tasks share one stratum, by default
+    as many as the largest stratum needs.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be in (0, 1)")
+    if hash_digits is None:
+        hash_digits = hex_digits(rows, strata)
     out = D.with_draws(rows, splits, "split_id")
     h = D.hash_hex([row_key, "split_id"], seed, salt) if not fast else F.lower(F.lpad(F.hex(
         F.xxhash64(F.col(row_key), "split_id", F.lit(seed), F.lit(salt))), 16, "0"))

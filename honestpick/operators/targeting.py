@@ -364,7 +364,7 @@ def policy_split(train: DataFrame, target: DataFrame, features: list[str], n_arm
                  fast: bool = False) -> DataFrame:
     """Fit and pick on one part, refit on the rest for the value; one row per split."""
     parts = split_rows(train.select(row_key, *features, "t", "y"), fraction, splits, [],
-                       row_key, seed, "policy-split", fast, hash_digits=2)
+                       row_key, seed, "policy-split", fast)
     fits = fit_arm_ols(parts, features, ["split_id", "in_est"])
     x = basis(features)
     sides = []

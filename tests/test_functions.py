@@ -49,15 +49,24 @@ def test_exact_quantiles_coarse_sketch_is_still_exact(spark):
     assert np.allclose(got, np.quantile(x, [0.05, 0.5, 0.95]))
 
 
-def test_position_is_global_rank(spark):
+@pytest.mark.parametrize("rows_per_bucket", [10, 500_000])
+def test_position_is_global_rank(spark, monkeypatch, rows_per_bucket):
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", rows_per_bucket)
     df = spark.range(0, 1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("x"))
-    out = ranks.with_position(df, ["g"], ["x"], ranks.id_bucket("x", 500)).collect()
+    out = ranks.with_position(df, ["g"], ["x"], ranks.id_bucket(df, ["g"], "x")).collect()
     for g in range(3):
         rows = sorted((r for r in out if r.g == g), key=lambda r: r.x)
         assert [r.pos for r in rows] == list(range(len(rows)))
         assert all(r.n == len(rows) for r in rows)
 
 
+def test_hash_digits_follow_the_largest_group(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
+    df = spark.range(0, 1000).select((F.col("id") % 3).alias("g"))
+    assert ranks.hex_digits(df, ["g"]) == 2 and ranks.hex_digits(df, []) == 2
+    assert ranks.hex_digits(df.limit(5), ["g"]) == 0
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     df = spark.range(0, 200).withColumnRenamed("id", "row_id")
 
