@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from honestpick.llm import packing, quality_classifier, secret_scan, url_filter
+from honestpick.llm import (exact_dedup, html_density, packing, piece_sampling,
+                            quality_classifier, quality_rules, secret_scan, url_filter)
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +64,75 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, model).withColumn("kept",
                                                             quality_classifier.accepted())
+
+
+_OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t
+           FROM documents),
+w AS (SELECT k, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+      FROM d),
+p AS (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
+r AS (SELECT k, count(DISTINCT j) AS rep
+      FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY k),
+l AS (SELECT k, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+h AS (SELECT *, translate(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11)
+                          || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g'),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')
+              AS norm
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup FROM h GROUP BY k),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM h GROUP BY source),
+common AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS n
+                                       FROM h GROUP BY source, norm) c
+           JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source
+           WHERE n > 20 AND n > 0.05 * docs),
+cut AS (SELECT k, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'),
+                                      x -> x <> ''))) AS n_cut
+        FROM h JOIN common c ON h.source IS NOT DISTINCT FROM c.source AND h.norm = c.norm
+        GROUP BY k),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words,
+             coalesce(n_cut, 0)::BIGINT AS n_words_cut
+      FROM d JOIN w USING (k) LEFT JOIN r USING (k) LEFT JOIN dup USING (k)
+      LEFT JOIN cut USING (k))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+       AND n_words - n_words_cut >= 0.5 * n_words AS kept
+FROM m
+"""
+
+
+@query("op1_quality_rules", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "n_words_cut")])
+
+
+_OP4_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query("op4_exact_dedup", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept",
+                        F.col("digest").alias("text_sha256"))
+
+
+@query("op8_html_density")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_sentencepiece_sampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), PIECES_32K, alpha=1.0)
