@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honestpick.llm import (exact_dedup, html_density, packing, piece_sampling,
-                            quality_classifier, quality_rules, secret_scan, url_filter)
+                            quality_classifier, quality_rules, secret_scan, substring_dedup,
+                            url_filter)
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,7 +70,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t
            FROM documents),
-w AS (SELECT k, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+w AS (SELECT k, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
       FROM d),
 p AS (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
 g AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
@@ -88,7 +89,7 @@ common AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS
            JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source
            WHERE n > 20 AND n > 0.05 * docs),
 cut AS (SELECT k, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'),
-                                      x -> x <> ''))) AS n_cut
+                                      lambda x: x <> ''))) AS n_cut
         FROM h JOIN common c ON h.source IS NOT DISTINCT FROM c.source AND h.norm = c.norm
         GROUP BY k),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
@@ -136,3 +137,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece_sampling")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode(table(spark, sf_dir, "documents"), PIECES_32K, alpha=1.0)
+
+
+_OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                              lambda x: x <> '') AS ws
+           FROM documents),
+p AS (SELECT k, doc_id, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+g AS (SELECT p.k, p.doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+      FROM p JOIN d USING (k)),
+hit AS (SELECT k, i FROM (SELECT k, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS hit FROM g)
+        WHERE hit),
+gone AS (SELECT k, list(DISTINCT j) AS js
+         FROM (SELECT k, unnest(range(i, i + 50)) AS j FROM hit) GROUP BY k),
+kept AS (SELECT k, doc_id, len(ws) AS n,
+                CASE WHEN js IS NULL THEN ws
+                     ELSE list_filter(ws, lambda x, j: NOT list_contains(js, j)) END AS kw
+         FROM d LEFT JOIN gone USING (k))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(kw))::BIGINT AS n_removed,
+       sha256(array_to_string(kw, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
+@query("op2_substring_dedup", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), size=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
