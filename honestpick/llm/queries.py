@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from honestpick.llm import (exact_dedup, html_density, packing, piece_sampling,
+from honestpick.llm import (exact_dedup, html_density, jaccard_join, packing, piece_sampling,
                             quality_classifier, quality_rules, secret_scan, substring_dedup,
                             url_filter)
 
@@ -165,3 +165,32 @@ FROM kept
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), size=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP3_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS k, doc_id,
+             list_filter(regexp_split_to_array(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                 lambda x: x <> '') AS ws
+      FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT k, hash(g) AS g FROM (
+          SELECT k, array_to_string(ws[i:i + 4], ' ') AS g
+          FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d
+                WHERE len(ws) > 0))),
+n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
+l AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k
+      GROUP BY a.k, b.k
+      HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE k = a.k)
+                                     + (SELECT n FROM n WHERE k = b.k) - count(*))),
+r AS (SELECT k, k AS m FROM n UNION SELECT l.y, r.m FROM r JOIN l ON r.k = l.x),
+c AS (SELECT r.k, min(d.doc_id) AS c FROM r JOIN d ON r.m = d.k GROUP BY r.k)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN c USING (k)
+"""
+
+
+@query("op3_jaccard_join", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), size=5, percent=75)

@@ -30,34 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from honestpick.functions.lineage import save_table
-from honestpick.llm.text import WordHashes, mix, words_of
+from honestpick.llm.text import Hashed, WordHashes, lots, mix, words_of
 
 BEFORE, AFTER, ROUNDS = 6, 10, 3
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _PAIR, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, np.uint64(base), dtype=np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
-
-
-class Hashed:
-    """Hashes of all stretches of one sequence of symbols."""
-
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        self.sums = np.concatenate([np.zeros(1, np.uint64),
-                                    np.cumsum(symbols * powers(_BASE, n), dtype=np.uint64)])
-        self.back = powers(_INVERSE, n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start]
-                   + (end - start).astype(np.uint64))
-
-
 def symbol_rounds(words: np.ndarray, rounds: int = ROUNDS):
     """After each round: symbols, starts, and the stretch [low, high) that decided each."""
     sym, n = words, len(words)
@@ -142,25 +120,13 @@ def _joined(texts: list[str], hashes: WordHashes):
     parts, sizes = [], []
     for k, t in enumerate(texts):
         w = words_of(t)
-        parts += [np.array([_BASE ^ (k + 1)], dtype=np.uint64), hashes.of(w)]
+        parts += [np.array([_PAIR ^ np.uint64(k + 1)]), hashes.of(w)]
         sizes.append(len(w))
     sizes = np.array(sizes, dtype=np.int64)
     ends = np.cumsum(sizes + 1)
     return np.concatenate(parts), ends - sizes, ends
 
 
-def _lots(texts: list[str], chars: int = 2_500_000):
-    """Index ranges of about so many characters."""
-    first, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= chars:
-            yield first, i + 1
-            first, n = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 _HASHES = WordHashes()
 
 
@@ -172,7 +138,7 @@ def _places(size: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi in _lots(texts):
+            for lo, hi in lots(texts):
                 words, starts, ends = _joined(texts[lo:hi], _HASHES)
                 doc, a, b, x, h = places(words, starts, ends, size)
                 if len(doc):

@@ -61,3 +61,39 @@ def text_pieces(column, rows: int = 2_000):
     """An Arrow text column as lists of Python strings, a few rows at a time."""
     for i in range(0, len(column), rows):
         yield i, column.slice(i, rows).to_pylist()
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, np.uint64(base), dtype=np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+class Hashed:
+    """Hashes of all stretches of one sequence of symbols."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        self.sums = np.concatenate([np.zeros(1, np.uint64),
+                                    np.cumsum(symbols * powers(_BASE, n), dtype=np.uint64)])
+        self.back = powers(_INVERSE, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start]
+                   + (end - start).astype(np.uint64))
+
+
+def lots(texts: list[str], chars: int = 2_500_000):
+    """Index ranges of about so many characters."""
+    first, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= chars:
+            yield first, i + 1
+            first, n = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
