@@ -228,16 +228,15 @@ class _Texts:
                            .distinct().join(self.places, "sid"))
         # a bit filter of a fixed four megabytes keeps most other texts from moving
         slot = F.col("t").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-        found = (named.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
-                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))).collect()
+        # (bucket b and position p of the bitmap functions stand for the number 32768 (b - 1) + p + 1)
+        found = (named.select((slot + 1).alias("s")).groupBy(
+            F.bitmap_bucket_number("s").alias("b")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))).collect()
         bits = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
-        for r in found:         # bucket b holds the numbers from (b - 1) * 32768, but b = 0 ends
-            lo = (r["b"] - 1) * 4096                      # at 0, where bit positions start
+        for r in found:
             part = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-            if r["b"] < 1 or lo + len(part) > len(bits):
-                bits[:] = 255
-            else:
-                bits[lo:lo + len(part)] |= part
+            at = (r["b"] - 1) * 4096
+            bits[at:at + len(part)] = part
         near = self.rows.select("t", "text").mapInArrow(_fetch(bits), "t bigint, text string")
         texts = save_table(near.join(named, "t").groupBy("sid").agg(F.first("text").alias("text")))
         both = (pairs.join(texts.withColumnRenamed("sid", "x").withColumnRenamed(
