@@ -349,15 +349,9 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     return components(edges.union(third.where("linked").select("x", "y")))
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id",
-         text: str = "text", known_frequent: int = 131_072) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
-
-    Two rows link when their sets of `size`-word shingles have 100 * |both| >= percent * |union|;
-    a component is what links connect, named by its smallest id.  A text without words (or null)
-    has no shingles and is linked with nothing.  Rows with equal ids are rows of their own; a
-    null id names a component only if there is no other.  An empty table gives no rows.
-    """
+def judged(docs: DataFrame, size: int, percent: int, doc_id: str, text: str,
+           known_frequent: int) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id for every row."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("t"),
                        body.alias("text"))
@@ -372,19 +366,37 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_i
         if twice.where("a OR b").isEmpty():
             break
     comps = links(rows, named, frequent, size, percent, seed, known_frequent)
-    own = _with_comp(named.select("doc_id", "n", "sid"), comps, "sid", "comp")
+    own = _with_comp(named.select("doc_id", "t", "n", "sid"), comps, "sid", "comp")
     least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "t", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
 
 
+def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id",
+         text: str = "text", known_frequent: int = 131_072) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row.
+
+    Two rows link when their sets of `size`-word shingles have 100 * |both| >= percent * |union|;
+    a component is what links connect, named by its smallest id.  A text without words (or null)
+    has no shingles and is linked with nothing.  Rows with equal ids are rows of their own; a
+    null id names a component only if there is no other.  An empty table gives no rows; other
+    columns are not read.
+    """
+    return judged(docs, size, percent, doc_id, text, known_frequent).drop("t")
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", known_frequent: int = 131_072) -> DataFrame:
     """The rows of `docs` whose id is that of their component, with all their columns.
 
-    Ids are taken to be distinct; rows without words stay, each a component of its own."""
-    gone = save_table(join(docs, size, percent, doc_id, text)
-                      .where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs[f"`{doc_id}`"] == gone["_gone"], "left_anti")
+    A row with a null id goes where its component has a named row; else it stays, as do rows
+    without words.  Equal rows stay or go together: take out exact copies first.
+    """
+    gone = save_table(judged(docs, size, percent, doc_id, text, known_frequent)
+                      .where("NOT doc_id <=> component_id").distinct()
+                      .select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")))
+    body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
+    return docs.join(gone, docs[f"`{doc_id}`"].eqNullSafe(gone["_gone"])
+                     & (F.xxhash64(body) == gone["_t"]), "left_anti")
