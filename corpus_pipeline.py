@@ -1,4 +1,5 @@
-"""From documents to packed token sequences: classify, drop copies, redact, pack.
+"""From documents to packed token sequences: classify, drop copies and near copies,
+redact, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes
 each result as Parquet and rereads it for the next.
@@ -11,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from honestpick.functions.lineage import shared_dir
-from honestpick.llm import packing, quality_classifier, queries, secret_scan
+from honestpick.llm import (exact_dedup, jaccard_join, packing, quality_classifier, queries,
+                            secret_scan)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.select(docs, model)
 
 
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.distinct_texts(docs)
+
+
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id."""
+    return jaccard_join.one_of_each(docs, size=5, percent=75)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; a secret in a text becomes the name of its kind."""
     clean = secret_scan.redacted(docs)
@@ -33,6 +45,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", similar),
     ("secret scans", secrets),
     ("packing", pack),
 ]
