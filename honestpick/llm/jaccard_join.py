@@ -254,11 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
                                                     F.least("x", "y").alias("v")).distinct())
     while True:
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = save_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"),
                                                             F.col("m").alias("v"))
         large = save_table(large.where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = save_table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
@@ -291,8 +291,11 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     # groups: each set against the smallest that shares a min-hash, the most often met first
     keyed = sets.select("sid", "n", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
                         .alias("k", "key"))
-    lead = keyed.groupBy("k", "key").agg(F.min("sid").alias("y"), F.max("sid").alias("last"))
-    met = (keyed.join(lead.where("y < last").drop("last"), ["k", "key"]).where("sid <> y")
+    # sums are saved before they are joined with their rows: else both would share one exchange,
+    # which Spark cannot split where a key is frequent
+    lead = save_table(keyed.groupBy("k", "key").agg(
+        F.min("sid").alias("y"), F.max("sid").alias("last")).where("y < last").drop("last"))
+    met = (keyed.join(lead, ["k", "key"]).where("sid <> y")
            .groupBy(F.col("sid").alias("x"), "y").agg(F.count(F.lit(1)).alias("c")))
     best = met.groupBy("x").agg(F.max(F.struct("c", "y")).alias("b")).select("x", "b.y")
     first = texts.compare(_ordered(best))
@@ -312,10 +315,11 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
             .withColumn("hi", F.max("sid").over(same)).where("salt > 0 OR lo < hi")
             .select("token", "sid", "n").distinct())
     live = save_table(_with_comp(save_table(live), comps, "sid", "comp"))
-    several = live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    live = save_table(live.join(several.where("lo < hi").select("token"), "token"))
-    matrix = live.groupBy("token", F.col("comp").alias("g")).agg(
-        F.min("sid").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = save_table(live.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
+    live = save_table(live.join(several, "token"))
+    matrix = save_table(live.groupBy("token", F.col("comp").alias("g")).agg(
+        F.min("sid").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")))
 
     # queries against groups: the bound, and the group's sizes
     hits = live.join(matrix, "token").where("comp <> g").groupBy(
@@ -367,7 +371,9 @@ def judged(docs: DataFrame, size: int, percent: int, doc_id: str, text: str,
             break
     comps = links(rows, named, frequent, size, percent, seed, known_frequent)
     own = _with_comp(named.select("doc_id", "t", "n", "sid"), comps, "sid", "comp")
-    least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    own = save_table(own)
+    least = save_table(own.where("n > 0").groupBy("comp").agg(
+        F.min("doc_id").alias("component_id")))
     return own.join(least, "comp", "left").select(
         "doc_id", "t", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
