@@ -12,6 +12,7 @@ lost task of pass one is done again from the same split; pass two reads files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,13 +28,37 @@ from honestpick.llm.text import text_pieces
 
 _ROOM = 400_000     # chunks a worker remembers
 _UNSAFE = re.compile(r" (?=\s|\Z)")
+# Fixed value: how byte-level vocabularies cut text before merging.
+_CUTS = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """bytes -> id of a byte-level BPE file whose ids follow its merges; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if (model.get("type") != "BPE" or spec.get("normalizer") or model.get("dropout")
+            or any(pre.get(k, v) != v for k, v in plain.items()) or "type" not in pre):
+        return None
+    shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
+    letter = {chr(b): b for b in shown}
+    letter |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(letter[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
 class ChunkIds(dict):
     """Ids (as bytes) of text chunks; chunks not met before are encoded together.
 
     A byte-level BPE never joins a space to what stands before it, so a text splits before a
-    space without changing its ids, unless white space or the end follows that space.
+    space without changing its ids, unless white space or the end follows that space.  New
+    chunks are put in one string, encoded at once, and cut apart by the lengths of their ids.
+    Texts that cannot be split, or hold a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, width: str):
@@ -42,31 +67,69 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ranks = byte_ranks(path)
+        self.merger = None
+        if ranks is not None:
+            import tiktoken
+            self.merger = tiktoken.Encoding("chunks", pat_str=_CUTS, mergeable_ranks=ranks,
+                                            special_tokens={})
+            self.id_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            for token, i in ranks.items():
+                self.id_bytes[i] = len(token)
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype=self.width).tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks that begin with a space, but for those at the start of a text."""
+        for c in [c for c in chunks if not c.startswith(" ")]:
+            self[c] = np.array(self.merger.encode_ordinary(c), dtype=self.width).tobytes()
+        rest = [c for c in chunks if c.startswith(" ")]
+        ids = np.array(self.merger.encode_ordinary("".join(rest)), dtype=np.int64)
+        after = np.cumsum(self.id_bytes[ids])
+        ends = np.cumsum([len(c.encode()) for c in rest])
+        cuts = (np.searchsorted(after, ends) + 1).tolist() if rest else []
+        if rest and not np.array_equal(after[np.array(cuts) - 1], ends):
+            raise AssertionError("an id goes beyond its chunk")
+        raw, size, start = ids.astype(self.width).tobytes(), np.dtype(self.width).itemsize, 0
+        for c, end in zip(rest, cuts, strict=True):
+            self[c] = raw[start * size:end * size]
+            start = end
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if _UNSAFE.search(text) or any(s in text for s in self.special):
-                yield self.encode([text])[0]
-                continue
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + x for x in rest]]
-            if len(self) > _ROOM:
-                self.clear()
-            if new := list({c for c in chunks if c not in self}):
-                self.update(zip(new, self.encode(new), strict=True))
-            yield b"".join(map(self.__getitem__, chunks))
+        split: list[list[str] | None] = []
+        for t in texts:
+            if self.merger is None or _UNSAFE.search(t) or any(s in t for s in self.special):
+                split.append(None)
+            else:
+                first, *rest = t.split(" ")
+                split.append([first, *[" " + x for x in rest]])
+        if len(self) > _ROOM:
+            self.clear()
+        new = {c for chunks in split if chunks for c in chunks if c not in self}
+        if new:
+            self.learn(list(new))
+        for t, chunks in zip(texts, split, strict=True):
+            yield self.whole(t) if chunks is None else b"".join(map(self.__getitem__, chunks))
+
+
+_KNOWN: dict[tuple, ChunkIds] = {}
+
+
+def chunk_ids(*key) -> ChunkIds:
+    """One per worker and tokenizer: a worker keeps what it has learnt for its next task."""
+    if key not in _KNOWN:
+        _KNOWN[key] = ChunkIds(*key)
+    return _KNOWN[key]
 
 
 def _tokenize(path: str, end_id: int, width: str):
     def run(batches):
-        ids, part, before = ChunkIds(path, width), TaskContext.get().partitionId(), 0
+        ids, part, before = chunk_ids(path, width), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=width).tobytes()
         for batch in batches:
-            for i, texts in text_pieces(batch.column(1)):
+            for i, texts in text_pieces(batch.column(1), rows=1_000):
                 packed = [x + end for x in ids.of([t or "" for t in texts])]
                 sizes = np.array([len(x) for x in packed], dtype=np.int64) // len(end)
                 starts = before + np.cumsum(sizes) - sizes
