@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from honestpick.functions.lineage import save_table
-from honestpick.llm.text import SPACES, lower_ascii
+from honestpick.llm.text import SPACES, free_name, lower_ascii
 
 _POSITION_BITS = 24
 
@@ -123,8 +123,9 @@ def common_lines(docs: DataFrame, host: str = "source", text: str = "text",
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20,
           max_share: float = 0.05, min_left: float = 0.5, min_words: int = 50,
-          max_repeat: float = 0.5) -> DataFrame:
-    """All columns of `docs` and one more, `quality`, a struct of
+          max_repeat: float = 0.5, out: str = "quality") -> DataFrame:
+    """All columns of `docs` and one more, a struct named `out` (with underscores before it
+    where `docs` has such a column) of
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: of the text as it is;
     base_failed: under `min_words` words, or repeated words above `max_repeat` of them;
@@ -136,9 +137,10 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: i
     """
     lines = save_table(common_lines(docs, host, text, min_docs, max_share)).select(
         F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    body = F.col(f"`{text}`")
     own = docs.columns
-    marked = docs.join(lines, docs[f"`{host}`"].eqNullSafe(lines["_host"]), "left")
+    named = docs.toDF(*[f"c{i}" for i in range(len(own))])      # whatever the columns' names
+    body = F.col(f"c{own.index(text)}")
+    marked = named.join(lines, F.col(f"c{own.index(host)}").eqNullSafe(F.col("_host")), "left")
     m = base_measures(body)
     is_common = lambda x: F.coalesce(                       # noqa: E731
         F.array_contains(F.col("_lines"), line_hash(x)), F.lit(False))
@@ -152,8 +154,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: i
     failed = (n < min_words) | (rep > max_repeat * n)
     measured = marked.withColumn("_m", F.struct(*[c.alias(k) for k, c in m.items()],
                                                 cut.alias("cut"), clean.alias("clean")))
-    return measured.select(*[F.col(f"`{c}`") for c in own], F.struct(
+    return measured.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], F.struct(
         n.alias("n_words"), "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines",
         rep.alias("n_repeat_words"), failed.alias("base_failed"),
         F.col("_m.cut").alias("n_words_cut"), F.col("_m.clean").alias("clean"),
-        (~failed & (n - F.col("_m.cut") >= min_left * n)).alias("kept")).alias("quality"))
+        (~failed & (n - F.col("_m.cut") >= min_left * n)).alias("kept")).alias(free_name(docs, out)))
