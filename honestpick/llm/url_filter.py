@@ -86,9 +86,11 @@ class UrlModel:
         return ngrams(host, path, self.sizes, len(self.weights))
 
     def probability(self, host: str, path: str) -> float:
-        """Of the label 1; the bias alone for an empty url."""
+        """Of the label 1; 0 for a url too short to have n-grams: nothing speaks against it."""
         idx = self.features(host, path)
-        z = self.bias + (self.weights[idx].sum() / np.sqrt(len(idx)) if len(idx) else 0.0)
+        if not len(idx):
+            return 0.0
+        z = self.bias + self.weights[idx].sum() / np.sqrt(len(idx))
         return float(1 / (1 + np.exp(-z)))
 
 
@@ -142,8 +144,7 @@ def judge_urls(pages: DataFrame, model: UrlModel | None = None, rules=RULES,
                threshold: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, p_block for every row.
 
-    A null url, or one without ://, has empty host and path, fits no rule and is judged by the
-    model's bias.  Equal rows are judged alike; other columns are not read.
+    A null url, or one without ://, has empty host and path, fits no rule and is allowed.  Equal rows are judged alike; other columns are not read.
     """
     model = model or train()
     u = F.col(f"`{url}`").cast("string")
