@@ -130,24 +130,57 @@ def binomial_array(size, prob, seed, draws: int) -> Column:
     return variates(size, prob, seed)
 
 
-def hypergeometric_array(good, total, sample, seed, draws: int) -> Column:
-    """ARRAY of `draws` hypergeometric variates: good items in a sample without replacement.
+def _log_factorial_ratio(b: float, d: np.ndarray) -> np.ndarray:
+    """log((b + d)! / b!) by Stirling differences, which lose no digits at large b; exact sums
+    of logs where b or b + d is small."""
+    b = np.float64(b)
+    a = b + d
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = ((b + 0.5) * np.log1p(d / b) + d * np.log(a) - d + (1 / a - 1 / b) / 12
+               - (1 / a ** 3 - 1 / b ** 3) / 360)
+    for i in np.flatnonzero(np.minimum(a, b) < 30):      # Stirling's series is for large ones
+        out[i] = math.lgamma(a[i] + 1) - math.lgamma(b + 1)
+    return out
+
+
+def hypergeometric(rng: np.random.Generator, good: int, total: int, sample: int,
+                   draws: int) -> np.ndarray:
+    """Exact hypergeometric variates for populations of any size: ratio of uniforms.
 
-    numpy refuses populations of 1e9 and more; there the normal limit is used.
+    The distribution is log-concave, so Stadlober's hat around its mean covers it; a candidate
+    is accepted by its probability relative to the mode's.
     """
+    low, high = max(0, sample - (total - good)), min(good, sample)
+    if low == high:
+        return np.full(draws, low, dtype=np.int64)
+    mode = min(max((sample + 1) * (good + 1) // (total + 2), low), high)
+    p = good / total
+    mean = sample * p
+    var = mean * (1 - p) * (total - sample) / (total - 1)
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+
+    def log_relative(k):        # log of P(mode + k) / P(mode)
+        return -(_log_factorial_ratio(mode, k) + _log_factorial_ratio(good - mode, -k)
+                 + _log_factorial_ratio(sample - mode, -k)
+                 + _log_factorial_ratio(total - good - sample + mode, k))
+
+    out = np.empty(0, dtype=np.int64)
+    while len(out) < draws:
+        u = 1 - rng.random(draws)
+        step = np.floor(mean - mode + 0.5 + width * (rng.random(draws) - 0.5) / u)
+        ok = (step >= low - mode) & (step <= high - mode)
+        u, step = u[ok], step[ok]
+        fine = 2 * np.log(u) <= log_relative(step)
+        out = np.concatenate([out, mode + step[fine].astype(np.int64)])
+    return out[:draws]
+
+
+def hypergeometric_array(good, total, sample, seed, draws: int) -> Column:
+    """ARRAY of `draws` hypergeometric variates: good items in a sample without replacement."""
     @F.pandas_udf("array<bigint>")
     def variates(g: pd.Series, n: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        out = []
-        for good_, n_, m_, k in zip(g, n, m, s):
-            rng = _generator(k)
-            if n_ < 1_000_000_000:
-                out.append(rng.hypergeometric(int(good_), int(n_ - good_), int(m_), draws))
-            else:
-                p = good_ / n_
-                sd = math.sqrt(m_ * p * (1 - p) * (n_ - m_) / (n_ - 1))
-                x = np.rint(rng.normal(m_ * p, sd, draws)).astype(np.int64)
-                out.append(np.clip(x, max(0, m_ - (n_ - good_)), min(good_, m_)))
-        return pd.Series(out)
+        return pd.Series([hypergeometric(_generator(k), int(good_), int(n_), int(m_), draws)
+                          for good_, n_, m_, k in zip(g, n, m, s)])
     return variates(good, total, sample, seed)
 
 

@@ -37,22 +37,39 @@ ROWS_PER_BUCKET = 500_000       # rows of one group that one task should sort
 
 
 def id_bucket(df: DataFrame, by: list[str], c: str) -> Column:
-    """Bucket for ordering by a numeric id: equal id ranges, as many as the largest group needs.
+    """Bucket for ordering by a number: ranges of one width, narrowed until the fullest is small.
 
-    Looks at the group sizes and the id range first (one small aggregate), so sparse or
-    random ids do not make a bucket of every row.
+    Each step is one small aggregate.  Crowded ids, or one far away, only make the width
+    smaller; ranges without rows cost nothing.
     """
-    low, high, largest = _profile(df, by, F.min(c), F.max(c))
-    buckets = math.ceil((largest or 0) / ROWS_PER_BUCKET)
-    if buckets <= 1 or low == high:
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"),
+                                 F.max(c).alias("hi"))
+    largest, low, high = groups.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+    if (largest or 0) <= ROWS_PER_BUCKET or low == high:
         return F.lit(0)
-    width = (float(high) - float(low)) / buckets
-    return F.floor((F.col(c).cast("double") - F.lit(float(low))) / F.lit(width))
+    span = float(high) - float(low)
+    width = span / math.ceil(largest / ROWS_PER_BUCKET)
+    while True:
+        bucket = F.floor((F.col(c).cast("double") - F.lit(float(low))) / F.lit(width))
+        if _fullest(df, by, bucket) < 2 * ROWS_PER_BUCKET or width < span * 2 ** -50:
+            return bucket
+        width /= 8
+
+
+def prefix_bucket(df: DataFrame, by: list[str], c: str) -> Column:
+    """Bucket for ordering by text (or a value of another type, as text): as many leading
+    characters as make the fullest bucket small."""
+    length = 0
+    while True:
+        bucket = F.coalesce(F.substring(F.col(c).cast("string"), 1, length), F.lit(""))
+        if _fullest(df, by, bucket) < 2 * ROWS_PER_BUCKET or length >= 256:
+            return bucket
+        length = 2 * length or 1
 
 
 def hex_digits(df: DataFrame, by: list[str]) -> int:
     """Leading hex digits that cut the largest group's uniform hashes into small buckets."""
-    _, _, largest = _profile(df, by, F.lit(None), F.lit(None))
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     digits = 0
     while (largest or 0) / 16 ** digits > ROWS_PER_BUCKET:
         digits += 1
@@ -64,7 +81,6 @@ def hex_bucket(h, digits: int) -> Column:
     return F.substring(h, 1, digits) if digits else F.lit("")
 
 
-def _profile(df, by, low, high):
-    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), low.alias("lo"), high.alias("hi"))
-    row = groups.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    return row[1], row[2], row[0]
+def _fullest(df: DataFrame, by: list[str], bucket: Column) -> int:
+    counts = df.groupBy(*by, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from honestpick.functions import draws as D
 from honestpick.functions.columns import winner_of
 from honestpick.functions.lineage import cut_lineage, save_table
-from honestpick.functions.ranks import hex_bucket, hex_digits, id_bucket, with_position
+from honestpick.functions.ranks import id_bucket, prefix_bucket, with_position
 from honestpick.operators.effects import TEST, arm_effects, select_winner
 
 BLOCK = 50_000       # slots of one draw unfolded at a time
@@ -29,20 +29,23 @@ def poisson_draws(rows: DataFrame, draws: int, by: list[str] = TEST, arm: str =
     per task however many rows an arm has.
     """
     keys = list(dict.fromkeys([*by, arm, *row_key]))
-    slim = rows.select(*dict.fromkeys([*keys, value]))
+    slim = observed(rows, value).select(*dict.fromkeys([*keys, value]))
     weighted = D.with_poisson_weights(slim, draws, keys, seed, salt, fast, first=first)
     return weighted.groupBy(*by, arm, "draw").agg(
         F.sum("weight").alias("n"),
         (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("effect"))
 
 
+def observed(rows: DataFrame, value: str) -> DataFrame:
+    """Rows with an outcome: the others count neither in sizes nor in draws, folds or positions."""
+    return rows.where(F.col(value).isNotNull())
+
+
 def numbered(rows: DataFrame, by: list[str], arm: str, row_key: str) -> DataFrame:
-    """Rows with their position inside the arm and the arm's size."""
-    if isinstance(rows.schema[row_key].dataType, (T.LongType, T.IntegerType)):
-        return with_position(rows, [*by, arm], [row_key], id_bucket(rows, [*by, arm], row_key))
-    digits = hex_digits(rows, [*by, arm])
-    hashed = rows.withColumn("_h", F.md5(F.col(row_key).cast("string")))
-    return with_position(hashed, [*by, arm], ["_h", row_key], hex_bucket("_h", digits)).drop("_h")
+    """Rows with their position inside the arm, in the key's own order, and the arm's size."""
+    kind = rows.schema[row_key].dataType
+    cut = id_bucket if isinstance(kind, T.NumericType) else prefix_bucket
+    return with_position(rows, [*by, arm], [row_key], cut(rows, [*by, arm], row_key))
 
 
 def slots(sizes: DataFrame, draws: int, strata: list[str],
@@ -91,8 +94,8 @@ def index_draws(rows: DataFrame, sizes: DataFrame, draws: int, by: list[str] = T
                 powers: list[float] | None = None, seed: int = 42, salt: str = "moon",
                 fast: bool = False) -> DataFrame:
     """(by..., [power,] arm, draw, n, effect): means of exact resamples within the arm."""
-    drawn = index_rows(rows, sizes, draws, [*by, arm], [value], row_key, powers, seed, salt,
-                       fast)
+    drawn = index_rows(observed(rows, value), sizes, draws, [*by, arm], [value], row_key, powers,
+                       seed, salt, fast)
     return drawn.groupBy(*by, *(["power"] if powers is not None else []), arm, "draw").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("effect"))
 
@@ -107,7 +110,7 @@ def poisson_moon_draws(rows: DataFrame, sizes: DataFrame, draws: int, power: flo
     """
     keys = list(dict.fromkeys([*by, arm, *row_key, "draw"]))
     rate = F.floor(F.pow("n", F.lit(power))) / F.col("n")
-    joined = rows.select(*dict.fromkeys([*by, arm, *row_key, value])).join(
+    joined = observed(rows, value).select(*dict.fromkeys([*by, arm, *row_key, value])).join(
         sizes.select(*by, arm, rate.alias("_rate")), [*by, arm])
     drawn = D.with_draws(joined, draws).withColumn(
         "weight", D.poisson_rate_weight(D.uniform(keys, seed, salt, fast), F.col("_rate")))

@@ -1,5 +1,7 @@
 """Joins with enforced cardinality and aligned comparisons."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -62,3 +64,11 @@ def with_grid(df: DataFrame, **settings) -> DataFrame:
     for name, values in settings.items():
         df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
+                   how: str = "left") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key, as groups do; keys are taken from left."""
+    renamed = right.withColumnsRenamed({k: f"_{k}_r" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}_r")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_{k}_r" for k in keys])

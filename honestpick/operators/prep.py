@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from honestpick.functions.columns import (attach_row, bin_arm_count, coerce_bool, col, finite,
                                           safe_ratio)
 from honestpick.functions.quantiles import exact_quantiles
+from honestpick.operators.joins import join_null_safe
 from honestpick.schema import RAW_ARM_COLUMNS
 
 
@@ -99,7 +100,7 @@ def add_arm_bin(df: DataFrame, c: str = "n_arms", name: str = "arm_bin") -> Data
 
 def _attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     """Join per-group values; without groups the small side is exactly one row."""
-    return df.join(small, by, "left") if by else attach_row(df, small)
+    return join_null_safe(df, small, by) if by else attach_row(df, small)
 
 
 def quantile_bins(df: DataFrame, bins: dict[str, str], q: int, by: list[str] = (),

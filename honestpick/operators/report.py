@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import gauss
-from honestpick.functions.columns import bin_arm_count, col, safe_ratio
+from honestpick.functions.columns import attach_row, bin_arm_count, col, safe_ratio
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators import bootstrap as B, effects as E, selective as S, shrink as H
 from honestpick.operators import splits as V
+from honestpick.operators.joins import join_null_safe
 from honestpick.operators.prep import quantile_bin, truncate_errors
 from honestpick.schema import ESTIMATOR_FAMILIES
 
@@ -22,7 +23,7 @@ def with_quantiles(main: DataFrame, source: DataFrame, value, probs: dict[str, f
     """Add exact quantiles of a column to a grouped table."""
     q = exact_quantiles(source, value, list(probs.values()), by)
     q = q.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(probs)])
-    return main.join(q, by, "left")
+    return join_null_safe(main, q, by) if by else attach_row(main, q)
 
 
 # --- per-test estimates (R1) ---------------------------------------------------------------
@@ -347,8 +348,9 @@ def moon_table(errors: DataFrame, size: str, powers: list[float],
 
 def family_rank(c="estimator") -> Column:
     rank = F.when(F.lit(False), F.lit(0))
-    for i, prefix in enumerate(ESTIMATOR_FAMILIES):
-        rank = rank.when(col(c).startswith(prefix), i)
+    for i, patterns in enumerate(ESTIMATOR_FAMILIES):
+        fits = [col(c).startswith(p[:-1]) if p.endswith("*") else col(c) == p for p in patterns]
+        rank = rank.when(reduce(Column.__or__, fits), i)
     return rank.otherwise(len(ESTIMATOR_FAMILIES))
 
 

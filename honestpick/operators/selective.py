@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from honestpick.functions import gauss
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators.effects import TEST
+from honestpick.operators.joins import join_null_safe
 
 STEPS = 200          # halvings of a bracket; doubles run out well before
 BETA_SHARE = 0.1     # part of alpha the hybrid method spends on the projection
@@ -189,7 +190,7 @@ def si_convergence(df: DataFrame, by: list[str]) -> DataFrame:
         F.avg((F.col("not_converged") > 0).cast("int")).alias("share_affected"))
     medians = exact_quantiles(df, "not_converged", [0.5], by).select(
         *by, F.col("q")[0].alias("median_not_converged"))
-    return main.join(medians, by)
+    return join_null_safe(main, medians, by)
 
 
 def coverage(df: DataFrame, truth: str, by: list[str], estimate: str = "corrected",
@@ -210,4 +211,4 @@ def coverage(df: DataFrame, truth: str, by: list[str], estimate: str = "correcte
         *by, F.col("q")[0].alias("median_error"))
     wid = exact_quantiles(df, F.col(high) - F.col(low), [0.5], by).select(
         *by, F.col("q")[0].alias("median_width"))
-    return main.join(err, by, "left").join(wid, by, "left")
+    return join_null_safe(join_null_safe(main, err, by), wid, by)

@@ -9,8 +9,8 @@ from honestpick.functions.columns import attach_row, normal_density
 from honestpick.functions.lineage import cut_lineage
 from honestpick.operators.bootstrap import numbered
 from honestpick.operators.effects import TEST, select_winner
+from honestpick.operators.joins import join_null_safe
 
-MAX_BINS = 5_000             # histogram bins one spline fit may hold
 BROADCAST_GROUPS = 100_000   # groups up to which EM parameters are broadcast
 
 
@@ -153,32 +153,94 @@ def _spline_curvature(y: np.ndarray, h: float) -> np.ndarray:
     return m
 
 
-_FIT = T.StructType([T.StructField("y", T.ArrayType(T.DoubleType())),
-                     T.StructField("m", T.ArrayType(T.DoubleType()))])
+def _basis_curvature(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Second derivatives of the natural spline basis."""
+    def d(k):
+        return 6 * (np.maximum(x - knots[k], 0) - np.maximum(x - knots[-1], 0)) / (
+            knots[-1] - knots[k])
+    last = d(len(knots) - 2)
+    zero = np.zeros_like(x)
+    return np.column_stack([zero, zero] + [d(k) - last for k in range(len(knots) - 2)])
+
+
+def _smooth_fit(x: np.ndarray, counts: np.ndarray, nb: int, dof: int, width: float,
+                at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Poisson spline fit where bins are far finer than the spline: (log mean, its second
+    derivative) at the centres of the bins `at` and the ones after them.
+
+    Sums over all bins are integrals over the pieces between knots (Gauss-Legendre), so memory
+    and time follow the occupied bins, not the range.
+    """
+    ends = np.array([0.5, nb - 0.5]) * width
+    knots = np.linspace(*ends, dof)
+    x0, scale = ends.mean(), nb * width / np.sqrt(12)
+    k = (knots - x0) / scale
+    node, weight = np.polynomial.legendre.leggauss(400)
+    half = np.diff(knots)[:, None] / 2
+    nodes = (knots[:-1, None] + half * (node + 1)).ravel()
+    weights = (half * weight / width).ravel()
+    weights *= nb / weights.sum()
+    every, seen = (_natural_basis((v - x0) / scale, k) for v in (nodes, x))
+    beta = np.zeros(dof)
+    beta[0] = np.log(counts.sum() / nb)
+
+    def gain(v):
+        with np.errstate(over="ignore"):
+            return counts @ (seen @ v) - weights @ np.exp(every @ v)
+
+    best = gain(beta)
+    for _ in range(200):
+        mu = weights * np.exp(every @ beta)
+        step = np.linalg.lstsq(every.T @ (every * mu[:, None]), seen.T @ counts - every.T @ mu,
+                               rcond=None)[0]
+        size = 1.0
+        while size > 1e-8 and not gain(beta + size * step) > best:
+            size /= 2
+        if size <= 1e-8:
+            break
+        beta = beta + size * step
+        best = gain(beta)
+    centres = (np.concatenate([at, at + 1]) + 0.5) * width
+    z = (centres - x0) / scale
+    return _natural_basis(z, k) @ beta, _basis_curvature(z, k) @ beta / scale ** 2
+
+
+_FIT = T.ArrayType(T.StructType([T.StructField("bin", T.LongType())] + [
+    T.StructField(c, T.DoubleType()) for c in ("y0", "y1", "m0", "m1")]))
+FINE = 100_000      # bins beyond which sums over bins are taken as integrals (equal to 1e-9)
 
 
 def _log_density_fit(dof: int, width: float):
+    """Fitted log density and curvature at the centres around each piece that a row may need."""
     @F.pandas_udf(_FIT)
-    def fit(low: pd.Series, n_bins: pd.Series, bins: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        ys, ms = [], []
-        for lo, nb, b, c in zip(low, n_bins, bins, counts):
-            y = m = None
+    def fit(n_bins: pd.Series, bins: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for nb, b, c in zip(n_bins, bins, counts):
+            pieces = None
             if nb >= max(3, dof):
-                dense = np.zeros(int(nb))
-                dense[np.asarray(b, int)] = np.asarray(c, float)
-                x = (np.arange(nb) + 0.5) * width        # distance from the lowest value
-                knots = np.quantile(x, np.linspace(0, 1, dof))
-                x0, scale = x.mean(), max(x.std(), 1e-300)
+                nb, b, c = int(nb), np.asarray(b, np.int64), np.asarray(c, float)
+                i = np.unique(np.clip(np.concatenate([b - 1, b]), 0, nb - 2))
                 try:
-                    eta = _poisson_fit(_natural_basis((x - x0) / scale, (knots - x0) / scale),
-                                       dense)
-                    if np.all(np.isfinite(eta)):
-                        y, m = eta, _spline_curvature(eta, width)
+                    if nb > FINE:
+                        y, m = _smooth_fit((b + 0.5) * width, c, nb, dof, width, i)
+                        y0, y1, m0, m1 = y[:len(i)], y[len(i):], m[:len(i)], m[len(i):]
+                    else:
+                        dense = np.zeros(nb)
+                        dense[b] = c
+                        x = (np.arange(nb) + 0.5) * width    # distance from the lowest value
+                        knots = np.quantile(x, np.linspace(0, 1, dof))
+                        x0, scale = x.mean(), max(x.std(), 1e-300)
+                        y = _poisson_fit(_natural_basis((x - x0) / scale, (knots - x0) / scale),
+                                         dense)
+                        m = _spline_curvature(y, width)
+                        y0, y1, m0, m1 = y[i], y[i + 1], m[i], m[i + 1]
+                    if all(np.all(np.isfinite(v)) for v in (y0, y1, m0, m1)):
+                        pieces = [dict(bin=k, y0=p, y1=q, m0=r, m1=s) for k, p, q, r, s in zip(
+                            *(v.tolist() for v in (i, y0, y1, m0, m1)))]
                 except np.linalg.LinAlgError:
                     pass
-            ys.append(y)
-            ms.append(m)
-        return pd.DataFrame({"y": ys, "m": ms})
+            out.append(pieces)
+        return pd.Series(out)
     return fit
 
 
@@ -186,38 +248,39 @@ def posterior_eb_tweedie(effects: DataFrame, over: list[str], dof: int = 3,
                          bin_width: float = 0.2) -> DataFrame:
     """Adds `posterior` = effect + var * slope of the log density, NULL where the fit failed.
 
-    Counting per bin and applying the slope are Spark's; only a group's histogram (at most
-    MAX_BINS numbers) reaches Python.
+    Counting per bin and applying the slope are Spark's; only a group's histogram reaches
+    Python, whose memory grows with the group's range over the bin width, not with its rows.
+    Rows fetch the piece of the fit they fall in by a join on (group, piece).
     """
     w = float(bin_width)
-    stats = effects.groupBy(*over).agg(F.min("effect").alias("_low"), F.max("effect").alias("_hi"))
+    keys = over or ["_all"]
+    rows = effects if over else effects.withColumn("_all", F.lit(1))
+    stats = rows.groupBy(*keys).agg(F.min("effect").alias("_low"), F.max("effect").alias("_hi"))
     stats = stats.withColumn("_nb", F.greatest(F.lit(1), F.ceil(
         (F.col("_hi") - F.col("_low")) / w))).drop("_hi")
-    binned = (effects.join(stats, over) if over else attach_row(effects, stats)).withColumn(
-        "_bin", F.least(F.floor((F.col("effect") - F.col("_low")) / w), F.col("_nb") - 1))
-    hist = (binned.where(F.col("_nb") <= MAX_BINS).groupBy(*over, "_low", "_nb", "_bin")
-            .agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy(*over, "_low", "_nb").agg(F.sort_array(F.collect_list(
-                F.struct("_bin", "_c"))).alias("_h")))
-    fitted = hist.withColumn("_f", _log_density_fit(dof, w)(
-        F.col("_low"), F.col("_nb"), F.col("_h._bin"), F.col("_h._c")))
-    fits = fitted.select(*over, "_low", "_nb", "_f.y", "_f.m")
-    if over:
-        joined = effects.join(fits, over, "left")
-    else:
-        joined = attach_row(effects, fits)
+    placed = join_null_safe(rows, stats, keys)
     t = F.col("effect") - F.col("_low") - w / 2          # distance from the first centre
-    i = F.least(F.greatest(F.floor(t / w), F.lit(0)), F.col("_nb") - 2).cast("int")
-    y0, y1 = F.get("y", F.col("_i")), F.get("y", F.col("_i") + 1)
-    m0, m1 = F.get("m", F.col("_i")), F.get("m", F.col("_i") + 1)
+    placed = placed.withColumn("_t", t).withColumn("_i", F.least(
+        F.greatest(F.floor(t / w), F.lit(0)), F.col("_nb") - 2).cast("bigint"))
+    hist = (placed.where(F.col("effect").isNotNull()).withColumn("_bin", F.least(
+        F.floor((F.col("effect") - F.col("_low")) / w), F.col("_nb") - 1))
+            .groupBy(*keys, "_nb", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy(*keys, "_nb").agg(F.sort_array(F.collect_list(
+                F.struct("_bin", "_c"))).alias("_h")))
+    pieces = hist.select(*keys, F.explode(_log_density_fit(dof, w)(
+        F.col("_nb"), F.col("_h._bin"), F.col("_h._c"))).alias("_f"))
+    pieces = pieces.select(*keys, F.col("_f.bin").alias("_i"), *[F.col(f"_f.{c}").alias(f"_{c}")
+                                                               for c in ("y0", "y1", "m0", "m1")])
+    joined = join_null_safe(placed, pieces, [*keys, "_i"])
     right = (F.col("_i") + 1) * w - F.col("_t")
     left = F.col("_t") - F.col("_i") * w
+    y0, y1, m0, m1 = (F.col(f"_{c}") for c in ("y0", "y1", "m0", "m1"))
     slope = (-m0 * right * right / (2 * w) + m1 * left * left / (2 * w)
              + (y1 - y0) / w - w * (m1 - m0) / 6)
-    return (joined.withColumns({"_t": t, "_i": i})
-            .withColumn("posterior", F.col("effect") + F.col("var") * slope)
-            .withColumn("fit_failed", F.col("posterior").isNull())
-            .drop("_t", "_i", "_low", "_nb", "y", "m"))
+    out = joined.withColumn("posterior", F.col("effect") + F.col("var") * slope).withColumn(
+        "fit_failed", F.col("posterior").isNull())
+    return out.select(*[c for c in effects.columns if c not in ("posterior", "fit_failed")],
+                      "posterior", "fit_failed")
 
 
 def correct_eb_tweedie(effects: DataFrame, over: list[str], by: list[str] = TEST,

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 from honestpick.functions import draws as D
 from honestpick.functions.quantiles import exact_median
 from honestpick.functions.ranks import hex_bucket, hex_digits, with_position
-from honestpick.operators.bootstrap import numbered
+from honestpick.operators.bootstrap import numbered, observed
 from honestpick.operators.effects import TEST, select_winner
+from honestpick.operators.joins import join_null_safe
 
 
 def split_rows(rows: DataFrame, fraction: float, splits: int, strata: list[str],
@@ -141,7 +142,7 @@ def correct_jackknife(rows: DataFrame, by: list[str] = TEST, arm: str = "arm",
     An arm shorter than i keeps its full mean; the best such arm is looked up in the test's
     arm list, so unequal arms need no padding rows.  A pick without an i-th row scores nothing.
     """
-    num = numbered(rows.select(*by, arm, row_key, value), by, arm, row_key)
+    num = numbered(observed(rows, value).select(*by, arm, row_key, value), by, arm, row_key)
     totals = num.groupBy(*by, arm).agg(F.sum(value).alias("_s"))
     arms = (num.groupBy(*by, arm).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_e"))
             .groupBy(*by).agg(F.collect_list(F.struct(
@@ -193,7 +194,7 @@ def backtest_summary(errors: DataFrame, by: list[str] = ()) -> DataFrame:
     medians = exact_median(errors.unpivot(keys, measures, "_m", "_x"), "_x", [*keys, "_m"])
     wide = medians.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_m") == m, F.col("median"))).alias(f"median_{m}") for m in measures])
-    return means.join(wide, keys)
+    return join_null_safe(means, wide, keys)
 
 
 def pick_shares(errors: DataFrame, arms: list[int], by: list[str] = ()) -> DataFrame:

@@ -67,7 +67,7 @@ def fit_arm_ols(train: DataFrame, features: list[str], by: list[str] = (), t: st
     k = len(x)
     w = F.lit(1.0) if weight is None else F.col(weight)
     cols = {f"_x{i}": c for i, c in enumerate(x)}
-    rows = train.select(*by, (F.col(t) - 1).alias("arm"), F.col(y).alias("_y"), w.alias("_w"),
+    rows = train.where(F.col(y).isNotNull()).select(*by, (F.col(t) - 1).alias("arm"), F.col(y).alias("_y"), w.alias("_w"),
                         *[c.alias(n) for n, c in cols.items()])
     names = list(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]

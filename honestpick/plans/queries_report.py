@@ -372,7 +372,8 @@ def _(spark, sf):
 
 
 @query("r21_order_estimators", with_(**_ERR) + """
-SELECT estimator, n, CASE estimator WHEN 'none' THEN 0 WHEN 'standard' THEN 2 ELSE 7 END AS family
+SELECT estimator, n, CASE estimator WHEN 'none' THEN 0 WHEN 'standard' THEN 1 WHEN 'split' THEN 5 ELSE 6 END
+  AS family
 FROM (SELECT estimator, count(*) AS n FROM err GROUP BY estimator)""")
 def _(spark, sf):
     counts = R.error_table(spark, sf).groupBy("estimator").agg(F.count(F.lit(1)).alias("n"))

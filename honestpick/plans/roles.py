@@ -13,26 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 PRICE_UNIT = 1370.0
 
 
-SMALL_INPUT = 256 * 1024 * 1024      # bytes; a larger table has enough file splits itself
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, sf_dir: str, name: str) -> DataFrame:
-    """Rows of a small file dealt out to all cores before they are multiplied by draws.
-
-    Decided by the table's size on storage; large tables keep their scan partitions.
-    """
-    spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getContentSummary(path).getLength() > SMALL_INPUT:
-        return rows
-    return rows.repartition(spark.sparkContext.defaultParallelism)
-
-
 def raw_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arm-level table as it would arrive: text flags, one row per test and arm."""
     per_part = (table(spark, sf_dir, "lineitem")
@@ -119,7 +103,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority")
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return spread(o, sf_dir, "orders").join(c, "o_custkey").select(
+    return o.join(c, "o_custkey").select(
         F.concat_ws("-", "c_mktsegment", F.year("o_orderdate").cast("string")).alias("test_id"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("arm"),
         F.col("o_orderkey").alias("row_id"),
@@ -132,7 +116,7 @@ def priority_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One store-wide experiment: arm = order priority; three outcome columns."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return spread(orders, sf_dir, "orders").select(
+    return orders.select(
         F.lit("orders").alias("test_id"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("arm"),
         F.col("o_orderkey").alias("row_id"),
@@ -156,7 +140,7 @@ def targeting_train(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
         "l_extendedprice")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    return spread(line, sf_dir, "lineitem").join(part, "l_partkey").select(
+    return line.join(part, "l_partkey").select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
                            ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                             "l_returnflag")],
@@ -176,7 +160,7 @@ def targeting_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(market, row_id, product): a user's events, viewing is the outside option."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return spread(events, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("market"), F.col("event_id").alias("row_id"),
         F.when(F.col("event_type") == "view", "outside")
          .otherwise(F.col("event_type")).alias("product"))

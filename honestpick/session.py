@@ -1,8 +1,29 @@
 """Session settings used by the tests and the bench."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions started elsewhere than in its folder.
+
+    Vectorised functions are found by name in the workers; an installed package needs no
+    shipping.
+    """
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "honestpick.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.addArtifacts(path, pyfile=True)
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("honestpick")
