@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from honestpick.functions import gauss
 from honestpick.functions.columns import attach_row, normal_density
-from honestpick.functions.lineage import cut_lineage
+from honestpick.functions.lineage import cut_lineage, save_table
 from honestpick.operators.bootstrap import numbered
 from honestpick.operators.effects import TEST, select_winner
 from honestpick.operators.joins import join_null_safe
 
-BROADCAST_GROUPS = 100_000   # groups up to which EM parameters are broadcast
 
 
 # --- plug-in, two arms (C1, C2) -----------------------------------------------------------
@@ -299,8 +298,8 @@ def _slab_weight() -> Column:
 
 
 def spike_slab_fit(effects: DataFrame, over: list[str], pi: float = 0.5, max_iter: int = 100,
-                   tol: float = 1e-6, compat: bool = False, chunk: int = 5) -> DataFrame:
-    """(over..., pi, mu0, tau2, previous parameters): EM as repeated aggregates.
+                   tol: float = 1e-6, compat: bool = False, chunk: int = 10) -> DataFrame:
+    """(over..., pi, mu0, tau2, previous parameters, converged): EM as repeated aggregates.
 
     A step is one grouped sum over the data; parameters stay a DataFrame and are checkpointed
     every `chunk` steps, when convergence is also looked at.  A converged group stays put.
@@ -316,17 +315,13 @@ def spike_slab_fit(effects: DataFrame, over: list[str], pi: float = 0.5, max_ite
         params = params.withColumn(f"{old}_last", F.col(old))
     noise = F.col("var") * F.col("var") if compat else F.col("var")
 
-    params = cut_lineage(params)
-    if params.count() <= BROADCAST_GROUPS:      # a few numbers per group, counted first
-        send = F.broadcast
-    else:
-        def send(p):
-            return p
+    # parameters are read back from files, whose size Spark weighs when it plans the join
+    params = save_table(params)
     state = ["pi", "mu0", "tau2", "pi_last", "mu0_last", "tau2_last", "change"]
 
     def step(p):
         # the old parameters ride along as grouping keys, so a step reads `p` once
-        sums = slim.join(send(p), key).withColumn("_r", _slab_weight()).groupBy(
+        sums = slim.join(p, key).withColumn("_r", _slab_weight()).groupBy(
             *key, *state).agg(
             F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"),
             F.sum(F.col("_r") * F.col("effect")).alias("_sx"),
@@ -351,9 +346,10 @@ def spike_slab_fit(effects: DataFrame, over: list[str], pi: float = 0.5, max_ite
         for _ in range(min(chunk, max_iter - done)):
             params = step(params)
             done += 1
-        params = cut_lineage(params)
+        params = save_table(params)
         if params.agg(F.max("change")).first()[0] < tol:
             break
+    params = params.withColumn("converged", F.col("change") < tol)
     return params if over else params.drop("_all")
 
 
@@ -379,7 +375,7 @@ def correct_eb_spike_slab(effects: DataFrame, over: list[str] = TEST, by: list[s
                           tol: float = 1e-6, compat: bool = False) -> DataFrame:
     params = spike_slab_fit(effects, over, pi, max_iter, tol, compat)
     return value_of_pick(posterior_spike_slab(effects, params, over, compat), "eb_spike_slab",
-                         by, arm, ["pi", "mu0", "tau2"])
+                         by, arm, ["pi", "mu0", "tau2", "converged"])
 
 
 _NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(80)

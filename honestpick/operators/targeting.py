@@ -17,7 +17,6 @@ from honestpick.operators.bootstrap import index_rows
 from honestpick.operators.splits import split_rows
 
 OUTLIER = 20.0
-BROADCAST_NUMBERS = 2_000_000      # coefficients up to which fitted models are broadcast
 
 
 # --- fit and predict (T1, T2, T4) -------------------------------------------------------------
@@ -222,9 +221,9 @@ def draw_biases(target: DataFrame, fits: DataFrame, drawn_fits: DataFrame, featu
                            variances=False).withColumnRenamed("effects", "_original")
     fitted = all_of([F.col(f"_c{a}.beta").isNotNull() for a in range(n_arms)])
     models = _coefficients(drawn_fits, n_arms, [draw], False).where(fitted)
-    if draws * n_arms * len(x) <= BROADCAST_NUMBERS:
-        models = F.broadcast(models)
-    joined = D.with_draws(base, draws, draw).join(models, draw)
+    # draws x arms x terms numbers, set by parameters: the data's size has no part in it, and a
+    # shuffle on the draw would put all customers of a draw in one task
+    joined = D.with_draws(base, draws, draw).join(F.broadcast(models), draw)
     e = _effects(x, n_arms)
     joined = joined.withColumn("_e", e if outlier is None else
                                repair_outliers(e, n_arms, outlier))
@@ -252,7 +251,7 @@ def policy_correct_standard(train: DataFrame, target: DataFrame, features: list[
 
     With `power` in (-0.5, 0): the numerical bootstrap, biases scaled by n^power * sqrt(n).
     """
-    slim = train.select(row_key, *features, "t", "y")
+    slim = train.where("y IS NOT NULL").select(row_key, *features, "t", "y")
     fits = save_table(fit_arm_ols(slim, features))
     weighted = D.with_poisson_weights(slim, draws, [row_key], seed,
                                       "policy" if power is None else "policy-num", fast)
@@ -281,6 +280,7 @@ def policy_correct_moon(train: DataFrame, target: DataFrame, features: list[str]
     """floor(n_k^power) rows drawn within every arm; biases scaled by sqrt(sum m / sum n)."""
     if not 0 < power < 1:
         raise ValueError("power must be in (0, 1)")
+    train = train.where("y IS NOT NULL")
     fits = save_table(fit_arm_ols(train, features))
     sizes = fits.select((F.col("arm") + 1).alias("t"), F.col("n").cast("bigint").alias("n"))
     rows = index_rows(train, sizes, draws, ["t"], [*features, "y"], row_key, [power], seed,
@@ -363,7 +363,7 @@ def policy_split(train: DataFrame, target: DataFrame, features: list[str], n_arm
                  outlier: float | None = OUTLIER, seed: int = 42,
                  fast: bool = False) -> DataFrame:
     """Fit and pick on one part, refit on the rest for the value; one row per split."""
-    parts = split_rows(train.select(row_key, *features, "t", "y"), fraction, splits, [],
+    parts = split_rows(train.where("y IS NOT NULL").select(row_key, *features, "t", "y"), fraction, splits, [],
                        row_key, seed, "policy-split", fast)
     fits = fit_arm_ols(parts, features, ["split_id", "in_est"])
     x = basis(features)
@@ -371,9 +371,8 @@ def policy_split(train: DataFrame, target: DataFrame, features: list[str], n_arm
     for side, prefix in ((True, "_c"), (False, "_d")):
         c = _coefficients(fits.where(F.col("in_est") == side), n_arms, ["split_id"], False)
         sides.append(c.withColumnsRenamed({f"_c{a}": f"{prefix}{a}" for a in range(n_arms)}))
-    models = sides[0].join(sides[1], "split_id")
-    if splits * n_arms * len(x) <= BROADCAST_NUMBERS:
-        models = F.broadcast(models)
+    # splits x arms x terms numbers, set by parameters
+    models = F.broadcast(sides[0].join(sides[1], "split_id"))
     joined = D.with_draws(fold_target(target, features), splits, "split_id").join(
         models, "split_id")
 

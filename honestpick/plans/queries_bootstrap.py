@@ -136,7 +136,7 @@ def _(spark, sf):
 
 
 @query("b7_correct_conditional", with_(
-    "rpick", drawn=drawn_sql("rows_", 60, "cond"), all_found=bias_sql(), found="""
+    "rpick", drawn=drawn_sql("rows_", 400, "cond"), all_found=bias_sql(), found="""
   SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY a.test_id ORDER BY draw) AS rk
     FROM all_found a JOIN rpick p ON a.test_id = p.test_id AND a.selected_arm = p.arm)
   WHERE rk <= 20""") + """
@@ -144,10 +144,10 @@ SELECT t.*, accepted, attempts, round(accepted / attempts::DOUBLE, 6) AS accepta
 """ + correct_sql("conditional").replace("'ok' AS status", """
   CASE WHEN c < 20 THEN 'short' ELSE 'ok' END AS status""") + """) t
 JOIN (SELECT test_id, count(*) AS accepted,
-        CASE WHEN count(*) = 20 THEN max(draw) + 1 ELSE 60 END AS attempts
+        CASE WHEN count(*) = 20 THEN max(draw) + 1 ELSE 400 END AS attempts
       FROM found GROUP BY test_id) a ON t.test_id = a.test_id""")
 def _(spark, sf):
-    out = B.correct_conditional(rows(spark, sf), DRAWS, max_attempts=60)
+    out = B.correct_conditional(rows(spark, sf), DRAWS, max_attempts=400)
     return rounded(out, *_STATS, "acceptance_rate")
 
 

@@ -85,7 +85,7 @@ def _(spark, sf):
 @query("c6_correct_eb_spike_slab")
 def _(spark, sf):
     e = _centred(E.arm_effects(R.order_rows(spark, sf)))
-    return H.correct_eb_spike_slab(e, over=["arm"], max_iter=20)
+    return H.correct_eb_spike_slab(e, over=["arm"])
 
 
 def _centred(effects):
@@ -98,7 +98,7 @@ def _centred(effects):
 @query("c7_correct_spike_slab_selected")
 def _(spark, sf):
     e = _centred(E.arm_effects(R.pair_rows(spark, sf)))
-    return H.correct_spike_slab_selected(e, max_iter=20)
+    return H.correct_spike_slab_selected(e)
 
 
 @query("c8_eb_failures", with_(**_ERR) + """

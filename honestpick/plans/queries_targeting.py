@@ -170,7 +170,7 @@ def _(spark, sf):
 
 
 _T9 = dict(tnum="""
-  SELECT t, x, y, row_number() OVER (PARTITION BY t ORDER BY md5(row_id), row_id) - 1 AS pos,
+  SELECT t, x, y, row_number() OVER (PARTITION BY t ORDER BY row_id) - 1 AS pos,
     count(*) OVER (PARTITION BY t) AS n FROM train""", tslot=f"""
   SELECT t, draw, {hash48_sql("CAST(t AS VARCHAR), CAST(pos AS VARCHAR), CAST(draw AS VARCHAR), '700'",
                               42, "policy-moon")} % n AS pos
