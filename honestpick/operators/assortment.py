@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from honestpick.functions import draws as D
 from honestpick.functions.lineage import save_table
 from honestpick.operators.bootstrap import index_rows
-from honestpick.operators.joins import with_grid
+from honestpick.operators.joins import join_null_safe, with_grid
 from honestpick.operators.splits import split_rows
 
 OUTSIDE = "outside"
@@ -95,14 +95,17 @@ def best_assortment(effects: DataFrame, capacity: int, by: list[str] = ("market"
     """(by..., members, value): the `capacity` products with the largest v.
 
     The value rises with every exp(v), so no enumeration is needed for any number of products.
-    Equal v go to the later product, the set an enumeration would meet first.
+    Equal v go to the later product, the set an enumeration would meet first.  A market without
+    any estimable v has no members and a NULL value.
     """
     w = Window.partitionBy(*by).orderBy(F.col("v").desc(), F.col("position").desc())
     top = (effects.where(F.col("v").isNotNull()).withColumn("_r", F.row_number().over(w))
            .where(F.col("_r") <= capacity))
     s = F.sum(F.exp("v"))
-    return top.groupBy(*by).agg(
+    best = top.groupBy(*by).agg(
         F.array_sort(F.collect_list("product")).alias("members"), (s / (1 + s)).alias("value"))
+    return join_null_safe(effects.select(*by).distinct(), best, list(by)).withColumn(
+        "members", F.coalesce("members", F.array().cast("array<string>")))
 
 
 def posterior_assortment(draw_effects: DataFrame, n_products: int, capacity: int,
@@ -198,7 +201,10 @@ def assortment_correct(choices: DataFrame, products: list[str], capacities: list
     naive = _top_sets(effects, capacities, by).groupBy(*by, "capacity").agg(
         _value(F.sum(F.exp("v"))).alias("naive"))
     mean = biases.groupBy(*by, "capacity").agg(F.avg("bias").alias("bias"))
-    return naive.join(mean, [*by, "capacity"]).select(
+    # a market without an estimable set, or without a usable draw, keeps its row
+    every = with_grid(effects.select(*by).distinct(), capacity=capacities)
+    keys = [*by, "capacity"]
+    return join_null_safe(join_null_safe(every, naive, keys), mean, keys).select(
         *by, "capacity", F.lit(method).alias("estimator"), "naive",
         (F.col("naive") - F.col("bias")).alias("corrected"), "bias")
 

@@ -128,17 +128,15 @@ def si_correct(effects: DataFrame, method: str = "hybrid", q: float = 0.5,
 
 @F.pandas_udf(T.DoubleType())
 def _max_abs_quantile_udf(k: pd.Series, alpha: pd.Series) -> pd.Series:
-    known = {}
-    return pd.Series([known.setdefault((a, b), gauss.max_abs_quantile(int(a), b))
-                      for a, b in zip(k, alpha)])
+    pairs, inverse = np.unique(np.column_stack([k, alpha]), axis=0, return_inverse=True)
+    values = np.array([gauss.max_abs_quantile(int(a), b) for a, b in pairs])
+    return pd.Series(values[inverse.ravel()] if len(k) else [], dtype=float)
 
 
 def with_critical_value(df: DataFrame, alpha: float, size: str = "n_arms",
                         name: str = "c_alpha") -> DataFrame:
-    """(1-alpha) quantile of the largest of `size` absolute normals, once per distinct size."""
-    sizes = df.select(size).distinct().withColumn(
-        name, _max_abs_quantile_udf(F.col(size), F.lit(float(alpha))))
-    return df.join(sizes, size)
+    """(1-alpha) quantile of the largest of `size` absolute normals, once per size of a batch."""
+    return df.withColumn(name, _max_abs_quantile_udf(F.col(size), F.lit(float(alpha))))
 
 
 def projection_interval(effects: DataFrame, alpha: float = 0.05, by: list[str] = TEST,

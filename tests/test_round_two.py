@@ -125,3 +125,16 @@ def test_package_is_found_from_another_folder(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300,
                          capture_output=True, text=True)
     assert "sizes [4, 4, 4]" in out.stdout, out.stderr[-2000:]
+
+
+def test_markets_without_values_stay(spark):
+    """No outside choice was seen in market b, so none of its products has a value."""
+    from honestpick.operators import assortment as A
+    rows = [("a", i, ["x", "y", "outside"][i % 3]) for i in range(30)]
+    rows += [("b", i, "x") for i in range(5)]
+    df = spark.createDataFrame(rows, "market string, row_id bigint, product string")
+    effects = A.mnl_fixed_effects(A.choice_counts(df, ["x", "y"]))
+    got = {r.market: (r.members, r.value) for r in A.best_assortment(effects, 1).collect()}
+    assert got["b"] == ([], None) and len(got["a"][0]) == 1
+    out = {r.market: r for r in A.assortment_correct(df, ["x", "y"], [1], 10).collect()}
+    assert out["b"].naive is None and out["b"].corrected is None and out["a"].corrected is not None
