@@ -1,12 +1,14 @@
 """Similar documents by Jaccard similarity of word shingles, through a token-group matrix.
 
-Similar documents are first put in groups: each distinct shingle set is compared with the
-smallest set that shares a min-hash, and links join sets into groups.  The matrix says which
-tokens each group's members hold together.  A set is a query against the groups that it is not
-in: it can be similar to a member only if enough of its tokens are in the group's union, so the
-overlap of query and union bounds every pair at once, and only groups that reach the bound are
-opened.  A group is opened at two members first; where these link it, the rest need not be
-looked at; else all its members that share enough tokens are compared.
+Similar documents are first put in groups: each distinct shingle set is compared with the most
+central set that it shares min-hashes with, and joins that leader's group if they are linked.  The
+matrix says which tokens each group's members hold together.  A set is a query against the groups
+of other components: it can be similar to a member only if enough of its tokens are in the
+group's union, so the overlap of query and union bounds every pair at once, and only groups that
+reach the bound are opened.  An opened group's leader is compared first.  A link settles the
+group, as all its members are linked with the leader.  Else the overlap with a member is at most
+that with the leader plus the member's tokens that the leader lacks, and only members for which
+this is enough are compared.
 
 The matrix holds prefixes only: tokens are put in one order for all documents (rare before
 frequent ones), and of n tokens the first n - ceil(t n) + l are kept, with l = 1 + n // 20.  Two
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from honestpick.functions.lineage import save_table
 from honestpick.llm.text import Hashed, WordHashes, lots, mix
 
-KEYS = 4
+KEYS = 8
 _FILTER_BITS = 25
 _HASHES = WordHashes()
 
@@ -192,14 +194,14 @@ def _fetch(bits: np.ndarray):
     return run
 
 
-def _compare(size: int, percent: int):
-    """(x, y, linked) for pairs with their texts."""
+def _compare(size: int):
+    """(x, y, nx, ny, both) for pairs with their texts: sizes of the sets and of what they share."""
     def run(batches):
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             tx, ty = batch.column("text_x"), batch.column("text_y")
             sets: dict[int, np.ndarray] = {}
-            linked = []
+            found = []
             for i, (a, b) in enumerate(zip(x, y, strict=True)):
                 if len(sets) > 2_000:
                     sets.clear()
@@ -207,11 +209,11 @@ def _compare(size: int, percent: int):
                     if k not in sets:
                         sets[k] = shingle_sets([col[i].as_py()], size)[1]
                 p, q = sets[a], sets[b]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+                found.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            cols = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_())],
-                ["x", "y", "linked"])
+                [batch.column("x"), batch.column("y"), *[pa.array(c, pa.int64()) for c in cols]],
+                ["x", "y", "nx", "ny", "both"])
     return run
 
 
@@ -222,7 +224,7 @@ class _Texts:
         self.rows, self.places, self.size, self.percent = rows, places, size, percent
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, linked), saved, for distinct pairs (x, y) of sids."""
+        """(x, y, nx, ny, both, linked), saved, for distinct pairs (x, y) of sids."""
         pairs = save_table(pairs)
         named = save_table(pairs.select(F.col("x").alias("sid")).union(pairs.select("y"))
                            .distinct().join(self.places, "sid"))
@@ -242,8 +244,10 @@ class _Texts:
         both = (pairs.join(texts.withColumnRenamed("sid", "x").withColumnRenamed(
             "text", "text_x"), "x").join(texts.withColumnRenamed("sid", "y").withColumnRenamed(
                 "text", "text_y"), "y"))
-        return save_table(both.mapInArrow(_compare(self.size, self.percent),
-                                          "x bigint, y bigint, linked boolean"))
+        found = both.mapInArrow(_compare(self.size),
+                                "x bigint, y bigint, nx bigint, ny bigint, both bigint")
+        return save_table(found.withColumn("linked", F.expr(
+            f"100 * both >= {self.percent} * (nx + ny - both)")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,11 +279,6 @@ def _with_comp(df: DataFrame, comps: DataFrame, key: str, name: str) -> DataFram
     return df.join(c, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    return df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(
-        "x <> y").distinct()
-
-
 def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, percent: int,
           seed: int, known_frequent: int, deal: int = 1_000) -> DataFrame:
     """(sid, comp) of all sets that have a link."""
@@ -288,21 +287,28 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
         *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)]))
     texts = _Texts(rows, sets.select("sid", "t"), size, percent)
 
-    # groups: each set against the smallest that shares a min-hash, the most often met first
-    keyed = sets.select("sid", "n", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
+    # groups: each set against the set that it shares most min-hashes with, of those that lead a
+    # min-hash.  The one that shares its min-hashes with most others leads: the middle of a
+    # cluster.  Sums are saved before they are joined with their rows: else both would share one
+    # exchange, which Spark cannot split where a key is frequent.
+    keyed = sets.select("sid", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
                         .alias("k", "key"))
-    # sums are saved before they are joined with their rows: else both would share one exchange,
-    # which Spark cannot split where a key is frequent
-    lead = save_table(keyed.groupBy("k", "key").agg(
-        F.min("sid").alias("y"), F.max("sid").alias("last")).where("y < last").drop("last"))
-    met = (keyed.join(lead, ["k", "key"]).where("sid <> y")
-           .groupBy(F.col("sid").alias("x"), "y").agg(F.count(F.lit(1)).alias("c")))
-    best = met.groupBy("x").agg(F.max(F.struct("c", "y")).alias("b")).select("x", "b.y")
-    first = texts.compare(_ordered(best))
+    sizes = save_table(keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = save_table(keyed.join(sizes, ["k", "key"]))
+    central = save_table(shared.groupBy("sid").agg(F.sum("c").alias("s")))
+    lead = save_table(shared.join(central, "sid").groupBy("k", "key").agg(
+        F.max(F.struct("s", "sid")).alias("b")).select("k", "key", "b.s", F.col("b.sid").alias("y")))
+    met = shared.join(lead, ["k", "key"]).where("sid <> y").groupBy(
+        F.col("sid").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
+    best = met.groupBy("x").agg(F.max(F.struct("c", "s", "y")).alias("b")).select("x", "b.y")
+    first = texts.compare(best)
     edges = first.where("linked").select("x", "y")
     comps = components(edges)
+    # a member has a leader it is linked with, and `extra` tokens that the leader lacks
+    member = first.where("linked").select(F.col("x").alias("sid"), F.col("y").alias("g"),
+                                          (F.col("nx") - F.col("both")).alias("extra"))
 
-    # the matrix, as far as tokens are in several groups
+    # the matrix, as far as tokens are in several components
     top = frequent.groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(
         F.desc("docs"), "token").limit(known_frequent).toArrow()    # a few bytes each, bounded
     token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
@@ -317,39 +323,31 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     live = save_table(_with_comp(save_table(live), comps, "sid", "comp"))
     several = save_table(live.groupBy("token").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-    live = save_table(live.join(several, "token"))
-    matrix = save_table(live.groupBy("token", F.col("comp").alias("g")).agg(
-        F.min("sid").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")))
-
-    # queries against groups: the bound, and the group's sizes
-    hits = live.join(matrix, "token").where("comp <> g").groupBy(
-        F.col("sid").alias("x"), "g").agg(
-        F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"), F.min("y").alias("y1"),
-        F.max("y").alias("y2"), F.min("least").alias("least"), F.max("most").alias("most"))
+    live = live.join(several, "token").join(member.select("sid", "g"), "sid", "left")
+    live = save_table(live.withColumn("g", F.coalesce("g", "sid")))
+    matrix = save_table(live.groupBy("token", "g").agg(
+        F.first("comp").alias("gc"), F.min("n").alias("least"), F.max("n").alias("most")))
+
+    # queries against groups: enough of the query's tokens in the union, and sizes that fit
+    hits = live.select("token", F.col("sid").alias("x"), "n", "comp").join(matrix, "token").where(
+        f"comp <> gc AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least").groupBy(
+        "x", "g").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
     # partners have at least ceil(percent n / 100) tokens, hence a prefix bound of their l
-    need = 1 + F.floor(F.col("n") * percent / 2000)
-    opened = save_table(hits.where((F.col("hits") >= need)
-                                   & (100 * F.col("most") >= percent * F.col("n"))
-                                   & (100 * F.col("n") >= percent * F.col("least"))))
-    two = opened.select("x", F.col("y1").alias("y")).union(opened.select("x", "y2"))
-    second = texts.compare(_ordered(two).join(first, ["x", "y"], "left_anti"))
+    opened = save_table(hits.where(F.col("hits") >= 1 + F.floor(F.col("n") * percent / 2000))
+                        .select("x", F.col("g").alias("y")))
+    second = texts.compare(opened)
     edges = edges.union(second.where("linked").select("x", "y"))
     comps2 = components(edges)
 
-    # groups still apart from the query: all members that share enough
-    apart = _with_comp(_with_comp(opened.select("x", "g"), comps2, "x", "cx"), comps2, "g", "cg")
-    apart = save_table(apart.where("cx <> cg").select("x", "g"))
-    mine = live.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"))
-    theirs = live.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"),
-                         F.col("comp").alias("g"))
-    rest = (apart.join(mine, "x").join(theirs, ["g", "token"])
-            .where((100 * F.col("ny") >= percent * F.col("nx"))
-                   & (100 * F.col("nx") >= percent * F.col("ny")))
-            .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"),
-                                   F.first("ny").alias("ny"))
-            .where(F.col("c") >= 1 + F.floor(F.least("nx", "ny") / 20)))
-    known = first.select("x", "y").union(second.select("x", "y"))
-    third = texts.compare(_ordered(rest).join(known, ["x", "y"], "left_anti"))
+    # groups still apart: a member y shares at most what the leader shares and what y has besides
+    apart = _with_comp(_with_comp(second.where("NOT linked"), comps2, "x", "cx"), comps2, "y", "cy")
+    apart = apart.where("cx <> cy").select("x", F.col("y").alias("g"), "nx", "both")
+    members = member.join(sets.select("sid", "n"), "sid").select(
+        "g", F.col("sid").alias("y"), F.col("n").alias("ny"), "extra")
+    rest = save_table(apart).join(save_table(members), "g").where(
+        f"x <> y AND {100 + percent} * (both + extra) >= {percent} * (nx + ny) "
+        f"AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    third = texts.compare(rest.select("x", "y").distinct())
     return components(edges.union(third.where("linked").select("x", "y")))
 
 

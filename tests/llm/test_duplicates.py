@@ -138,17 +138,31 @@ def test_jaccard_opens_groups_fully(spark, monkeypatch):
         for j in r.choice(120, int(r.integers(1, 6)), replace=False):
             v[j] = f"v{i}"
         pairs.append((i, " ".join(v)))
-    monkeypatch.setattr(jaccard_join, "_ordered", _skip_first(jaccard_join._ordered))
+    real, calls = jaccard_join._Texts.compare, []
+
+    def compare(self, pairs):
+        calls.append(1)
+        return real(self, pairs.where("false") if len(calls) == 1 else pairs)
+
+    monkeypatch.setattr(jaccard_join._Texts, "compare", compare)
     assert key(jaccard_join.join(frame(spark, pairs)).collect()) == key(brute.jaccard(pairs))
+    assert len(calls) == 3
 
 
-def _skip_first(real):
-    calls = []
+def test_jaccard_members_beyond_the_leader(spark):
+    """Far members of a group, linked with a query that its leader is not linked with."""
+    base = [f"w{i}" for i in range(200)]
 
-    def ordered(df):
-        calls.append(1)
-        return real(df).where("false") if len(calls) == 1 else real(df)
-    return ordered
+    def changed(tag, places):
+        w = list(base)
+        for j in places:
+            w[j] = f"{tag}{j}"
+        return " ".join(w)
+
+    pairs = [(1, " ".join(base))] + [(10 + i, changed(f"a{i}x", [5 * i])) for i in range(20)]
+    pairs += [(50, changed("b", range(0, 24))), (51, changed("b", range(0, 45))),
+              (52, changed("b", range(0, 70))), (53, changed("c", range(90, 126)))]
+    assert key(jaccard_join.join(frame(spark, pairs)).collect()) == key(brute.jaccard(pairs))
 
 
 def test_jaccard_odd_rows(nulls, empty):
