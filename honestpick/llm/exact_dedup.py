@@ -62,7 +62,11 @@ def follow(spark: SparkSession, log: str, state: str,
     the last place.  Batches that ran before are not read again.
     """
     session = spark.newSession()
-    for k, v in _STATE_STORE.items():
+    settings = _STATE_STORE | {
+        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        # with one batch only, a store is closed as soon as its partition is done
+        "spark.sql.streaming.stateStore.unloadOnCommit": str(files_per_batch is None).lower()}
+    for k, v in settings.items():
         session.conf.set(k, v)
     reader = session.readStream.schema(session.read.parquet(log).schema)
     if files_per_batch:
