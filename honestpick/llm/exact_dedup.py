@@ -91,7 +91,8 @@ def follow(spark: SparkSession, log: str, state: str,
 def unequal(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows whose full text differs from that of the row that stays (normally none)."""
     hits = save_table(groups.where("n > 1").select("digest", "keep_file", "keep_row"))
-    members = save_table(rows.join(hits, "digest"))
+    # always by a merge join: hits grow with the data, and one plan should hold at every size
+    members = save_table(rows.join(hits.hint("merge"), "digest"))
     kept = members.where("file = keep_file AND row = keep_row").select(
         "digest", F.col("text").alias("kept_text"))
     return save_table(members.join(kept, "digest").where("text <> kept_text")
