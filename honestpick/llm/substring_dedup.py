@@ -209,7 +209,8 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
     seen = save_table(found.join(shared, "x"))
     whole = seen.where("NOT differ AND doc_id > least").select("doc_id", "t", "a", "b")
     mixed = seen.where("differ").drop("least", "differ")
-    first = mixed.groupBy("x", "h").agg(F.min("doc_id").alias("own"))
+    # saved before the join: else both share one exchange, which Spark cannot split by size
+    first = save_table(mixed.groupBy("x", "h").agg(F.min("doc_id").alias("own")))
     mixed = save_table(mixed.join(first, ["x", "h"]))
     whole = whole.unionByName(mixed.where("doc_id > own").select("doc_id", "t", "a", "b"))
     asked = mixed.where("doc_id = own").groupBy("doc_id", "t").agg(
@@ -217,8 +218,8 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
     windows = save_table(rows.join(save_table(asked), ["doc_id", "t"])
                          .select("doc_id", "t", "text", "ranges").mapInArrow(
         _windows(size), f"doc_id {kind}, t bigint, x bigint, w bigint, i int"))
-    earliest = windows.groupBy("x", "w").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    earliest = save_table(windows.groupBy("x", "w").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
     single = (windows.join(earliest.select("x", "w", "least"), ["x", "w"])
               .where("doc_id > least").select("doc_id", "t", "i"))
     return (whole.select("doc_id", "t", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
