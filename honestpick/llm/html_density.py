@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree without what is never article text (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments: by element name, role, or a
-word of class or id).  Every element gets a density: its characters per tag, adjusted by how
+sidebars, notices, adverts, forms, scripts, styles, reader comments: by element name or role).  A
+word of class or id alone does not decide: what is named so stays where it holds an article or
+most of the page's unlinked text, and prose inside an article stays where it is dense enough.
+Every element gets a density: its characters per tag, adjusted by how
 much of the text stands in links, relative to the body.  The subtree whose children's densities
 sum highest is the main one.  The smallest density on its path to the body is a threshold that
 parts beside that path must reach to be taken as well.  Where the page has article or main
@@ -47,8 +49,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
                     r"(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                    re.IGNORECASE)
+SAYS_BESIDE = frozenset("has no with without".split())
+# Share of the body's unlinked characters that speaks against a noise name, on the page and in an
+# article; there the density, taken at the body's size, must also reach half the path's threshold.
+PAGE_SHARE, ARTICLE_SHARE, PROSE = 0.5, 0.05, 0.5
+COMPOUND, NAMED, COMMENT, ROLE = 1, 2, 3, 4         # how much speaks for noise
+
 _WORD = re.compile(r"[A-Za-z]+")
 _COMMENT = re.compile(r"(?:comment|reply)s?(?:[-_].*)?\Z")
+_COMMENTS = frozenset("comment comments respond reply replies disqus".split())
 
 
 class Node:
@@ -56,42 +65,105 @@ class Node:
                  "density", "total", "dropped", "noise")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped, self.noise = tag, parent, dropped, False
+        self.tag, self.parent, self.dropped, self.noise = tag, parent, dropped, 0
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    """By role, or by a word of class or id; an article only where it is a comment itself."""
+def noise_of(tag: str, attributes: str, in_article: bool) -> int:
+    """0, or how much role, class and id speak for noise; an article only where it is a comment
+    itself.  A header inside an article is its own, and has-sidebar tells of what lies beside."""
+    found = 0
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "role" and value in ROLES:
-            return True
+            return ROLE
         if name not in ("class", "id"):
             continue
-        if tag in ("article", "main"):
-            if any(_COMMENT.match(w) for w in value.split()):
-                return True
-        elif any(w in NOISE for w in _WORD.findall(value)):
-            return True
-    return False
+        for token in value.split():
+            if tag in ("article", "main"):
+                if _COMMENT.match(token):
+                    return COMMENT
+                continue
+            words = _WORD.findall(token)
+            if not words or words[0] in SAYS_BESIDE:
+                continue
+            noisy = NOISE.intersection(words)
+            if in_article:
+                noisy -= {"header", "masthead"}
+            if noisy & _COMMENTS:
+                found = max(found, COMMENT)
+            elif noisy:
+                found = max(found, NAMED if len(words) == 1 else COMPOUND)
+    return found
+
+
+def headings(node: Node) -> list[Node]:
+    """The h1 elements below a node."""
+    out, todo = [], [node]
+    while todo:
+        for x in reversed(todo.pop().parts):
+            if isinstance(x, Node):
+                (out if x.tag == "h1" else todo).append(x)
+    return out
 
 
 def prune(root: Node) -> None:
-    """Takes out noise, but not around an article: a class may name what lies beside it."""
+    """Takes out noise, but not around an article: a class may name what lies beside it.
+
+    Neither a node with most of the page's unlinked text (for a plain noise name: where no article
+    has text), nor dense prose with a compound name inside an article, nor the h1 of an article.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [x for x in node.parts if isinstance(x, Node)]
+    if not any(x.noise for x in order):
+        return
     holds: set[int] = set()
     for node in reversed(order):
         p = node.parent
         if node.noise and id(node) not in holds:
-            p.parts = [x for x in p.parts if x is not node]
-        elif p is not None and (node.tag in ("article", "main") or id(node) in holds):
+            continue
+        if p is not None and (node.tag in ("article", "main") or id(node) in holds):
             holds.add(id(p))
+    measure(root)
+    body = max(1, root.chars - root.link_chars)
+    told = any(x.tag in ("article", "main") and not x.noise and x.chars for x in order)
+    unsure, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.noise and id(node) not in holds:
+            share = (node.chars - node.link_chars) / body
+            inside = _inside(node, ("article", "main"))
+            if inside and node.noise == COMPOUND and share >= ARTICLE_SHARE:
+                unsure.append(node)
+            elif not inside and share >= PAGE_SHARE and (
+                    node.noise == COMPOUND or node.noise < ROLE and not told):
+                node.noise = 0
+            else:
+                _take_out(node, inside)
+                continue
+        todo += [x for x in node.parts if isinstance(x, Node)]
+    if unsure:
+        limit = min(at_body_size(x, root) for x in body_path(measure(root)))
+        for node in unsure:
+            if at_body_size(node, root) < PROSE * limit:
+                _take_out(node, True)
+            else:
+                node.noise = 0
+
+
+def _take_out(node: Node, inside: bool) -> None:
+    kept = headings(node) if inside and node.noise < COMMENT else []
+    if kept:
+        for x in kept:
+            x.parent = node
+        node.parts, node.noise = kept, 0
+    else:
+        node.parent.parts = [x for x in node.parent.parts if x is not node]
 
 
 def parse(page: str) -> Node:
@@ -149,7 +221,7 @@ def parse(page: str) -> Node:
         in_article = any(x.tag in ("article", "main") for x in stack)
         node = Node(tag, top, top.dropped or tag in DROPPED
                     or (tag == "header" and not in_article))
-        node.noise = bool(m[3]) and is_noise(tag, m[3])
+        node.noise = noise_of(tag, m[3], in_article) if m[3] else 0
         if not node.dropped:
             top.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
@@ -169,6 +241,8 @@ def measure(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
         todo += [x for x in reversed(node.parts) if isinstance(x, Node)]
     for node in reversed(order):
         node.chars += sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
@@ -183,17 +257,37 @@ def measure(root: Node) -> list[Node]:
             p.link_tags += node.link_tags
     body_share = root.link_chars / max(1, root.chars)
     for node in reversed(order):
-        c, t = node.chars, max(1, node.tags)
-        if c:
-            lc, lt = max(1, node.link_chars), max(1, node.link_tags)
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_share * c
-                            + math.e)
-            node.density = c / t * math.log(max(1.0, c * t / (lc * lt)) + 1) / math.log(base + 1)
+        node.density = density_of(node, body_share)
         if node.parent is not None:
             node.parent.total += node.density
     return order
 
 
+def density_of(node: Node, body_share: float, times: float = 1.0) -> float:
+    """Composite density of the node as if its text stood there so many times."""
+    c, t, linked = node.chars * times, max(1, node.tags) * times, node.link_chars * times
+    if not c:
+        return 0.0
+    lc, lt = max(1, linked), max(1, node.link_tags * times)
+    base = math.log(c / max(1, c - linked) * linked + body_share * c + math.e)
+    return c / t * math.log(max(1.0, c * t / (lc * lt)) + 1) / math.log(base + 1)
+
+
+def at_body_size(node: Node, root: Node) -> float:
+    """Density that does not fall because the node is shorter than the body."""
+    return density_of(node, root.link_chars / max(1, root.chars),
+                      root.chars / max(1, node.chars))
+
+
+def body_path(nodes: list[Node]) -> list[Node]:
+    """The subtree whose children's densities sum highest, and its way to the body."""
+    places = [x for x in nodes if x.chars and x.tag in BLOCK and x.total > 0] or nodes[:1]
+    path = [max(places, key=lambda x: x.total)]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
 def main_parts(root: Node) -> set[int]:
     """ids of the nodes whose subtrees make up the main text."""
     nodes = measure(root)
@@ -202,11 +296,8 @@ def main_parts(root: Node) -> set[int]:
     if outer:
         best = max(outer, key=lambda x: x.total)
         return {id(best)}
-    places = [x for x in nodes if x.chars and x.tag in BLOCK and x.total > 0] or [root]
-    best = max(places, key=lambda x: x.total)
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
+    path = body_path(nodes)
+    best = path[0]
     threshold = min(x.density for x in path)
     taken = {id(best)}
     for node in path[1:]:

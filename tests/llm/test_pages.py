@@ -47,6 +47,30 @@ def test_density_finds_the_text_without_an_article():
     assert main_text(page(body)) == f"{t}\n{t}\nShort end."
 
 
+T = LONG.strip()
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<div class='page has-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{T}\n{T}"),
+    (f"<div class='no-sidebar with-ads'><p>{LONG}</p></div><div class='ad'>buy</div>", T),
+    (f"<div id='widget'><p>{LONG}</p><p>{LONG}</p></div>", f"{T}\n{T}"),
+    (f"<div class='header-layout'><p>{LONG}</p><p>{LONG}</p></div>"
+     "<div class='sidebar-left'><p>Short words.</p></div>", f"{T}\n{T}"),
+    (f"<article><div class='entry-header'><h1>t</h1></div><p>{LONG}</p></article>", f"t\n{T}"),
+    (f"<article><div class='top-banner'><h1>t</h1><p>x</p></div><p>{LONG}</p></article>",
+     f"t\n{T}"),
+    (f"<article><p>{LONG}</p><section id='related-work'><p>{LONG}</p></section></article>",
+     f"{T}\n{T}"),
+    (f"<article><p>{LONG}</p><div class='related-posts'><ul><li><a href='/1'>One more</a></li>"
+     "<li><a href='/2'>And another</a></li></ul></div></article>", T),
+    (f"<article><p>{LONG}</p></article><div class='comment-list'><p>{LONG}</p><p>{LONG}</p></div>",
+     T),
+    (f"<article><p>a</p></article><div class='ad'>{LONG}</div>", "a"),
+])
+def test_a_noisy_name_alone_does_not_decide(body, want):
+    assert main_text(page(body)) == want
+
+
 def test_long_and_deep_pages():
     deep = "<div>" * 3000 + LONG + "</div>" * 3000
     assert main_text(page(deep)) == LONG.strip()
