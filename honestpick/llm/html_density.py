@@ -7,8 +7,9 @@ most of the page's unlinked text, and prose inside an article stays where it is
 Every element gets a density: its characters per tag, adjusted by how
 much of the text stands in links, relative to the body.  The subtree whose children's densities
 sum highest is the main one.  The smallest density on its path to the body is a threshold that
-parts beside that path must reach to be taken as well.  Where the page has article or main
-elements, these are the candidates and are taken whole.
+parts beside that path must reach to be taken as well.  Article and main elements have a bonus: the
+one around the main subtree is taken whole, it goes before an ancestor most of whose text stands in
+such elements, and other ones need a part of the threshold only.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ SAYS_BESIDE = frozenset("has no with without".split())
 # Share of the body's unlinked characters that speaks against a noise name, on the page and in an
 # article; there the density, taken at the body's size, must also reach half the path's threshold.
 PAGE_SHARE, ARTICLE_SHARE, PROSE = 0.5, 0.05, 0.5
+STORY = 0.25            # part of the threshold that an article beside the main one must reach
 COMPOUND, NAMED, COMMENT, ROLE = 1, 2, 3, 4         # how much speaks for noise
 
 _WORD = re.compile(r"[A-Za-z]+")
@@ -293,20 +295,41 @@ def main_parts(root: Node) -> set[int]:
     nodes = measure(root)
     outer = [x for x in nodes if x.tag in ("article", "main")
              and not _inside(x, ("article", "main")) and x.chars]
-    if outer:
-        best = max(outer, key=lambda x: x.total)
-        return {id(best)}
     path = body_path(nodes)
-    best = path[0]
+    around = [i for i, x in enumerate(path) if x.tag in ("article", "main")]
+    if around:
+        path = path[around[-1]:]
+    else:
+        held = [x for x in outer if path[0] in _above(x)]
+        best = path[0]
+        if held and 2 * sum(x.chars - x.link_chars for x in held) > best.chars - best.link_chars:
+            clear = [x for x in held if not any(y.noise for y in _above(x))]
+            best = max(clear or held, key=lambda x: x.total)
+            path = [best, *_above(best)]
+    on_path = {id(x) for x in path}
     threshold = min(x.density for x in path)
-    taken = {id(best)}
+    taken = {id(path[0])}
     for node in path[1:]:
-        on_path = {id(x) for x in path}
         taken |= {id(x) for x in node.parts if isinstance(x, Node) and x.tag in BLOCK
-                  and id(x) not in on_path and x.chars and x.density >= threshold}
+                  and id(x) not in on_path and x.chars and not x.noise
+                  and x.density >= threshold}
+    limit = min(at_body_size(x, root) for x in path)
+    if path[0].tag in ("article", "main"):
+        limit *= STORY
+    # an article in what is named as noise is a comment or a teaser
+    taken |= {id(x) for x in outer if id(x) not in on_path and at_body_size(x, root) >= limit
+              and not any(y.noise and id(y) not in on_path for y in [x, *_above(x)])}
     return taken
 
 
+def _above(node: Node) -> list[Node]:
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
+    return out
+
+
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     while node.parent is not None:
         node = node.parent

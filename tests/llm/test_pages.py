@@ -71,6 +71,31 @@ def test_a_noisy_name_alone_does_not_decide(body, want):
     assert main_text(page(body)) == want
 
 
+LINKS = "".join(f"<li><a href='/{i}'>Section number {i}</a></li>" for i in range(30))
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article>",
+     f"{T}\n{T}\n{T}"),
+    (f"<article><h2>a</h2>{f'<p>{LONG}</p>' * 40}</article><article><p>A shorter part of the "
+     "story that goes on here, with its own words and stops.</p></article>",
+     "\n".join(["a", *[T] * 40, "A shorter part of the story that goes on here, with its own words "
+               "and stops."])),
+    (f"<div><article><p>{LONG}</p></article></div><div><article><p>{LONG}</p></article></div>"
+     f"<div><ul>{LINKS}</ul></div>", f"{T}\n{T}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article><p>See also this.</p></article>",
+     f"{T}\n{T}\n{T}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><h3><a href='/x'>Another story of "
+     "the day</a></h3><p>In short.</p></article>", f"{T}\n{T}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><section class='comments'><article><p>{LONG}"
+     "</p></article></section>", f"{T}\n{T}"),
+    (f"<article><p>{LONG}</p></article><div><a href='/'>Home</a> <a href='/x'>Contact</a></div>",
+     T),
+])
+def test_density_chooses_where_there_are_articles(body, want):
+    assert main_text(page(body)) == want
+
+
 def test_long_and_deep_pages():
     deep = "<div>" * 3000 + LONG + "</div>" * 3000
     assert main_text(page(deep)) == LONG.strip()
