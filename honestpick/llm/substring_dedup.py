@@ -83,7 +83,8 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 def places(words: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray, size: int):
     """(document, first window, last window, X, H) for the places of all windows.
 
-    `words` holds all documents, with one word of no document before each of them.
+    `words` holds all documents, with one word of no document before each of them and after the
+    last: a symbol that depends on what follows must not seem decided where the words end.
     Windows are counted from the document's first word.
     """
     n, span = len(words), BEFORE + AFTER
@@ -116,12 +117,14 @@ def places(words: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray, size
 
 
 def _joined(texts: list[str], hashes: WordHashes):
-    """All words of the texts in one array, one foreign word before each; starts and ends."""
+    """All words of the texts in one array, one foreign word before each and after the last;
+    starts and ends."""
     parts, sizes = [], []
     for k, t in enumerate(texts):
         w = words_of(t)
         parts += [np.array([_PAIR ^ np.uint64(k + 1)]), hashes.of(w)]
         sizes.append(len(w))
+    parts.append(np.array([_PAIR ^ np.uint64(len(texts) + 1)]))
     sizes = np.array(sizes, dtype=np.int64)
     ends = np.cumsum(sizes + 1)
     return np.concatenate(parts), ends - sizes, ends

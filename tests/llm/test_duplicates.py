@@ -91,6 +91,25 @@ def test_substring_odd_rows(nulls, empty):
         substring_dedup.deduplicate(empty, 10)
 
 
+def test_places_do_not_depend_on_the_lot():
+    """A document alone, last and followed by another; its last window in a longer text."""
+    r = np.random.default_rng(8)
+
+    def found(texts, k):
+        got = substring_dedup.places(*substring_dedup._joined(texts, substring_dedup._HASHES), 50)
+        return [row[1:] for row in zip(*(x.tolist() for x in got), strict=True) if row[0] == k]
+
+    for _ in range(3000):
+        one, other, more = (" ".join(str(x) for x in r.integers(0, 30, n))
+                            for n in (r.integers(50, 70), 55, 20))
+        alone = found([one], 0)
+        assert alone == found([other, one], 1) == found([one, other], 0)
+        last = len(one.split()) - 50
+        x_alone, x_within = ({x for a, b, x, _ in rows if a <= last <= b}
+                             for rows in (alone, found([f"{one} {more}"], 0)))
+        assert x_alone == x_within
+
+
 def test_equal_stretches_get_equal_places():
     """A window in other surroundings is filed under the same place and hash."""
     r = np.random.default_rng(1)
