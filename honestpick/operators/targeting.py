@@ -339,15 +339,18 @@ def policy_eb(predicted: DataFrame, prior: str, n_arms: int, key: str = "custome
               **kw) -> DataFrame:
     """Prior per arm over customers: 'normal', 'tweedie' or 'spike_slab'; picks kept.
 
-    The corrected value is NULL when a picked arm's fit failed.
+    The corrected value is NULL when a picked arm's fit failed.  With 'spike_slab', `converged`
+    says whether the fits of all arms did within `max_iter` steps.
     """
     long = long_effects(predicted, [key], n_arms)
+    fits = None
     if prior == "normal":
         post = H.posterior_eb_normal(long, ["arm"])
     elif prior == "tweedie":
         post = H.posterior_eb_tweedie(long, ["arm"], **kw)
     elif prior == "spike_slab":
-        post = H.posterior_spike_slab(long, H.spike_slab_fit(long, ["arm"], **kw), ["arm"])
+        fits = H.spike_slab_fit(long, ["arm"], **kw)
+        post = H.posterior_spike_slab(long, fits, ["arm"])
     else:
         raise ValueError(f"unknown prior {prior!r}")
     picks = target_policy(predicted).select(key, "arm")
@@ -355,7 +358,9 @@ def policy_eb(predicted: DataFrame, prior: str, n_arms: int, key: str = "custome
         F.count(F.lit(1)).alias("customers"), F.avg("effect").alias("naive"),
         F.avg("posterior").alias("corrected"),
         F.count_if(F.col("posterior").isNull()).alias("failed"))
-    return out.withColumn("corrected", F.when(F.col("failed") == 0, F.col("corrected")))
+    out = out.withColumn("corrected", F.when(F.col("failed") == 0, F.col("corrected")))
+    return out if fits is None else attach_row(out, fits.agg(
+        F.bool_and("converged").alias("converged")))
 
 
 def policy_split(train: DataFrame, target: DataFrame, features: list[str], n_arms: int,

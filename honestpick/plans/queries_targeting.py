@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query("t14c_policy_eb_spike_slab")
 def _(spark, sf):
-    return T.policy_eb(_predicted(spark, sf), "spike_slab", K, max_iter=10)
+    return T.policy_eb(_predicted(spark, sf), "spike_slab", K)
 
 
 @query("t15_policy_split", with_("train", "target", parts=parts_sql(

@@ -99,6 +99,20 @@ def test_policy_split_and_eb(data):
     assert eb.customers == 60 and eb.failed == 0
     with pytest.raises(ValueError):
         T.policy_eb(p, "other", 3)
+
+
+def test_policy_spike_slab_tells_whether_em_converged(data, monkeypatch):
+    train, target, *_ = data
+    p = T.predict_effects(target, T.fit_arm_ols(train, ["x"]), ["x"], 3)
+    cut = T.policy_eb(p, "spike_slab", 3, max_iter=1).first()
+    assert cut.customers == 60 and cut.converged is False
+    # what the query asks for: EM's own limit, not a shorter one
+    from honestpick.plans import catalog, queries_targeting as Q
+    asked = {}
+    monkeypatch.setattr(Q, "_predicted", lambda spark, sf: p)
+    monkeypatch.setattr(T, "policy_eb", lambda *a, **kw: asked.update(kw))
+    catalog.load_all()["t14c_policy_eb_spike_slab"].run(None, "")
+    assert "max_iter" not in asked
     with pytest.raises(ValueError):
         T.policy_correct("other")
 
