@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honestpick.llm import (exact_dedup, html_density, jaccard_join, packing, piece_sampling,
-                            quality_classifier, quality_rules, secret_scan, substring_dedup,
-                            url_filter)
+                            quality_classifier, quality_rules, secret_scan, source_mixing,
+                            substring_dedup, url_filter)
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
@@ -194,3 +194,42 @@ FROM d LEFT JOIN n USING (k) LEFT JOIN c USING (k)
 @query("op3_jaccard_join", _OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS key,
+                  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                  lambda x: x <> '')) AS size
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+c AS (SELECT *, sum(source_size) OVER () AS total,
+             coalesce(sum(2 * source_size) OVER lower, 0) AS caps,
+             sum(w) OVER () - coalesce(sum(w) OVER lower, 0) AS free
+      FROM s WINDOW lower AS (ORDER BY source_size / w, source NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, (150 * total - 100 * caps) * w > 200 * source_size * free AS above FROM c),
+l AS (SELECT 150 * any_value(total) - 100 * coalesce(sum(2 * source_size) FILTER (above), 0)
+             AS budget, 100 * sum(w) FILTER (NOT above) AS free FROM a),
+t AS (SELECT source, source_size, CASE WHEN above THEN (2 * source_size)::DOUBLE
+             ELSE budget::DOUBLE * w / l.free END AS target FROM a, l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END
+             AS copies FROM t),
+r AS (SELECT d.*, g.source_size, target, copies,
+             round(target)::BIGINT - copies * g.source_size AS rest,
+             count(*) OVER (PARTITION BY d.source, key, size) AS n,
+             sum(size) OVER (PARTITION BY d.source ORDER BY key, size
+                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (copies * size + greatest(0, least(size, floor((rest - (upto - n * size)) / n))))::BIGINT
+       AS taken
+FROM r
+"""
+
+
+@query("op13_source_mixing", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
