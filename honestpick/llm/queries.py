@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from honestpick.llm import (exact_dedup, html_density, jaccard_join, packing, piece_sampling,
-                            quality_classifier, quality_rules, secret_scan, source_mixing,
-                            substring_dedup, url_filter)
+from honestpick.llm import (conversation_repair, exact_dedup, html_density, jaccard_join,
+                            packing, piece_sampling, quality_classifier, quality_rules,
+                            secret_scan, source_mixing, substring_dedup, url_filter)
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
@@ -233,3 +234,96 @@ FROM r
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# damaged rows, their faults, and then one row of edits at a time: a key (six digits of cost, then
+# the audit) per state of the role initials.  An insert never pays: it costs 5, and deleting a row
+# beside it, which costs 2, leaves the same initials.
+_OP12_SQL = r"""
+WITH RECURSIVE
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+      FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295] || list_transform(
+                 string_split(name, ''), lambda c: ascii(c)::BIGINT),
+             lambda c, b: list_reduce([xor(c, b)] || range(8),
+                 lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+             4294967295) % 20 AS h FROM r),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+             CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+             ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS back,
+             row_number() OVER (PARTITION BY conv_id, role, text
+                                ORDER BY turn NULLS FIRST, copy) AS seen
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN seen > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END
+             AS fault,
+             back IS NOT NULL AND back || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS bad
+      FROM n),
+a AS (SELECT conv_id, list({'o': substr(role, 1, 1), 'x': CASE WHEN fault = 'truncated' THEN 5
+                            ELSE 0 END, 'go': coalesce(fault IN ('blank', 'duplicate'), false),
+                            'role': role, 'text': text} ORDER BY i) AS rows,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal
+      FROM f GROUP BY conv_id),
+e AS (SELECT conv_id, rows, 0 AS p, '000000' AS z, '~' AS s, '~' AS u, '~' AS v FROM a
+      UNION ALL
+      SELECT conv_id, rows, p + 1, g(z, 2, 'D'),
+             least(g(s, 2, 'D'), CASE WHEN NOT q.go AND q.o = 's' THEN g(z, q.x, 'K') ELSE '~' END),
+             least(g(u, 2, 'D'), CASE WHEN q.go THEN '~' WHEN q.o = 'u' THEN
+                   g(least(z, s, v), q.x, 'K') ELSE g(least(z, s, v), q.x + 1, 'R') END),
+             least(g(v, 2, 'D'), CASE WHEN q.go THEN '~' WHEN q.o = 'a' THEN g(u, q.x, 'K')
+                   ELSE g(u, q.x + 1, 'R') END)
+      FROM (SELECT *, rows[p + 1] AS q FROM e WHERE p < len(rows))),
+b AS (SELECT conv_id, rows, least(z, v) AS k, list_filter(list_zip(rows,
+             string_split(substr(least(z, v), 7), '')), lambda y: y[2] <> 'D') AS kept
+      FROM e WHERE p = len(rows)),
+w AS (SELECT conv_id, substr(k, 1, 6)::BIGINT AS cost, substr(k, 7) AS audit,
+             list_transform(kept, lambda y, j: CASE WHEN y[2] = 'K' THEN y[1].role
+                 WHEN (j + CASE WHEN kept[1][2] = 'K' AND kept[1][1].o = 's' THEN 1 ELSE 0 END) % 2
+                      = 1 THEN 'user' ELSE 'assistant' END || ':' || y[1].text) AS lines FROM b)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+def _step(sql: str) -> str:
+    """g(key, cost, letter) written out: the key after one more edit."""
+    def edit(m: re.Match) -> str:
+        key, cost, letter = m.groups()
+        return (f"(CASE WHEN {key} = '~' THEN '~' ELSE lpad((substr({key}, 1, 6)::BIGINT + {cost})"
+                f"::VARCHAR, 6, '0') || substr({key}, 7) || '{letter}' END)")
+    return re.sub(r"\bg\((\w|least\([^)]*\)), ([^,]*), '(\w)'\)", edit, sql)
+
+
+def damaged(conv: DataFrame) -> DataFrame:
+    """Rows with one kind of damage each, by a hash of conversation and turn; `there` is false for
+    a row that was dropped."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" "))
+                              for c in ("conv_id", "turn")])
+    rows = conv.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c)
+                                            for c in ("role", "text")],
+                       (F.crc32(name) % 20).alias("h"))
+    text = (F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace(
+        "text", "[.!?]", "")).otherwise(F.col("text")))
+    copies = F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+                       .alias("role"), text.alias("text"), (F.col("h") != 0).alias("there"),
+                       F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair", _step(_OP12_SQL))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")),
+                                      there=F.col("there"))
