@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honestpick.llm import (conversation_repair, exact_dedup, html_density, jaccard_join,
                             packing, piece_sampling, quality_classifier, quality_rules,
-                            secret_scan, source_mixing, substring_dedup, url_filter)
+                            secret_scan, source_mixing, substring_dedup, token_alignment,
+                            url_filter)
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
@@ -327,3 +328,8 @@ def damaged(conv: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")),
                                       there=F.col("there"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), BPE_50K, PIECES_32K)
