@@ -56,7 +56,7 @@ def test_junk_goes_and_clean_documents_stay(spark):
 
 def test_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
