@@ -67,11 +67,11 @@ def prefix_bucket(df: DataFrame, by: list[str], c: str) -> Column:
         length = 2 * length or 1
 
 
-def hex_digits(df: DataFrame, by: list[str]) -> int:
-    """Leading hex digits that cut the largest group's uniform hashes into small buckets."""
+def hex_digits(df: DataFrame, by: list[str], most: int = ROWS_PER_BUCKET) -> int:
+    """Leading hex digits that cut the largest group's uniform hashes into buckets of `most`."""
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     digits = 0
-    while (largest or 0) / 16 ** digits > ROWS_PER_BUCKET:
+    while (largest or 0) / 16 ** digits > most:
         digits += 1
     return digits
 

@@ -1,34 +1,88 @@
 """Sample splitting, cross-validation and backtests on real rows (V1-V9)."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
+from honestpick.functions.columns import attach_row
+from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_median
-from honestpick.functions.ranks import hex_bucket, hex_digits, with_position
+from honestpick.functions.ranks import hex_digits
 from honestpick.operators.bootstrap import numbered, observed
 from honestpick.operators.effects import TEST, select_winner
 from honestpick.operators.joins import join_null_safe
 
 
-def split_rows(rows: DataFrame, fraction: float, splits: int, strata: list[str],
+def split_cuts(rows: DataFrame, fraction: float, splits: int, strata: list[str],
                row_key: str = "row_id", seed: int = 42, salt: str = "split",
                fast: bool = False, hash_digits: int | None = None) -> DataFrame:
-    """Every row once per split, `in_est` true for exactly floor(n*fraction) rows per stratum.
+    """(strata..., cuts), saved: per split the last (hash, key) of the estimation part.
 
-    Order inside a stratum is by hash; 16^`hash_digits` tasks share one stratum, by default
-    as many as the largest stratum needs.
+    Counts by leading hash digits, made where the rows are, tell the digits in which the quota
+    of a stratum and split is reached; only rows with just these digits are moved and ranked.
+    With as many digits as make buckets and their rows equally many, both grow with the root of
+    the stratum.  A cut is NULL where the quota is 0.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be in (0, 1)")
     if hash_digits is None:
-        hash_digits = hex_digits(rows, strata)
-    out = D.with_draws(rows, splits, "split_id")
-    h = D.hash_hex([row_key, "split_id"], seed, salt) if not fast else F.lower(F.lpad(F.hex(
-        F.xxhash64(F.col(row_key), "split_id", F.lit(seed), F.lit(salt))), 16, "0"))
-    out = with_position(out.withColumn("_h", h), [*strata, "split_id"], ["_h", row_key],
-                        hex_bucket("_h", hash_digits), "_pos", "_n")
-    return out.withColumn("in_est", F.col("_pos") < F.floor(F.col("_n") * fraction)).drop(
-        "_h", "_pos", "_n")
+        hash_digits = (hex_digits(rows, strata, 1) + 1) // 2
+    slim = rows.select(*strata, row_key)
+    digits = F.substring("_h", 1, hash_digits).alias("_d")
+    hashed = D.with_draws(slim, splits, "split_id").withColumn(
+        "_h", _split_hash(row_key, seed, salt, fast))
+    group = Window.partitionBy(*strata, "split_id")
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_d").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.floor(F.sum("_c").over(group) * fraction) - before
+    ends = hashed.groupBy(*strata, "split_id", digits).agg(F.count(F.lit(1)).alias("_c")).select(
+        *strata, "split_id", "_d", "_c", left.alias("_left")).where("0 < _left AND _left <= _c")
+    entry = F.struct(F.col("_d").alias("d"), F.col("_left").alias("left"))
+    marks = save_table(ends.groupBy(*strata).agg(F.map_from_entries(
+        F.collect_list(F.struct("split_id", entry))).alias("_m")))
+    # rows whose first digits are those of a cut
+    near = _per_split(slim, marks, strata, splits).withColumn(
+        "_h", _split_hash(row_key, seed, salt, fast)).where(digits == F.col("_cut.d"))
+    place = F.row_number().over(group.orderBy("_h", row_key))
+    last = near.withColumn("_rn", place).where(F.col("_rn") == F.col("_cut.left"))
+    entry = F.struct(F.col("_h").alias("h"), F.col(row_key).alias("k"))
+    return save_table(last.groupBy(*strata).agg(F.map_from_entries(
+        F.collect_list(F.struct("split_id", entry))).alias("_m")))
+
+
+def _split_hash(row_key: str, seed: int, salt: str, fast: bool):
+    if not fast:
+        return D.hash_hex([row_key, "split_id"], seed, salt)
+    return F.lower(F.lpad(F.hex(F.xxhash64(F.col(row_key), "split_id", F.lit(seed), F.lit(salt))),
+                          16, "0"))
+
+
+def _per_split(rows: DataFrame, marks: DataFrame, strata: list[str], splits: int) -> DataFrame:
+    """Every row once per split, with the split's entry of the stratum's map as `_cut`.
+
+    One row per stratum is joined before rows are copied; unfolding the map's entries keeps it
+    out of the copies.
+    """
+    joined = (join_null_safe(rows, marks, strata, "left") if strata
+              else attach_row(rows, marks.agg(F.first("_m").alias("_m"))))
+    ids = F.sequence(F.lit(0), F.lit(splits - 1))
+    entries = F.transform(ids, lambda i: F.try_element_at("_m", i))
+    return joined.select(*rows.columns, F.posexplode(entries).alias("split_id", "_cut"))
+
+
+def split_rows(rows: DataFrame, fraction: float, splits: int, strata: list[str],
+               row_key: str = "row_id", seed: int = 42, salt: str = "split",
+               fast: bool = False, hash_digits: int | None = None,
+               cuts: DataFrame | None = None) -> DataFrame:
+    """Every row once per split, `in_est` true for exactly floor(n*fraction) rows per stratum.
+
+    The rows with the smallest hashes of a stratum are the estimation part; each row is decided
+    where it is, by comparison with its stratum's cut (see split_cuts).
+    """
+    if cuts is None:
+        cuts = split_cuts(rows, fraction, splits, strata, row_key, seed, salt, fast, hash_digits)
+    own = F.struct(_split_hash(row_key, seed, salt, fast).alias("h"), F.col(row_key).alias("k"))
+    return _per_split(rows, cuts, strata, splits).withColumn(
+        "in_est", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def split_effects(rows: DataFrame, fraction: float, splits: int, by: list[str] = TEST,

@@ -4,7 +4,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from honestpick.functions.lineage import save_table
 from honestpick.operators import (bootstrap as B, effects as E, selective as S, shrink as H,
                                   splits as V)
 
@@ -48,8 +47,9 @@ def backtest(rows: DataFrame, splits: int, estimators: list[str], draws: int,
              row_key: str = "row_id", seed: int = 42, fast: bool = False, **kw) -> DataFrame:
     """The split is just another key, so one plan covers all splits, tests and estimators."""
     keys = [*by, "split_id"]
-    parts = save_table(V.split_rows(rows.select(*by, arm, row_key, value), 0.5, splits, [*by, arm],
-                                    row_key, seed, "backtest", fast))
+    # a row's part is found again by comparison wherever it is read; only cuts are saved
+    parts = V.split_rows(rows.select(*by, arm, row_key, value), 0.5, splits, [*by, arm],
+                         row_key, seed, "backtest", fast)
     half = parts.where("in_est").drop("in_est")
     holdout = parts.where(~F.col("in_est")).groupBy(*keys, arm).agg(
         F.avg(value).alias("effect"))
