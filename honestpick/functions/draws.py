@@ -16,13 +16,13 @@ _LANE_HEX = 8        # hex digits (32 bits) per weight
 _TWO48 = float(2 ** 48)
 
 
-def poisson_thresholds(bits: int = 32) -> list[int]:
-    """Poisson(1) distribution function in units of 2**-bits, up to full precision."""
-    out, term, total, k = [], math.exp(-1.0), math.exp(-1.0), 0
+def poisson_thresholds(bits: int = 32, rate: int = 1) -> list[int]:
+    """Poisson distribution function in units of 2**-bits, up to full precision."""
+    out, term, total, k = [], math.exp(-rate), math.exp(-rate), 0
     while total < 1 - 2.0 ** -bits:
         out.append(int(total * 2 ** bits))
         k += 1
-        term /= k
+        term *= rate / k
         total += term
     return out
 
@@ -71,6 +71,18 @@ def _weight_of(lane: Column, thresholds: list) -> Column:
     return out.otherwise(len(thresholds))
 
 
+def _lanes(keys, seed: int, salt: str, fast: bool) -> Column:
+    """ARRAY of LANES uniform 32-bit values of a hash of keys: numbers, or hex texts of md5."""
+    if fast:
+        h = [F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt)),
+             F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt + "+"))]
+        return F.array(*[F.shiftrightunsigned(h[i // 2], 32) if i % 2 == 0
+                         else h[i // 2].bitwiseAND(F.lit(2 ** 32 - 1)) for i in range(LANES)])
+    h = hash_hex(keys, seed, salt)
+    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)),
+                       lambda i: F.substr(h, 1 + _LANE_HEX * i, F.lit(_LANE_HEX)))
+
+
 def with_poisson_weights(df: DataFrame, draws: int, keys, seed: int, salt: str,
                          fast: bool = False, draw: str = "draw", weight: str = "weight",
                          first: int = 0) -> DataFrame:
@@ -101,6 +113,40 @@ def with_poisson_weights(df: DataFrame, draws: int, keys, seed: int, salt: str,
             .select(*df.columns, f"_p.{draw}", f"_p.{weight}"))
 
 
+#: The largest rate with a table of its own: no Poisson(1) weight above is larger.
+MAX_RATE = len(poisson_thresholds())
+
+
+def with_rate_weights(df: DataFrame, rate: str, draws: int, keys, seed: int, salt: str,
+                      fast: bool = False, draw: str = "draw",
+                      weight: str = "weight") -> DataFrame:
+    """Every row once per draw in which its Poisson(rate) weight is positive; rate 1, 2, ...
+
+    The sum of w independent Poisson(1) weights is Poisson(w): a row that counts w times needs one
+    hash, not w copies.  A rate above MAX_RATE is cut into parts with weights of their own, which
+    may give a row several times in a draw; sums are right.
+    """
+    last = F.floor((F.col(rate) - 1) / MAX_RATE)
+    tables = [poisson_thresholds(rate=r) for r in range(1, MAX_RATE + 1)]
+    blocks = F.sequence(F.lit(0), F.lit((draws + LANES - 1) // LANES - 1))
+    names = ["_part", "_block", "_lane", "_in", "_rate"]
+    out = (df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+           .withColumn("_block", F.explode(blocks)))
+    out = out.select(*df.columns, "_part", "_block", F.posexplode(_lanes(
+        [*keys, "_part", "_block"], seed, salt, fast)).alias("_in", "_lane")).withColumn(
+        "_rate", F.least(F.lit(MAX_RATE), F.col(rate) - F.col("_part") * MAX_RATE).cast("int"))
+    found = None
+    for k in range(max(map(len, tables))):
+        cuts = [t[k] if k < len(t) else 2 ** 32 for t in tables]
+        # the end of a table is above every lane
+        cut = F.element_at(F.array(*[F.lit(c if fast else hex_threshold(c) if c < 2 ** 32 else "g")
+                                     for c in cuts]), F.col("_rate"))
+        found = (F.when if found is None else found.when)(F.col("_lane") < cut, k)
+    return out.select(*df.columns, (F.col("_block") * LANES + F.col("_in")).alias(draw),
+                      found.otherwise(max(map(len, tables))).alias(weight)).where(
+        (F.col(draw) < draws) & (F.col(weight) > 0)).drop(*names)
+
+
 def poisson_rate_weight(u: Column, rate: Column, terms: int = 12) -> Column:
     """Poisson(rate) weight, rate <= 1, by inverting its distribution function at u."""
     total = term = F.exp(-rate)
@@ -182,13 +228,3 @@ def hypergeometric_array(good, total, sample, seed, draws: int) -> Column:
         return pd.Series([hypergeometric(_generator(k), int(good_), int(n_), int(m_), draws)
                           for good_, n_, m_, k in zip(g, n, m, s)])
     return variates(good, total, sample, seed)
-
-
-def multinomial_arrays(size, probs, seed, draws: int) -> Column:
-    """ARRAY of `draws` count vectors drawn from Multinomial(size, probs)."""
-    @F.pandas_udf("array<array<bigint>>")
-    def variates(n: pd.Series, p: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([list(_generator(k).multinomial(int(a), np.asarray(b) / np.sum(b),
-                                                         draws))
-                          for a, b, k in zip(n, p, s)])
-    return variates(size, probs, seed)

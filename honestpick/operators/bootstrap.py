@@ -304,23 +304,32 @@ def moon_power_sweep(rows: DataFrame, draws: int, powers: list[float], by: list[
     return correct(found, effects, "moon", by, arm, ["power"])
 
 
-def outer_rows(rows: DataFrame, outer: int, by: list[str] = TEST, arm: str = "arm",
-               value: str = "y", row_key: str = "row_id", seed: int = 42,
-               fast: bool = False) -> DataFrame:
-    """Outer resamples as data sets of their own: one row per copy, keyed by `outer`."""
-    w = D.with_poisson_weights(rows.select(*by, arm, row_key, value), outer,
-                               [*by, arm, row_key], seed, SALTS["outer"], fast, draw="outer")
-    return w.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("weight")
+def nested_draws(rows: DataFrame, outer: int, inner: int, by: list[str] = TEST,
+                 arm: str = "arm", value: str = "y", row_key: str = "row_id", seed: int = 42,
+                 fast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(effects of every outer resample, draws of its own bootstrap), both keyed by `outer`.
+
+    A row that an outer resample holds w times has Poisson(w) weights in the inner ones, so no
+    resample is written or unfolded: both tables are sums over the rows as they are.
+    """
+    slim = observed(rows, value).select(*dict.fromkeys([*by, arm, row_key, value]))
+    held = D.with_poisson_weights(slim, outer, [*by, arm, row_key], seed, SALTS["outer"], fast,
+                                  draw="outer", weight="times")
+    w, y = F.col("times"), F.col(value)
+    effects = held.groupBy(*by, "outer", arm).agg(
+        F.sum(w).alias("n"), (F.sum(w * y) / F.sum(w)).alias("effect"))
+    w = F.col("weight")
+    drawn = D.with_rate_weights(held, "times", inner, [*by, "outer", arm, row_key], seed,
+                                SALTS["inner"], fast).groupBy(*by, "outer", arm, "draw").agg(
+        F.sum(w).alias("n"), (F.sum(w * y) / F.sum(w)).alias("effect"))
+    return effects, drawn
 
 
 def _inner_bias(rows, outer, inner, by, arm, value, row_key, seed, fast) -> DataFrame:
     """Mean inner-bootstrap bias of every outer resample, against its own effects."""
-    data = save_table(outer_rows(rows, outer, by, arm, value, row_key, seed, fast))
+    effects, drawn = nested_draws(rows, outer, inner, by, arm, value, row_key, seed, fast)
     keys = [*by, "outer"]
-    effects = saved_effects(data, keys, arm, value)
-    drawn = poisson_draws(data, inner, keys, arm, value, [row_key, "copy"], seed,
-                          SALTS["inner"], fast)
-    return bias_draws(drawn, effects, keys, arm).groupBy(*keys).agg(
+    return bias_draws(drawn, save_table(effects), keys, arm).groupBy(*keys).agg(
         F.avg("bias").alias("bias")).withColumnRenamed("outer", "draw")
 
 

@@ -7,7 +7,7 @@ from honestpick.operators import bootstrap as B, effects as E
 from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, rounded
 from honestpick.plans.queries_arms import saved_effects
-from honestpick.plans.sqltext import hash48_sql, poisson_rows, with_
+from honestpick.plans.sqltext import hash48_sql, hash_sql, poisson_rows, with_
 
 DRAWS = 20
 _KEYS = "test_id, CAST(arm AS VARCHAR), CAST(row_id AS VARCHAR)"
@@ -161,15 +161,27 @@ def _(spark, sf):
 
 
 _OUTER, _INNER = 4, 8
+_LANE = hash_sql("test_id, CAST(outer_ AS VARCHAR), CAST(arm AS VARCHAR), CAST(row_id AS VARCHAR), "
+                 "'0', CAST(draw // 4 AS VARCHAR)", 42, "inner")
+# a row with weight w in the outer draw has a Poisson(w) weight in the inner ones: the number of
+# values of the distribution function, in units of 2^-32, that are not above a 32-bit hash
 _NESTED = dict(
-    outer_data=(f"SELECT test_id, arm, row_id, y, draw AS outer_, "
-                f"CAST(unnest(range(1, CAST(w + 1 AS BIGINT))) AS INTEGER) AS copy FROM "
-                f"({poisson_rows('rows_', _KEYS, _OUTER, 42, 'outer')})"),
-    oeff="""SELECT test_id, outer_, arm, count(y) AS n, avg(y) AS effect FROM outer_data
+    held=f"SELECT test_id, arm, row_id, y, w, draw AS outer_ FROM "
+         f"({poisson_rows('rows_', _KEYS, _OUTER, 42, 'outer')})",
+    oeff="""SELECT test_id, outer_, arm, sum(w) AS n, sum(w * y) / sum(w) AS effect FROM held
   GROUP BY test_id, outer_, arm""",
-    odrawn=drawn_sql("outer_data", _INNER, "inner",
-                     "test_id, CAST(outer_ AS VARCHAR), CAST(arm AS VARCHAR), "
-                     "CAST(row_id AS VARCHAR), CAST(copy AS VARCHAR)", "test_id, outer_"),
+    cdf="""
+  SELECT w, list(floor(f * 4294967296.0::DOUBLE) ORDER BY k) AS cuts FROM (
+    SELECT w, k, sum(exp(-w + k * ln(w::DOUBLE) - lgamma(k + 1.0::DOUBLE)))
+      OVER (PARTITION BY w ORDER BY k) AS f
+    FROM (SELECT range AS w FROM range(1, 14)), (SELECT range AS k FROM range(60)))
+  WHERE f < 1 - pow(2.0::DOUBLE, -32) GROUP BY w""",
+    odrawn=f"""
+  SELECT test_id, outer_, arm, draw, sum(v) AS n, sum(v * y) / sum(v) AS effect FROM (
+    SELECT l.*, len(list_filter(cuts, lambda c: c <= lane)) AS v FROM (
+      SELECT *, ('0x' || substr({_LANE}, CAST(1 + 8 * (draw % 4) AS BIGINT), 8))::BIGINT AS lane
+      FROM held, (SELECT CAST(range AS INTEGER) AS draw FROM range({_INNER}))) l
+    JOIN cdf ON l.w = cdf.w) WHERE v > 0 GROUP BY test_id, outer_, arm, draw""",
     obias=bias_sql(drawn="odrawn", effects="oeff", by="test_id, outer_"),
     inner_bias="SELECT test_id, outer_, avg(bias) AS bias FROM obias GROUP BY test_id, outer_")
 
