@@ -23,8 +23,8 @@ import hashlib
 import re
 from array import array
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from honestpick.functions.lineage import save_table
 from honestpick.llm.packing import byte_ranks
 from honestpick.llm.text import lots
 
-_ROOM = 300_000                     # chunks a worker remembers
+_ROOM = 500_000                     # chunks a worker remembers
 _CHUNK = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\A |\s ")       # chunks with several spaces or other white space in front
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -44,26 +44,51 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def cut_groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A token, its end, first B token, its end) of each group, from the tokens' end
-    offsets; the last ends are equal."""
-    groups, todo = [], [(0, len(a), 0, len(b))] if a else []
-    while todo:
-        i, k, j, m = todo.pop()
-        # the ends before the last, from the middle outwards
-        mid = (i + k - 1) // 2
-        for d in range(max(mid - i + 1, k - 1 - mid)):
-            for at in (mid - d, mid + d):
-                if i <= at < k - 1 and j < (y := bisect_left(b, a[at], j, m)) + 1 < m \
-                        and b[y] == a[at]:
-                    break
-            else:
-                continue
-            todo += [(at + 1, k, y + 1, m), (i, at + 1, j, y + 1)]
-            break
-        else:
-            groups.append((i, k, j, m))
-    return groups
+def _cuts(a: np.ndarray, b: np.ndarray, i, k) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval of A tokens i..k-1 the token nearest its middle, but not the last, whose
+    end is an end of B too, and that B token; -1 without one."""
+    mid = (i + k - 1) // 2
+    reach = np.maximum(mid - i + 1, k - 1 - mid)
+    cut = np.full(len(i), -1, dtype=np.int64)
+    cut_b = cut.copy()
+    left, d = np.arange(len(i)), 0
+    while len(left) > 4:
+        for at in (mid[left] - d, mid[left] + d):
+            try_ = (at >= i[left]) & (at < k[left] - 1) & (cut[left] < 0)
+            at, who = at[try_], left[try_]
+            y = np.searchsorted(b, a[at])
+            hit = b[y] == a[at]
+            cut[who[hit]], cut_b[who[hit]] = at[hit], y[hit]
+        d += 1
+        left = left[(cut[left] < 0) & (reach[left] > d)]
+    for x in left.tolist():
+        lo, hi, m = int(i[x]), int(k[x]) - 1, int(mid[x])
+        for at in (m + e for n in range(d, int(reach[x])) for e in ((-n, n) if n else (0,))):
+            if lo <= at < hi and b[y := bisect_left(b, a[at])] == a[at]:
+                cut[x], cut_b[x] = at, y
+                break
+    return cut, cut_b
+
+
+def cut_groups(a: np.ndarray, b: np.ndarray, i, k, j, m):
+    """Groups (first A token, its end, first B token, its end) in the intervals i..k of A and j..m
+    of B tokens; a and b are the tokens' end offsets, equal at each interval's last tokens.
+
+    All intervals are halved at once, level by level.
+    """
+    done = [[np.zeros(0, dtype=np.int64)] * 4]
+    while len(i):
+        cut, cut_b = _cuts(a, b, i, k)
+        leaf = cut < 0
+        done.append([x[leaf] for x in (i, k, j, m)])
+        i, k, j, m, cut, cut_b = (x[~leaf] for x in (i, k, j, m, cut + 1, cut_b + 1))
+        i, k, j, m = (np.concatenate(x) for x in ((i, cut), (cut, k), (j, cut_b), (cut_b, m)))
+    groups = [np.concatenate(x) for x in zip(*done, strict=True)]
+    order = np.argsort(groups[0])
+    return [x[order] for x in groups]
+
+
+_LARGE = 1_024      # pairs of a group from which equal ids are counted before they are paired
 
 
 class Aligner:
@@ -83,6 +108,12 @@ class Aligner:
                         else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
         self.chunked = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.sizes_a = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.sizes_a[list(self.bytes_a)] = [len(t) for t in self.bytes_a.values()]
+        self.sizes_b = np.array([len(t) for t in self.bytes_b], dtype=np.int64)
+        # a token as text, in a group and as the last of its side
+        self.shown = [f"{i}{end}" for ends, n in ((",|", len(self.sizes_a)), (",;", len(pieces)))
+                      for i in range(n) for end in ends]
         self.forget()
 
     def forget(self) -> None:
@@ -91,58 +122,86 @@ class Aligner:
         self.numbers = array("q")           # per chunk: usable, A, B, groups, links, pairs
         self.pairs, self.times = array("q"), array("q")
 
-    def _encode_b(self, keys: list[str]) -> list[list[int]]:
+    def _encode_a(self, chunks: list[str], joined: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, number of ids of each); the first `joined` end in no white space
+        and are encoded as one string."""
+        ids = self.a.encode_ordinary("".join(chunks[:joined]))
+        after = np.cumsum(self.sizes_a[ids])
+        cuts = np.searchsorted(after, np.cumsum([len(c.encode()) for c in chunks[:joined]])) + 1
+        rest = [self.a.encode_ordinary(c) for c in chunks[joined:]]
+        counts = np.concatenate([np.diff(cuts, prepend=0), [len(x) for x in rest]])
+        return (np.array([*ids, *chain.from_iterable(rest)], dtype=np.int64),
+                counts.astype(np.int64))
+
+    def _encode_b(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # a prefix space is added, but not to nothing
-        return [ids if k else [self.space] for k, ids in
-                zip(keys, self.b.encode(keys, num_threads=1), strict=True)]
-
-    def _encode_a(self, chunks: list[str]) -> list[list[int]]:
-        """Chunks that end in no white space are encoded as one string and cut apart."""
-        joined = [c for c in chunks if not c[-1].isspace()]
-        ids = self.a.encode_ordinary("".join(joined))
-        after = np.cumsum([len(self.bytes_a[i]) for i in ids], dtype=np.int64)
-        cuts = np.searchsorted(after, np.cumsum([len(c.encode()) for c in joined])) + 1
-        found, start = {}, 0
-        for c, end in zip(joined, cuts.tolist(), strict=True):
-            found[c], start = ids[start:end], end
-        return [found[c] if c in found else self.a.encode_ordinary(c) for c in chunks]
+        found = [ids if k else [self.space] for k, ids in
+                 zip(keys, self.b.encode(keys, num_threads=1), strict=True)]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=counts.sum()), counts
 
     def learn(self, keys: list[str]) -> None:
         """Chunks without their first space."""
+        keys = ([k for k in keys if k and not k[-1].isspace()]
+                + [k for k in keys if not k or k[-1].isspace()])
         chunks = [" " + k for k in keys]
-        for key, chunk, a, b in zip(keys, chunks, self._encode_a(chunks), self._encode_b(keys),
-                                    strict=True):
-            self.known[key] = len(self.texts)
-            raw, whole_a, whole_b = chunk.encode(), *(b"".join([t[i] for i in ids]) for t, ids in (
-                (self.bytes_a, a), (self.bytes_b, b)))
-            if raw != whole_a or raw != whole_b:
-                self.texts.append("")
-                self.numbers.extend((0,) * 6)
-                continue
-            ends = []
-            for t, ids in ((self.bytes_a, a), (self.bytes_b, b)):
-                at, e = 0, []
-                for i in ids:
-                    at += len(t[i])
-                    e.append(at)
-                ends.append(e)
-            groups = cut_groups(*ends)
-            linked: Counter[int] = Counter()
-            for i, k, j, m in groups:
-                if k - i == 1 and m - j == 1:
-                    linked[a[i] << 32 | b[j]] += 1
-                    continue
-                right = Counter(b[j:m])
-                for x, n in Counter(a[i:k]).items():
-                    for y, o in right.items():
-                        linked[x << 32 | y] += n * o
-            self.texts.append(";".join(
-                [",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m]))
-                 for i, k, j, m in groups]))
-            self.pairs.extend(linked.keys())
-            self.times.extend(linked.values())
-            self.numbers.extend((1, len(a), len(b), len(groups), sum(linked.values()),
-                                 len(linked)))
+        joined = sum(not c[-1].isspace() for c in chunks)
+        (ids_a, n_a), (ids_b, n_b) = self._encode_a(chunks, joined), self._encode_b(keys)
+        raw = "".join(chunks).encode()
+        good = np.ones(len(keys), dtype=bool)
+        if (b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != raw
+                or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != raw):
+            for which, ids, n in ((self.bytes_a, ids_a, n_a), (self.bytes_b, ids_b, n_b)):
+                ends = np.cumsum(n).tolist()
+                for x, (c, end, size) in enumerate(zip(chunks, ends, n.tolist(), strict=True)):
+                    whole = b"".join([which[i] for i in ids[end - size:end].tolist()])
+                    good[x] &= whole == c.encode()
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        for k in keys:
+            self.known[k] = len(self.known)
+        self._add(good, ids_a, n_a, ids_b, n_b)
+
+    def _add(self, good, ids_a, n_a, ids_b, n_b) -> None:
+        a, b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        some = np.flatnonzero(n_a)
+        i, k, j, m = cut_groups(a, b, (last_a - n_a)[some], last_a[some], (last_b - n_b)[some],
+                                last_b[some])
+        p, q = k - i, m - j
+        chunk = np.searchsorted(last_a, i, "right")
+        # linked pairs, each occurrence one row but for large groups
+        small = np.flatnonzero(p * q <= _LARGE)
+        n = (p * q)[small]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        g = np.repeat(small, n)
+        owner, code = [chunk[g]], [ids_a[i[g] + at // q[g]] << 32 | ids_b[j[g] + at % q[g]]]
+        times = [np.ones(len(g), dtype=np.int64)]
+        for x in np.flatnonzero(p * q > _LARGE).tolist():
+            u, v = (np.unique(ids, return_counts=True) for ids in (ids_a[i[x]:k[x]],
+                                                                   ids_b[j[x]:m[x]]))
+            code.append((u[0][:, None] << 32 | v[0][None, :]).ravel())
+            times.append(np.outer(u[1], v[1]).ravel())
+            owner.append(np.full(len(code[-1]), chunk[x]))
+        owner, code, times = map(np.concatenate, (owner, code, times))
+        order = np.argsort(owner, kind="stable")
+        self.pairs.frombytes(code[order].tobytes())
+        self.times.frombytes(times[order].tobytes())
+        links = np.bincount(chunk, p * q, len(good)).astype(np.int64)
+        self.numbers.frombytes(np.column_stack([
+            good, n_a, n_b, np.bincount(chunk, minlength=len(good)), links,
+            np.bincount(owner, minlength=len(good))]).astype(np.int64).tobytes())
+        # a group's A tokens stand before its B tokens, both after all tokens of earlier groups
+        place = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        end = np.zeros(len(ids_a), dtype=np.int64)
+        end[k - 1] = 1
+        place[np.arange(len(ids_a)) + np.repeat(j, p)] = 2 * ids_a + end
+        end = np.zeros(len(ids_b), dtype=np.int64)
+        end[m - 1] = 1
+        place[np.arange(len(ids_b)) + np.repeat(k, q)] = 2 * (len(self.sizes_a) + ids_b) + end
+        shown = list(map(self.shown.__getitem__, place.tolist()))
+        ends = (last_a + last_b).tolist()
+        self.texts += ["".join(shown[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
 
     def keys(self, text: str) -> list[str]:
         if not self.chunked:
@@ -167,7 +226,7 @@ class Aligner:
         return found
 
     def groups(self, chunks: np.ndarray) -> str:
-        return ";".join(map(self.texts.__getitem__, chunks.tolist()))
+        return "".join(map(self.texts.__getitem__, chunks.tolist()))[:-1]
 
 
 _KNOWN: dict[tuple, Aligner] = {}

@@ -86,9 +86,35 @@ def test_cuts_are_the_common_ends(x, y):
     cuts = sorted(set(a) & set(b))
     starts = [0, *cuts[:-1]]
     pos = {e: i + 1 for i, e in enumerate(a)} | {0: 0}, {e: i + 1 for i, e in enumerate(b)} | {0: 0}
-    assert token_alignment.cut_groups(a, b) == [
-        (pos[0][s], pos[0][e], pos[1][s], pos[1][e]) for s, e in zip(starts, cuts, strict=True)]
-    assert token_alignment.cut_groups([], []) == []
+    # two equal intervals, one after the other
+    x, y, n, m = [*a, *[e + a[-1] for e in a]], [*b, *[e + b[-1] for e in b]], len(a), len(b)
+    got = token_alignment.cut_groups(*(np.array(v) for v in (x, y, [0, n], [n, 2 * n], [0, m],
+                                                             [m, 2 * m])))
+    want = [(pos[0][s], pos[0][e], pos[1][s], pos[1][e]) for s, e in zip(starts, cuts, strict=True)]
+    assert list(zip(*[g.tolist() for g in got], strict=True)) == want + [
+        (i + n, k + n, j + m, o + m) for i, k, j, o in want]
+
+
+def test_large_groups_and_long_chunks(spark):
+    """Long stretches without spaces; pairs of a large group are counted by id."""
+    r = random.Random(1)
+    texts = ["".join(r.choice("aeiouxq") for _ in range(4000)), "é" * 3000, "字" * 500 + " 字",
+             "".join(r.choice("0123456789") for _ in range(3000))]
+    old, token_alignment._LARGE = token_alignment._LARGE, 3
+    try:
+        aligner = token_alignment.Aligner(A, B)
+        for t in texts:
+            chunks = aligner.of([t])[0]
+            a, b, groups = align_one(t)
+            assert aligner.groups(chunks) == shown(groups)
+            numbers = np.array(aligner.numbers).reshape(-1, 6)
+            _, codes, code, total = token_alignment._doc_pairs(
+                numbers, np.array(aligner.pairs), np.array(aligner.times), [chunks])
+            links = Counter(p for x, y in groups for p in itertools.product(x, y))
+            assert {(int(codes[c]) >> 32, int(codes[c]) & 0xFFFFFFFF): int(n)
+                    for c, n in zip(code, total, strict=True)} == dict(links)
+    finally:
+        token_alignment._LARGE = old
 
 
 @pytest.mark.parametrize("chars", [500, 4_000_000])
