@@ -5,6 +5,8 @@ value of a policy depends on a customer only through the features, so before cus
 combined with draws they are folded to distinct feature vectors with a count.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -14,6 +16,8 @@ from honestpick.functions.columns import all_of, attach_row
 from honestpick.functions.lineage import save_table
 from honestpick.operators import selective as S, shrink as H
 from honestpick.operators.bootstrap import index_rows
+from honestpick.operators.forests import (ForestSettings, forest_value, forests_by_treatment,
+                                          grow_forests)
 from honestpick.operators.splits import split_rows
 
 OUTLIER = 20.0
@@ -146,29 +150,92 @@ def replace_outliers(effects: DataFrame, threshold: float = OUTLIER,
     return effects.withColumn("effect", F.when(~fine, mean).otherwise(F.col("effect")))
 
 
-# --- forests (T3) -----------------------------------------------------------------------------
+# --- models (T1-T3) ----------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class QuadraticModel:
+    """Ordinary least squares per treatment on squares and features.
+
+    A model has `features`, `n_arms`, fit(rows, by, weight) -> (by..., model, fitted) with one row
+    per group, and effects(name) (variances(name), where it has them) as arrays over the arms of
+    a row that holds the features and the struct column `name`.  Any object with these can be
+    corrected by the functions below.
+    """
+    features: list[str]
+    n_arms: int
+    intercept: bool = True
+
+    def fit(self, rows: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
+        fits = fit_arm_ols(rows, self.features, by, weight=weight, intercept=self.intercept)
+        packed = _coefficients(fits, self.n_arms, list(by), True)
+        arms = range(self.n_arms)
+        return packed.select(
+            *by, F.struct(*[F.col(f"_c{a}").alias(f"c{a}") for a in arms]).alias("model"),
+            all_of([F.col(f"_c{a}.beta").isNotNull() for a in arms]).alias("fitted"))
+
+    def effects(self, name: str) -> Column:
+        return _effects(basis(self.features, self.intercept), self.n_arms, f"{name}.c")
+
+    def variances(self, name: str) -> Column:
+        return _variances(basis(self.features, self.intercept), self.n_arms, f"{name}.c")
+
+
+@dataclass(frozen=True)
+class ForestModel:
+    """A bagged forest per treatment t = 1.., minus that of `control`, if there is one."""
+    features: list[str]
+    n_arms: int
+    control: int | None = None
+    settings: ForestSettings = ForestSettings()
+    row_key: str = "row_id"
+    t: str = "t"
+    y: str = "y"
+
+    def fit(self, rows: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
+        if weight is None and by:
+            # a resample may hold a row several times
+            rows = rows.groupBy(*by, self.row_key, self.t, self.y, *self.features).agg(
+                F.count(F.lit(1)).alias("_times"))
+            weight = "_times"
+        grown = grow_forests(rows, self.features, by, self.t, self.y, self.row_key, weight,
+                             self.settings)
+        trees = forests_by_treatment(grown, list(by), self.t)
+        wanted = [*range(1, self.n_arms + 1), *([] if self.control is None else [self.control])]
+        packed = trees.groupBy(*by).agg(*[F.first(F.when(F.col(self.t) == k, F.col("trees")),
+                                                  ignorenulls=True).alias(f"c{k}") for k in wanted])
+        return packed.select(*by, F.struct(*[f"c{k}" for k in wanted]).alias("model"),
+                             all_of([F.col(f"c{k}").isNotNull() for k in wanted]).alias("fitted"))
+
+    def effects(self, name: str) -> Column:
+        def value(k):
+            return forest_value(F.col(f"{name}.c{k}"), self.features, self.settings.depth)
+        base = F.lit(0.0) if self.control is None else value(self.control)
+        return F.array(*[value(k) - base for k in range(1, self.n_arms + 1)])
+
+
+def predict(target: DataFrame, model, fits: DataFrame, outlier: float | None = OUTLIER) -> DataFrame:
+    """Target rows with the model's `effects` (and `vars`, where it has variances); `fits` is the
+    one row of model.fit()."""
+    out = attach_row(target, fits.select(F.col("model").alias("_model")))
+    out = out.withColumn("effects", model.effects("_model"))
+    if hasattr(model, "variances"):
+        out = out.withColumn("vars", model.variances("_model"))
+    if outlier is not None:
+        out = out.withColumn("effects", repair_outliers(F.col("effects"), model.n_arms, outlier))
+    return out.drop("_model")
+
 
 def fit_forest_effects(train: DataFrame, target: DataFrame, features: list[str], n_arms: int,
                        control: int = 0, depth: int = 5, trees: int = 20, t: str = "t",
-                       y: str = "y", seed: int = 42) -> DataFrame:
-    """Target rows with an `effects` array: one random forest per treatment minus control's.
+                       y: str = "y", seed: int = 42, row_key: str = "row_id",
+                       fast: bool = False) -> DataFrame:
+    """Target rows with an `effects` array: one forest per treatment minus control's.
 
     With `control` None the arms' own predictions are returned.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    rows, out = assembler.transform(train), assembler.transform(target)
-    treatments = list(range(1, n_arms + 1))
-    for k in treatments + ([] if control is None else [control]):
-        forest = RandomForestRegressor(
-            featuresCol="_features", labelCol=y, predictionCol=f"_p{k}", maxDepth=depth,
-            numTrees=trees, seed=seed).fit(rows.where(F.col(t) == k))
-        out = forest.transform(out)
-    base = F.lit(0.0) if control is None else F.col(f"_p{control}")
-    return out.withColumn("effects", F.array(*[F.col(f"_p{k}") - base for k in treatments])).drop(
-        "_features", *[f"_p{k}" for k in treatments], f"_p{control}")
+    model = ForestModel(features, n_arms, control, ForestSettings(depth, trees, seed=seed,
+                                                                  fast=fast), row_key, t, y)
+    return predict(target, model, save_table(model.fit(train)), None)
 
 
 # --- policies (T5-T7) ---------------------------------------------------------------------------
@@ -209,34 +276,45 @@ def fold_target(target: DataFrame, features: list[str]) -> DataFrame:
     return target.groupBy(*features).agg(F.count(F.lit(1)).alias("_m"))
 
 
-def draw_biases(target: DataFrame, fits: DataFrame, drawn_fits: DataFrame, features: list[str],
-                n_arms: int, draws: int, scale=1.0, outlier: float | None = OUTLIER,
+def draw_biases(target: DataFrame, fits: DataFrame, drawn_fits: DataFrame, model, draws: int,
+                scale=1.0, outlier: float | None = OUTLIER, scores: Column | None = None,
                 draw: str = "draw") -> DataFrame:
     """(draw, bias): policy of the resampled fit, resampled minus original value.
 
-    A draw in which some arm could not be fitted is left out.
+    The policy picks by `scores`, an array expression over the resample's `effects` and `vars`
+    (the effects themselves when None).  A draw in which some arm could not be fitted is left out.
     """
-    x = basis(features)
-    base = predict_effects(fold_target(target, features), fits, features, n_arms, outlier,
-                           variances=False).withColumnRenamed("effects", "_original")
-    fitted = all_of([F.col(f"_c{a}.beta").isNotNull() for a in range(n_arms)])
-    models = _coefficients(drawn_fits, n_arms, [draw], False).where(fitted)
-    # draws x arms x terms numbers, set by parameters: the data's size has no part in it, and a
-    # shuffle on the draw would put all customers of a draw in one task
-    joined = D.with_draws(base, draws, draw).join(F.broadcast(models), draw)
-    e = _effects(x, n_arms)
-    joined = joined.withColumn("_e", e if outlier is None else
-                               repair_outliers(e, n_arms, outlier))
-    joined = joined.withColumn("_a", best_arm("_e"))
-    gap = F.get("_e", F.col("_a")) - F.get("_original", F.col("_a"))
-    return joined.groupBy(draw).agg(
+    base = attach_row(fold_target(target, model.features),
+                      fits.select(F.col("model").alias("_base")))
+    base = base.withColumn("_original", _repaired(model.effects("_base"), model.n_arms, outlier)
+                           ).drop("_base")
+    # models are saved, so Spark knows their size: they are broadcast if small
+    models = save_table(drawn_fits.where("fitted").select(draw, "model"))
+    joined = D.with_draws(base, draws, draw).join(models, draw)
+    picked = _picked(joined, model, "model", outlier, scores)
+    gap = F.get("effects", F.col("_a")) - F.get("_original", F.col("_a"))
+    return picked.groupBy(draw).agg(
         (F.sum(F.col("_m") * gap) / F.sum("_m")).alias("_raw")).select(
         draw, (F.col("_raw") * scale).alias("bias"))
 
 
-def _corrected(target, fits, biases, features, n_arms, estimator, outlier) -> DataFrame:
-    naive = policy_value(target_policy(predict_effects(
-        target, fits, features, n_arms, outlier, variances=False)))
+def _repaired(effects: Column, n_arms: int, outlier: float | None) -> Column:
+    return effects if outlier is None else repair_outliers(effects, n_arms, outlier)
+
+
+def _picked(rows: DataFrame, model, name: str, outlier: float | None,
+            scores: Column | None) -> DataFrame:
+    """Adds the model's effects (and vars, for scores) and the picked arm `_a`."""
+    out = rows.withColumn("effects", model.effects(name))
+    if outlier is not None:
+        out = out.withColumn("effects", repair_outliers(F.col("effects"), model.n_arms, outlier))
+    if scores is not None and hasattr(model, "variances"):
+        out = out.withColumn("vars", model.variances(name))
+    return out.withColumn("_a", best_arm("effects" if scores is None else scores))
+
+
+def _corrected(target, fits, biases, model, estimator, outlier, scores) -> DataFrame:
+    naive = policy_value(target_policy(predict(target, model, fits, outlier), scores))
     mean = biases.agg(F.avg("bias").alias("bias"), F.count(F.lit(1)).alias("draws"))
     return attach_row(naive, mean).select(
         F.lit(estimator).alias("estimator"), F.col("value").alias("naive"),
@@ -246,25 +324,28 @@ def _corrected(target, fits, biases, features, n_arms, estimator, outlier) -> Da
 def policy_correct_standard(train: DataFrame, target: DataFrame, features: list[str],
                             n_arms: int, draws: int, row_key: str = "row_id",
                             outlier: float | None = OUTLIER, seed: int = 42,
-                            fast: bool = False, power: float | None = None) -> DataFrame:
+                            fast: bool = False, power: float | None = None, model=None,
+                            scores: Column | None = None) -> DataFrame:
     """Pooled resampling of the training rows by Poisson weights.
 
+    `model` is any model (see QuadraticModel, the default), `scores` the policy's rule.
     With `power` in (-0.5, 0): the numerical bootstrap, biases scaled by n^power * sqrt(n).
     """
+    model = model or QuadraticModel(features, n_arms)
     slim = train.where("y IS NOT NULL").select(row_key, *features, "t", "y")
-    fits = save_table(fit_arm_ols(slim, features))
+    fits = save_table(model.fit(slim))
     weighted = D.with_poisson_weights(slim, draws, [row_key], seed,
                                       "policy" if power is None else "policy-num", fast)
-    drawn = fit_arm_ols(weighted, features, ["draw"], weight="weight")
-    biases = draw_biases(target, fits, drawn, features, n_arms, draws, outlier=outlier)
+    biases = draw_biases(target, fits, model.fit(weighted, ["draw"], "weight"), model, draws,
+                         outlier=outlier, scores=scores)
     if power is not None:
         if not -0.5 < power < 0:
             raise ValueError("power must be in (-0.5, 0)")
-        size = fits.agg(F.sum("n").alias("_n"))
+        size = slim.agg(F.count(F.lit(1)).alias("_n"))
         biases = attach_row(biases, size).withColumn(
             "bias", F.col("bias") * F.pow("_n", F.lit(power)) * F.sqrt("_n")).drop("_n")
     name = "standard" if power is None else "numerical"
-    return _corrected(target, fits, biases, features, n_arms, name, outlier)
+    return _corrected(target, fits, biases, model, name, outlier, scores)
 
 
 def moon_policy_scale(sizes: DataFrame, power: float) -> DataFrame:
@@ -276,20 +357,23 @@ def moon_policy_scale(sizes: DataFrame, power: float) -> DataFrame:
 def policy_correct_moon(train: DataFrame, target: DataFrame, features: list[str], n_arms: int,
                         draws: int, power: float, row_key: str = "row_id",
                         outlier: float | None = OUTLIER, seed: int = 42,
-                        fast: bool = False) -> DataFrame:
+                        fast: bool = False, model=None,
+                        scores: Column | None = None) -> DataFrame:
     """floor(n_k^power) rows drawn within every arm; biases scaled by sqrt(sum m / sum n)."""
     if not 0 < power < 1:
         raise ValueError("power must be in (0, 1)")
+    model = model or QuadraticModel(features, n_arms)
     train = train.where("y IS NOT NULL")
-    fits = save_table(fit_arm_ols(train, features))
-    sizes = fits.select((F.col("arm") + 1).alias("t"), F.col("n").cast("bigint").alias("n"))
-    rows = index_rows(train, sizes, draws, ["t"], [*features, "y"], row_key, [power], seed,
-                      "policy-moon", fast)
-    drawn = fit_arm_ols(rows, features, ["draw"])
-    biases = attach_row(draw_biases(target, fits, drawn, features, n_arms, draws,
-                                    outlier=outlier), moon_policy_scale(fits, power))
+    fits = save_table(model.fit(train))
+    sizes = save_table(train.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    carry = [*features, "y", *([] if isinstance(model, QuadraticModel) else [row_key])]
+    rows = index_rows(train, sizes, draws, ["t"], carry, row_key, [power], seed, "policy-moon",
+                      fast)
+    biases = attach_row(draw_biases(target, fits, model.fit(rows, ["draw"]), model, draws,
+                                    outlier=outlier, scores=scores),
+                        moon_policy_scale(sizes, power))
     biases = biases.withColumn("bias", F.col("bias") * F.col("_scale")).drop("_scale")
-    return _corrected(target, fits, biases, features, n_arms, "moon", outlier)
+    return _corrected(target, fits, biases, model, "moon", outlier, scores)
 
 
 def policy_correct_numerical(*args, power: float = -0.45, **kw) -> DataFrame:
@@ -365,30 +449,28 @@ def policy_eb(predicted: DataFrame, prior: str, n_arms: int, key: str = "custome
 
 def policy_split(train: DataFrame, target: DataFrame, features: list[str], n_arms: int,
                  fraction: float = 0.5, splits: int = 1, row_key: str = "row_id",
-                 outlier: float | None = OUTLIER, seed: int = 42,
-                 fast: bool = False) -> DataFrame:
-    """Fit and pick on one part, refit on the rest for the value; one row per split."""
-    parts = split_rows(train.where("y IS NOT NULL").select(row_key, *features, "t", "y"), fraction, splits, [],
-                       row_key, seed, "policy-split", fast)
-    fits = fit_arm_ols(parts, features, ["split_id", "in_est"])
-    x = basis(features)
-    sides = []
-    for side, prefix in ((True, "_c"), (False, "_d")):
-        c = _coefficients(fits.where(F.col("in_est") == side), n_arms, ["split_id"], False)
-        sides.append(c.withColumnsRenamed({f"_c{a}": f"{prefix}{a}" for a in range(n_arms)}))
-    # splits x arms x terms numbers, set by parameters
-    models = F.broadcast(sides[0].join(sides[1], "split_id"))
-    joined = D.with_draws(fold_target(target, features), splits, "split_id").join(
-        models, "split_id")
+                 outlier: float | None = OUTLIER, seed: int = 42, fast: bool = False,
+                 model=None, scores: Column | None = None) -> DataFrame:
+    """Fit and pick on one part, refit on the rest for the value; one row per split.
 
-    def side(prefix):
-        e = _effects(x, n_arms, prefix)
-        return e if outlier is None else repair_outliers(e, n_arms, outlier)
-    joined = joined.withColumns({"_e": side("_c"), "_v": side("_d")}).withColumn(
-        "_a", best_arm("_e"))
+    A split whose parts could not both be fitted is left out.
+    """
+    model = model or QuadraticModel(features, n_arms)
+    parts = split_rows(train.where("y IS NOT NULL").select(row_key, *features, "t", "y"), fraction,
+                       splits, [], row_key, seed, "policy-split", fast)
+    if not isinstance(model, QuadraticModel):
+        parts = parts.withColumn("_once", F.lit(1))
+    weight = None if isinstance(model, QuadraticModel) else "_once"
+    fits = save_table(model.fit(parts, ["split_id", "in_est"], weight).where("fitted"))
+    sides = [fits.where(F.col("in_est") == side).select("split_id", F.col("model").alias(name))
+             for side, name in ((True, "_est"), (False, "_eval"))]
+    joined = D.with_draws(fold_target(target, features), splits, "split_id").join(
+        sides[0], "split_id").join(sides[1], "split_id")
+    picked = _picked(joined, model, "_est", outlier, scores).withColumn(
+        "_v", _repaired(model.effects("_eval"), n_arms, outlier))
     m = F.col("_m")
-    return joined.groupBy("split_id").agg(
-        (F.sum(m * F.get("_e", F.col("_a"))) / F.sum(m)).alias("est_value"),
+    return picked.groupBy("split_id").agg(
+        (F.sum(m * F.get("effects", F.col("_a"))) / F.sum(m)).alias("est_value"),
         (F.sum(m * F.get("_v", F.col("_a"))) / F.sum(m)).alias("corrected"))
 
 

@@ -8,7 +8,7 @@ from honestpick.plans import roles as R
 from honestpick.plans.catalog import query, r, rounded
 from honestpick.plans.queries_bootstrap import poisson_rows
 from honestpick.plans.queries_splits import parts_sql
-from honestpick.plans.sqltext import hash48_sql, with_
+from honestpick.plans.sqltext import forest_sql, forest_values, hash48_sql, rate_rows, with_
 
 K, X, DRAWS = 3, ["x"], 8
 
@@ -69,19 +69,34 @@ def _(spark, sf):
     return out.withColumns({"effect": r("effect"), "var": r("var", 7)})
 
 
-@query("t3_fit_forest_effects")
+_TREES = 5
+
+
+def _forest_sql(rows="train"):
+    """Forests of five trees of depth three on the training rows, and their values."""
+    return dict(**forest_sql("f", poisson_rows(f"(SELECT * FROM {rows})", "row_id", _TREES, 42,
+                                               "forest").replace("draw", "tree"), "t, tree", 3, "w"),
+                **forest_values("f", "t, tree", 3, "target", "customer_id, x"))
+
+
+@query("t3_fit_forest_effects", with_("train", "target", **_forest_sql()) + """
+SELECT customer_id, t - 1 AS arm, round(e, 6) AS effect FROM fe""")
 def _(spark, sf):
     out = T.fit_forest_effects(_train(spark, sf), R.targeting_target(spark, sf), X, K,
-                               control=None, depth=3, trees=5)
-    return T.long_effects(out, ["customer_id"], K)
+                               control=None, depth=3, trees=_TREES)
+    return rounded(T.long_effects(out, ["customer_id"], K), "effect")
 
 
-@query("t3b_forest_minus_control")
+@query("t3b_forest_minus_control", with_("train", "target", **_forest_sql()) + """
+SELECT customer_id, CAST(arm AS INTEGER) AS arm, round(e, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY e DESC, arm) AS k FROM (
+    SELECT f.customer_id, f.t - 2 AS arm, f.e - c.e AS e FROM fe f
+    JOIN fe c ON f.customer_id = c.customer_id AND c.t = 1 WHERE f.t > 1)) WHERE k = 1""")
 def _(spark, sf):
     train = _train(spark, sf).withColumn("t", F.col("t") - 1)        # flag A is the control
     out = T.fit_forest_effects(train, R.targeting_target(spark, sf), X, K - 1, control=0,
-                               depth=3, trees=5)
-    return T.target_policy(out).select("customer_id", "arm", "value")
+                               depth=3, trees=_TREES)
+    return rounded(T.target_policy(out).select("customer_id", "arm", "value"), "value")
 
 
 _OUT_SQL = """
@@ -194,6 +209,63 @@ def _(spark, sf):
                                     R.targeting_target(spark, sf), X, K, DRAWS), *_BOOT)
 
 
+# A policy that picks by effect minus twice its standard error, in the draws as on the data.
+def _risk_sql(fit, x="x"):
+    return f"""({fit}.yy - {fit}.b0 * {fit}.y2 - {fit}.b1 * {fit}.y1 - {fit}.b2 * {fit}.y0)
+    / ({fit}.n - 3) * ({fit}.v00 * {x} * {x} * {x} * {x} + 2 * {fit}.v01 * {x} * {x} * {x}
+      + (2 * {fit}.v02 + {fit}.v11) * {x} * {x} + 2 * {fit}.v12 * {x} + {fit}.v22)"""
+
+
+_RISK = dict(spick="""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+    ORDER BY effect - 2 * sqrt(var) DESC, arm) AS k FROM eff) WHERE k = 1""")
+
+
+@query("t8b_policy_correct_risk_adjusted", pred_sql(
+    wt=poisson_rows("train", "row_id", DRAWS, 42, "policy"), dfit=fit_sql("wt", "draw", "w"),
+    xs="SELECT x, count(*) AS m FROM target GROUP BY x", **_RISK, de=f"""
+  SELECT draw, xs.x, m, d.arm, d.b0 * x * x + d.b1 * x + d.b2 AS e, {_risk_sql("d")} AS v,
+    f.b0 * x * x + f.b1 * x + f.b2 AS original FROM xs, dfit d JOIN fit f ON d.arm = f.arm""",
+    dp="""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY draw, x
+    ORDER BY e - 2 * sqrt(v) DESC, arm) AS k FROM de) WHERE k = 1""",
+    db="SELECT draw, sum(m * (e - original)) / sum(m) AS bias FROM dp GROUP BY draw")
+    + _corrected_sql("standard").replace("tpick", "spick"))
+def _(spark, sf):
+    return rounded(T.policy_correct_standard(
+        _train(spark, sf), R.targeting_target(spark, sf), X, K, DRAWS,
+        scores=T.risk_adjusted(K, 2.0)), *_BOOT)
+
+
+_F_TREES, _F_DEPTH, _F_DRAWS = 4, 2, 4
+
+
+def _small_forest():
+    return T.ForestModel(X, K, settings=T.ForestSettings(_F_DEPTH, _F_TREES))
+
+
+@query("t8c_policy_correct_forest", with_("train", "target", xs="""
+  SELECT x, count(*) AS m FROM target GROUP BY x""", **forest_sql(
+    "f", poisson_rows("train", "row_id", _F_TREES, 42, "forest").replace("draw", "tree"),
+    "t, tree", _F_DEPTH, "w"), **forest_values("f", "t, tree", _F_DEPTH, "xs", "x, m"),
+    wt=poisson_rows("train", "row_id", _F_DRAWS, 42, "policy"), **forest_sql(
+        "d", rate_rows("wt", "CAST(draw AS VARCHAR), row_id", _F_TREES, 42, "forest", "w"),
+        "draw, t, tree", _F_DEPTH, "v"),
+    **forest_values("d", "draw, t, tree", _F_DEPTH, "xs", "x, m"), dp="""
+  SELECT * FROM (SELECT d.draw, d.m, d.e, f.e AS original, row_number() OVER (
+      PARTITION BY d.draw, d.x ORDER BY d.e DESC, d.t) AS k
+    FROM de d JOIN fe f ON d.t = f.t AND d.x = f.x) WHERE k = 1""",
+    db="SELECT draw, sum(m * (e - original)) / sum(m) AS bias FROM dp GROUP BY draw",
+    fpick="SELECT x, m, max(e) AS effect FROM fe GROUP BY x, m") + """
+SELECT 'standard' AS estimator, round(v, 6) AS naive, round(v - b, 6) AS corrected,
+  round(b, 6) AS bias, d AS draws FROM (SELECT sum(m * effect) / sum(m) AS v FROM fpick),
+  (SELECT avg(bias) AS b, count(*) AS d FROM db)""")
+def _(spark, sf):
+    return rounded(T.policy_correct_standard(
+        _train(spark, sf), R.targeting_target(spark, sf), X, K, _F_DRAWS,
+        model=_small_forest()), *_BOOT)
+
+
 # Draws of the orders experiment kept when every (arm, status) cell keeps enough rows.
 @query("t12_valid_draws", with_("prows", w=poisson_rows(
     "prows", "CAST(row_id AS VARCHAR)", 40, 42, "valid"), c="""
@@ -257,6 +329,44 @@ def _(spark, sf):
     return rounded(out, "est_value", "corrected")
 
 
+@query("t15b_policy_split_risk_adjusted", with_("train", "target", parts=parts_sql(
+    "train", 3, 0.5, "1", "policy-split").replace("CAST(row_id AS VARCHAR)", "row_id"),
+    sfit=fit_sql("parts", "split_id, in_est"), se=f"""
+  SELECT a.split_id, customer_id, a.arm, a.b0 * x * x + a.b1 * x + a.b2 AS e, {_risk_sql("a")} AS r,
+    b.b0 * x * x + b.b1 * x + b.b2 AS v FROM target, sfit a
+  JOIN sfit b ON a.split_id = b.split_id AND a.arm = b.arm AND a.in_est AND NOT b.in_est""", sp="""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split_id, customer_id
+    ORDER BY e - 2 * sqrt(r) DESC, arm) AS k FROM se) WHERE k = 1""") + """
+SELECT split_id, round(avg(e), 6) AS est_value, round(avg(v), 6) AS corrected
+FROM sp GROUP BY split_id""")
+def _(spark, sf):
+    out = T.policy_split(_train(spark, sf), R.targeting_target(spark, sf), X, K, splits=3,
+                         scores=T.risk_adjusted(K, 2.0))
+    return rounded(out, "est_value", "corrected")
+
+
+_SPLIT_KEYS = "split_id, in_est, t, tree"
+
+
+@query("t15c_policy_split_forest", with_("train", "target", parts=parts_sql(
+    "train", 2, 0.5, "1", "policy-split").replace("CAST(row_id AS VARCHAR)", "row_id"),
+    xs="SELECT x, count(*) AS m FROM target GROUP BY x", once="SELECT *, 1 AS once FROM parts",
+    **forest_sql("s", rate_rows(
+        "once", "CAST(split_id AS VARCHAR), CAST(in_est AS VARCHAR), row_id", _F_TREES, 42, "forest",
+        "once"), _SPLIT_KEYS, _F_DEPTH, "v"),
+    **forest_values("s", _SPLIT_KEYS, _F_DEPTH, "xs", "x, m"), sp="""
+  SELECT * FROM (SELECT a.split_id, a.m, a.e, b.e AS v, row_number() OVER (
+      PARTITION BY a.split_id, a.x ORDER BY a.e DESC, a.t) AS k
+    FROM se a JOIN se b ON a.split_id = b.split_id AND a.t = b.t AND a.x = b.x
+      AND a.in_est AND NOT b.in_est) WHERE k = 1""") + """
+SELECT split_id, round(sum(m * e) / sum(m), 6) AS est_value,
+  round(sum(m * v) / sum(m), 6) AS corrected FROM sp GROUP BY split_id""")
+def _(spark, sf):
+    out = T.policy_split(_train(spark, sf), R.targeting_target(spark, sf), X, K, splits=2,
+                         model=_small_forest())
+    return rounded(out, "est_value", "corrected")
+
+
 @query("t16_policy_si")
 def _(spark, sf):
     return T.policy_si(_predicted(spark, sf), X, K)

@@ -198,3 +198,69 @@ def poisson_rows(source: str, keys: str, draws: int, seed: int, salt: str) -> st
     return (f"SELECT * FROM (SELECT *, {weight_case('lane')} AS w FROM (SELECT *, {lane} AS lane "
             f"FROM {source}, (SELECT CAST(range AS INTEGER) AS draw FROM range({draws})))) "
             "WHERE w > 0")
+
+
+def rate_rows(source: str, keys: str, draws: int, seed: int, salt: str, rate: str) -> str:
+    """The same with Poisson(rate) weights v: a weight is the number of values of the
+    distribution function, in units of 2^-32, that are not above a 32-bit hash."""
+    lane = (f"('0x' || substr({hash_sql(keys + ", '0', CAST(tree // 4 AS VARCHAR)", seed, salt)}, "
+            "CAST(1 + 8 * (tree % 4) AS BIGINT), 8))::BIGINT")
+    return f"""
+  SELECT l.*, len(list_filter(cuts, lambda c: c <= lane_)) AS v FROM (
+    SELECT *, {lane} AS lane_
+    FROM {source}, (SELECT CAST(range AS INTEGER) AS tree FROM range({draws}))) l
+  JOIN (SELECT rate, list(floor(f * 4294967296.0::DOUBLE) ORDER BY k) AS cuts FROM (
+    SELECT rate, k, sum(exp(-rate + k * ln(rate::DOUBLE) - lgamma(k + 1.0::DOUBLE)))
+      OVER (PARTITION BY rate ORDER BY k) AS f
+    FROM (SELECT range AS rate FROM range(1, 14)), (SELECT range AS k FROM range(60)))
+    WHERE f < 1 - pow(2.0::DOUBLE, -32) GROUP BY rate) cdf ON l.{rate} = cdf.rate
+  WHERE len(list_filter(cuts, lambda c: c <= lane_)) > 0"""
+
+
+def forest_sql(name: str, rows: str, keys: str, depth: int, weight: str) -> dict[str, str]:
+    """Trees on one feature x: CTEs <name>s (keys, node, cut) and <name>v (keys, node, value).
+
+    `rows` is a SELECT with the keys (t and tree among them), x, y and the weight.
+    """
+    ctes = {f"{name}n0": f"SELECT {keys}, x, y, {weight} AS w, 0 AS node FROM ({rows})"}
+    for level in range(depth):
+        ctes[f"{name}b{level}"] = f"""
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys}, node ORDER BY gain DESC, x) AS k FROM (
+      SELECT *, CASE WHEN nl < nn THEN round(sl * sl / nl + (ss - sl) * (ss - sl) / (nn - nl)
+        - ss * ss / nn, 9) ELSE -1 END AS gain FROM (
+        SELECT {keys}, node, x, sum(n) OVER run AS nl, sum(s) OVER run AS sl,
+          sum(n) OVER whole AS nn, sum(s) OVER whole AS ss FROM (
+          SELECT {keys}, node, x, sum(w)::DOUBLE AS n, sum(w * y) AS s FROM {name}n{level}
+          GROUP BY {keys}, node, x)
+        WINDOW whole AS (PARTITION BY {keys}, node), run AS (PARTITION BY {keys}, node ORDER BY x))))
+  WHERE k = 1 AND gain > 0"""
+        on = " AND ".join(f"n.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+        ctes[f"{name}n{level + 1}"] = f"""
+  SELECT n.* EXCLUDE (node), 2 * n.node + 1 + CASE WHEN n.x > b.x THEN 1 ELSE 0 END AS node
+  FROM {name}n{level} n JOIN {name}b{level} b ON {on} AND n.node = b.node"""
+    ctes[f"{name}s"] = " UNION ALL ".join(f"SELECT {keys}, node, x AS cut FROM {name}b{level}"
+                                          for level in range(depth))
+    ctes[f"{name}v"] = " UNION ALL ".join(
+        f"SELECT {keys}, node, sum(w * y) / sum(w) AS value FROM {name}n{level} "
+        f"GROUP BY {keys}, node" for level in range(depth + 1))
+    return ctes
+
+
+def forest_values(name: str, keys: str, depth: int, target: str, columns: str) -> dict[str, str]:
+    """CTE <name>e: (keys without tree, columns of the target rows, value e)."""
+    each = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"p.{k} = q.{k}" for k in each)
+    ctes = {f"{name}p0": f"SELECT *, 0 AS node FROM (SELECT {columns} FROM {target}), "
+                         f"(SELECT DISTINCT {keys} FROM {name}v)"}
+    for level in range(depth):
+        ctes[f"{name}p{level + 1}"] = f"""
+  SELECT p.* EXCLUDE (node), CASE WHEN q.cut IS NULL THEN p.node
+    ELSE 2 * p.node + 1 + CASE WHEN x > q.cut THEN 1 ELSE 0 END END AS node
+  FROM {name}p{level} p LEFT JOIN {name}s q ON {on} AND p.node = q.node"""
+    rest = ", ".join(f"p.{k}" for k in each if k != "tree")
+    cols = ", ".join(f"p.{c.strip()}" for c in columns.split(","))
+    ctes[f"{name}e"] = f"""
+  SELECT {rest}, {cols}, avg(value) AS e FROM {name}p{depth} p JOIN {name}v q
+    ON {on} AND p.node = q.node GROUP BY {rest}, {cols}"""
+    return ctes
