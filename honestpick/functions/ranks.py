@@ -9,6 +9,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from honestpick.functions.lineage import save_table
+
 
 def with_position(df: DataFrame, by: list[str], order: list, bucket: Column,
                   position: str = "pos", size: str | None = "n") -> DataFrame:
@@ -67,18 +69,17 @@ def prefix_bucket(df: DataFrame, by: list[str], c: str) -> Column:
         length = 2 * length or 1
 
 
-def hex_digits(df: DataFrame, by: list[str], most: int = ROWS_PER_BUCKET) -> int:
-    """Leading hex digits that cut the largest group's uniform hashes into buckets of `most`."""
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    digits = 0
-    while (largest or 0) / 16 ** digits > most:
-        digits += 1
-    return digits
-
+def spread(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """(rows for work that copies each of them, size of the largest group).
 
-def hex_bucket(h, digits: int) -> Column:
-    """Bucket for ordering by a uniform hex hash: its leading digits."""
-    return F.substring(h, 1, digits) if digits else F.lit("")
+    A table that comes in fewer pieces than there are cores is dealt out and saved first, or a few
+    tasks would do all the work, several times; others stay where they are.
+    """
+    largest, last = df.select(*by, F.spark_partition_id().alias("_task")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_task").alias("p")).agg(F.max("n"), F.max("p")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    dealt = df if (last or 0) + 1 >= cores else save_table(df.repartition(cores))
+    return dealt, largest or 0
 
 
 def _fullest(df: DataFrame, by: list[str], bucket: Column) -> int:

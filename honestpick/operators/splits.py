@@ -1,12 +1,14 @@
 """Sample splitting, cross-validation and backtests on real rows (V1-V9)."""
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
 from honestpick.functions.columns import attach_row
 from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_median
-from honestpick.functions.ranks import hex_digits
+from honestpick.functions.ranks import spread
 from honestpick.operators.bootstrap import numbered, observed
 from honestpick.operators.effects import TEST, select_winner
 from honestpick.operators.joins import join_null_safe
@@ -25,7 +27,8 @@ def split_cuts(rows: DataFrame, fraction: float, splits: int, strata: list[str],
     if not 0 < fraction < 1:
         raise ValueError("fraction must be in (0, 1)")
     if hash_digits is None:
-        hash_digits = (hex_digits(rows, strata, 1) + 1) // 2
+        rows, largest = spread(rows, strata)
+        hash_digits = root_digits(largest)
     slim = rows.select(*strata, row_key)
     digits = F.substring("_h", 1, hash_digits).alias("_d")
     hashed = D.with_draws(slim, splits, "split_id").withColumn(
@@ -49,6 +52,11 @@ def split_cuts(rows: DataFrame, fraction: float, splits: int, strata: list[str],
         F.collect_list(F.struct("split_id", entry))).alias("_m")))
 
 
+def root_digits(largest: int) -> int:
+    """Hex digits that make about as many buckets as rows in each."""
+    return max(1, round(math.log(max(largest, 2), 16) / 2))
+
+
 def _split_hash(row_key: str, seed: int, salt: str, fast: bool):
     if not fast:
         return D.hash_hex([row_key, "split_id"], seed, salt)
@@ -79,7 +87,9 @@ def split_rows(rows: DataFrame, fraction: float, splits: int, strata: list[str],
     where it is, by comparison with its stratum's cut (see split_cuts).
     """
     if cuts is None:
-        cuts = split_cuts(rows, fraction, splits, strata, row_key, seed, salt, fast, hash_digits)
+        rows, largest = spread(rows, strata)
+        cuts = split_cuts(rows, fraction, splits, strata, row_key, seed, salt, fast,
+                          hash_digits or root_digits(largest))
     own = F.struct(_split_hash(row_key, seed, salt, fast).alias("h"), F.col(row_key).alias("k"))
     return _per_split(rows, cuts, strata, splits).withColumn(
         "in_est", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_cut")
