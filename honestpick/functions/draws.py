@@ -176,55 +176,80 @@ def binomial_array(size, prob, seed, draws: int) -> Column:
     return variates(size, prob, seed)
 
 
-def _log_factorial_ratio(b: float, d: np.ndarray) -> np.ndarray:
-    """log((b + d)! / b!) by Stirling differences, which lose no digits at large b; exact sums
-    of logs where b or b + d is small."""
-    b = np.float64(b)
+_EXACT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4_096)))])     # log of k!
+
+
+def _log_factorial_ratio(b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log((b + d)! / b!): differences of a table of small factorials and of Stirling's series;
+    where both are large, the series' difference, which loses no digits."""
     a = b + d
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = ((b + 0.5) * np.log1p(d / b) + d * np.log(a) - d + (1 / a - 1 / b) / 12
-               - (1 / a ** 3 - 1 / b ** 3) / 360)
-    for i in np.flatnonzero(np.minimum(a, b) < 30):      # Stirling's series is for large ones
-        out[i] = math.lgamma(a[i] + 1) - math.lgamma(b + 1)
-    return out
+        large = ((b + 0.5) * np.log1p(d / b) + d * np.log(a) - d + (1 / a - 1 / b) / 12
+                 - (1 / a ** 3 - 1 / b ** 3) / 360)
+        ends = [np.where(x < len(_EXACT), _EXACT[np.minimum(x, len(_EXACT) - 1).astype(np.int64)],
+                         (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x))
+                for x in (a, b)]
+    return np.where(np.minimum(a, b) < len(_EXACT), ends[0] - ends[1], large)
+
 
+def _uniforms(seeds: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Uniform on (0, 1] from a seed and a counter each (a one-to-one scrambling of 64 bits)."""
+    with np.errstate(over="ignore"):
+        z = seeds + (counter.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53
 
-def hypergeometric(rng: np.random.Generator, good: int, total: int, sample: int,
-                   draws: int) -> np.ndarray:
-    """Exact hypergeometric variates for populations of any size: ratio of uniforms.
+
+def hypergeometric(seeds, good, total, sample, draws: int) -> np.ndarray:
+    """[rows, draws] exact hypergeometric variates for populations of any size, all rows of a
+    batch at once: ratio of uniforms, seeded per row.
 
     The distribution is log-concave, so Stadlober's hat around its mean covers it; a candidate
     is accepted by its probability relative to the mode's.
     """
-    low, high = max(0, sample - (total - good)), min(good, sample)
-    if low == high:
-        return np.full(draws, low, dtype=np.int64)
-    mode = min(max((sample + 1) * (good + 1) // (total + 2), low), high)
-    p = good / total
+    seeds = np.asarray(seeds).astype(np.int64).view(np.uint64)
+    good, total, sample = (np.asarray(x, dtype=np.int64) for x in (good, total, sample))
+    low, high = np.maximum(0, sample - (total - good)), np.minimum(good, sample)
+    # (in whole numbers: products of two counts do not fit 64 bits)
+    mode = np.array([min(max((int(s) + 1) * (int(g) + 1) // (int(n) + 2), int(lo)), int(hi))
+                     for s, g, n, lo, hi in zip(sample, good, total, low, high, strict=True)],
+                    dtype=np.int64)
+    n = np.maximum(total, 2)
+    p = good / np.maximum(total, 1)
     mean = sample * p
-    var = mean * (1 - p) * (total - sample) / (total - 1)
-    width = 2 * math.sqrt(2 / math.e) * math.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
-
-    def log_relative(k):        # log of P(mode + k) / P(mode)
-        return -(_log_factorial_ratio(mode, k) + _log_factorial_ratio(good - mode, -k)
-                 + _log_factorial_ratio(sample - mode, -k)
-                 + _log_factorial_ratio(total - good - sample + mode, k))
-
-    out = np.empty(0, dtype=np.int64)
-    while len(out) < draws:
-        u = 1 - rng.random(draws)
-        step = np.floor(mean - mode + 0.5 + width * (rng.random(draws) - 0.5) / u)
-        ok = (step >= low - mode) & (step <= high - mode)
-        u, step = u[ok], step[ok]
-        fine = 2 * np.log(u) <= log_relative(step)
-        out = np.concatenate([out, mode + step[fine].astype(np.int64)])
-    return out[:draws]
+    var = mean * (1 - p) * ((total - sample) / (n - 1))
+    width = 2 * math.sqrt(2 / math.e) * np.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    out = np.repeat(low[:, None], draws, axis=1)
+    row = np.repeat(np.arange(len(good)), draws)
+    left = np.flatnonzero((low < high)[row])
+    attempt = 0
+    while len(left):
+        r = row[left]
+        at = (attempt * draws + left % draws) * 2
+        u, v = _uniforms(seeds[r], at), _uniforms(seeds[r], at + 1)
+        step = np.floor((mean - mode)[r] + 0.5 + width[r] * (v - 0.5) / u)
+        fits = (step >= (low - mode)[r]) & (step <= (high - mode)[r])
+        k = np.where(fits, step, 0.0)
+        g, m, s, t = (x[r] for x in (good, mode, sample, total))
+        relative = -(_log_factorial_ratio(m.astype(float), k)
+                     + _log_factorial_ratio((g - m).astype(float), -k)
+                     + _log_factorial_ratio((s - m).astype(float), -k)
+                     + _log_factorial_ratio((t - g - s + m).astype(float), k))
+        fine = fits & (2 * np.log(u) <= relative)
+        out[r[fine], left[fine] % draws] = m[fine] + k[fine].astype(np.int64)
+        left = left[~fine]
+        attempt += 1
+    return out
 
 
 def hypergeometric_array(good, total, sample, seed, draws: int) -> Column:
     """ARRAY of `draws` hypergeometric variates: good items in a sample without replacement."""
     @F.pandas_udf("array<bigint>")
     def variates(g: pd.Series, n: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric(_generator(k), int(good_), int(n_), int(m_), draws)
-                          for good_, n_, m_, k in zip(g, n, m, s)])
+        # some million numbers at a time
+        size = max(1, 1_000_000 // draws)
+        return pd.Series([row for i in range(0, len(g), size) for row in hypergeometric(
+            s[i:i + size], g[i:i + size], n[i:i + size], m[i:i + size], draws)])
     return variates(good, total, sample, seed)

@@ -134,6 +134,66 @@ def count_draws(effects: DataFrame, draws: int, by: list[str] = TEST, arm: str =
         *by, arm, "draw", "n", (F.col("_c") / F.col("n")).alias("effect"))
 
 
+DRAW_BLOCK = 100     # draws that one row holds as an array
+
+
+def count_blocks(effects: DataFrame, draws: int, by: list[str] = TEST, arm: str = "arm",
+                 power: float | None = None, seed: int = 42, salt: int = 101) -> DataFrame:
+    """(by..., block, n_arms, n_avg, arms): count_draws() as arrays, one row per block of draws.
+
+    `arms` is an array of (arm, m, n, original, clicks), clicks being an array over the block's
+    draws, so that what is shuffled is arms x blocks, and a draw's winner is found in its row.
+    """
+    blocks = -(-draws // DRAW_BLOCK)
+    m = F.col("n") if power is None else F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(power))))
+    sized = effects.select(*by, arm, "n", m.cast("bigint").alias("_m"), "effect").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # arms meet before they are drawn: few bytes, but much work, so over all partitions
+    parts = int(effects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = sized.repartition(parts, *by, "block").withColumn("_k", D.binomial_array(
+        F.col("_m"), F.col("effect"), D.row_seed([*by, arm, "block"], seed, salt),
+        min(draws, DRAW_BLOCK)))
+    wanted = F.least(F.lit(DRAW_BLOCK), F.lit(draws) - F.col("block") * DRAW_BLOCK)
+    entry = F.struct(F.col(arm).alias("arm"), F.col("_m").alias("m"), F.col("n").alias("n"),
+                     F.col("effect").alias("original"), F.slice("_k", 1, wanted).alias("clicks"))
+    return made.groupBy(*by, "block").agg(F.array_sort(F.collect_list(entry)).alias("arms"),
+                                          F.avg("n").alias("n_avg"))
+
+
+def block_biases(blocks: DataFrame, by: list[str] = TEST, scale: Column | None = None) -> DataFrame:
+    """(by..., biases): per draw, the best arm's resampled minus original effect, ties to the
+    lowest arm."""
+    def best(i):
+        return F.array_max(F.transform("arms", lambda x: F.struct(
+            (F.get(x["clicks"], i) / x["m"]).alias("e"), (-x["arm"]).alias("a"),
+            x["original"].alias("o"))))
+    draws = F.sequence(F.lit(0), F.size(F.col("arms")[0]["clicks"]) - 1)
+    factor = F.lit(1.0) if scale is None else scale
+    # the winners are a column of their own, or each would be found again for each of its fields
+    won = blocks.select(*by, factor.alias("_s"), F.transform(draws, best).alias("_w"))
+    each = won.select(*by, F.transform("_w", lambda x: (x["e"] - x["o"]) * F.col("_s")).alias("_b"))
+    return each.groupBy(*by).agg(F.flatten(F.collect_list("_b")).alias("biases"))
+
+
+def array_stats(table: DataFrame, by: list[str], values: str) -> DataFrame:
+    """bias_stats() of an array column: its length is the number of draws, a parameter."""
+    v = F.array_sort(values)
+    n = F.size("_v")
+    mean = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / n
+    sd = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("bias"))
+                            * (x - F.col("bias"))) / (n - 1))
+
+    def quantile(p):
+        at = F.lit(p) * (n - 1)
+        lo, hi = (F.get("_v", f(at).cast("int")) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (at - F.floor(at))
+    return table.select(*by, v.alias("_v")).where("size(_v) > 0").withColumn("bias", mean).select(
+        *by, n.alias("draws"), "bias", F.when(n > 1, sd).otherwise(F.lit(0.0)).alias("bias_sd"),
+        *[quantile(p).alias(name) for p, name in ((0.025, "bias_q025"), (0.5, "bias_q50"),
+                                                   (0.975, "bias_q975"))]).withColumn(
+        "bias_se", F.col("bias_sd") / F.sqrt("draws"))
+
+
 # --- bias of the pick (B3, B6, B12) ------------------------------------------------------
 
 def moon_scale(power) -> Column:
@@ -185,9 +245,12 @@ def bias_stats(draws: DataFrame, by: list[str] = TEST) -> DataFrame:
 def correct(draws: DataFrame, effects: DataFrame, estimator: str, by: list[str] = TEST,
             arm: str = "arm", draw_keys: list[str] = ()) -> DataFrame:
     """Naive value of the original pick minus the mean bias, with the draws' spread."""
+    return _with_stats(bias_stats(draws, [*by, *draw_keys]), effects, estimator, by, arm, draw_keys)
+
+
+def _with_stats(stats, effects, estimator, by, arm, draw_keys=()) -> DataFrame:
     pick = select_winner(effects, by, arm).select(
         *by, F.col(arm).alias("selected_arm"), F.col("effect").alias("naive"))
-    stats = bias_stats(draws, [*by, *draw_keys])
     return pick.join(stats, by, "left").select(
         *by, *draw_keys, F.lit(estimator).alias("estimator"), "selected_arm", "naive",
         (F.col("naive") - F.col("bias")).alias("corrected"), "bias", "bias_sd", "bias_se",
@@ -367,14 +430,14 @@ def correct_by(rows: DataFrame, method: str, draws: int, **kw) -> DataFrame:
 
 def correct_counts(effects: DataFrame, draws: int, power: float | None = None,
                    by: list[str] = TEST, arm: str = "arm", seed: int = 42) -> DataFrame:
-    """Standard (power None) or m-out-of-n correction from counts."""
-    if power is None:
-        found = bias_draws(count_draws(effects, draws, by, arm, None, seed, 101), effects, by, arm)
-        return correct(found, effects, "standard", by, arm)
-    _check_power(power)
-    drawn = count_draws(effects, draws, by, arm, power, seed, 202)
-    found = bias_draws(drawn, effects, by, arm, moon_scale(power))
-    return correct(found, effects, "moon", by, arm)
+    """Standard (power None) or m-out-of-n correction from counts, in blocks of draws."""
+    if power is not None:
+        _check_power(power)
+    name, salt, scale = (("standard", 101, None) if power is None
+                         else ("moon", 202, moon_scale(power)))
+    blocks = count_blocks(effects, draws, by, arm, power, seed, salt)
+    stats = array_stats(block_biases(blocks, by, scale), by, "biases")
+    return _with_stats(stats, effects, name, by, arm)
 
 
 def _check_power(power: float) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import gauss
 from honestpick.functions.columns import attach_row, bin_arm_count, col, safe_ratio
+from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators import bootstrap as B, effects as E, selective as S, shrink as H
 from honestpick.operators import splits as V
@@ -33,17 +34,17 @@ def per_test_estimates(arms: DataFrame, estimators: list[str], draws: int = 1000
                        seed: int = 42) -> DataFrame:
     """Long table: one row per test and estimator with the record's columns alongside.
 
-    Works from counts, so its cost is tests x arms x draws whatever the traffic.
+    Works from counts, so its cost is tests x arms x draws whatever the traffic; draws stay in
+    arrays, so what moves is tests x arms x blocks of draws.
     """
     unknown = set(estimators) - set(COUNT_ESTIMATORS)
     if unknown:
         raise ValueError(f"unknown estimators: {sorted(unknown)}")
-    effects = E.arm_effects_from_counts(arms)
+    effects = save_table(E.arm_effects_from_counts(arms))
     made = {
         "standard": lambda: B.correct_counts(effects, draws, seed=seed),
         "moon": lambda: B.correct_counts(effects, draws, power, seed=seed),
-        "split": lambda: V.correct_split(V.split_values(
-            V.split_counts(effects, fraction, splits, seed=seed), effects)),
+        "split": lambda: V.correct_split_counts(effects, fraction, splits, seed=seed),
         "eb_normal": lambda: H.correct_eb_normal(effects, tie="source_row_id"),
         "hybrid_si": lambda: S.si_correct(effects, "hybrid", tie="source_row_id"),
     }

@@ -5,11 +5,11 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
-from honestpick.functions.columns import attach_row
+from honestpick.functions.columns import attach_row, winner_of
 from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_median
 from honestpick.functions.ranks import spread
-from honestpick.operators.bootstrap import numbered, observed
+from honestpick.operators.bootstrap import array_stats, numbered, observed
 from honestpick.operators.effects import TEST, select_winner
 from honestpick.operators.joins import join_null_safe
 
@@ -128,6 +128,56 @@ def split_counts(effects: DataFrame, fraction: float, splits: int, by: list[str]
         .alias("eval_effect"))
 
 
+def count_split_values(effects: DataFrame, fraction: float, splits: int, by: list[str] = TEST,
+                       arm: str = "arm", seed: int = 42, salt: int = 303) -> DataFrame:
+    """(by..., full_winner, naive, values) from counts: `values` is the array of a test's splits,
+    with (selected_arm, est_value, eval_value, full_winner_value).
+
+    The draws are those of split_counts(), kept as an array per arm; a test's arms meet once.
+    """
+    m = F.floor(F.col("n") * fraction)
+    if not 0 < fraction < 1:
+        raise ValueError("fraction must be in (0, 1)")
+    sized = effects.select(*by, arm, "n", "effect", F.when(
+        (m < 1) | (F.col("n") - m < 1), F.raise_error(F.lit("each arm needs rows in both parts"))
+        .cast("bigint")).otherwise(m).alias("_m")).withColumn(
+        "_c", F.rint(F.col("effect") * F.col("n")).cast("bigint"))
+    parts = int(effects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = sized.repartition(parts, *by).withColumn("_k", D.hypergeometric_array(
+        F.col("_c"), F.col("n"), F.col("_m"), D.row_seed([*by, arm], seed, salt), splits))
+    arms = made.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(
+            F.col(arm).alias("arm"), F.col("n").alias("n"), F.col("_m").alias("m"),
+            F.col("_c").alias("c"), F.col("_k").alias("k")))).alias("_arms"),
+        winner_of("effect", arm).alias("_w"))
+
+    def one(i):
+        def sides(x):
+            k = F.get(x["k"], i)
+            return F.struct((k / x["m"]).alias("e"), (-x["arm"]).alias("a"),
+                            ((x["c"] - k) / (x["n"] - x["m"])).alias("v"))
+        both = F.transform("_arms", sides)
+        full = F.get(F.filter(both, lambda x: -x["a"] == F.col(f"_w.{arm}")), F.lit(0))
+        best = F.array_max(both)
+        return F.struct((-best["a"]).alias("selected_arm"), best["e"].alias("est_value"),
+                        best["v"].alias("eval_value"), full["v"].alias("full_winner_value"))
+    return arms.select(*by, F.col(f"_w.{arm}").alias("full_winner"),
+                       F.col("_w.effect").alias("naive"),
+                       F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), one).alias("values"))
+
+
+def correct_split_counts(effects: DataFrame, fraction: float, splits: int,
+                         by: list[str] = TEST, arm: str = "arm", seed: int = 42) -> DataFrame:
+    """correct_split() from counts; nothing is shuffled but arms."""
+    values = count_split_values(effects, fraction, splits, by, arm, seed)
+    gaps = values.withColumn("_g", F.transform("values", lambda x: F.col("naive") - x["eval_value"]))
+    stats = array_stats(gaps, [*by, "full_winner", "naive"], "_g")
+    return stats.select(
+        *by, F.lit("split").alias("estimator"), F.col("full_winner").alias("selected_arm"), "naive",
+        (F.col("naive") - F.col("bias")).alias("corrected"), "bias", "bias_sd", "bias_se",
+        "bias_q025", "bias_q50", "bias_q975", F.lit("ok").alias("status"))
+
+
 def split_values(parts: DataFrame, effects: DataFrame, by: list[str] = TEST,
                  arm: str = "arm") -> DataFrame:
     """Per split: the estimation part's pick, its value on both parts, and the full winner's."""

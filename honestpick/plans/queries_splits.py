@@ -71,8 +71,7 @@ def _(spark, sf):
 
 @query("v3b_correct_split_counts")
 def _(spark, sf):
-    e = saved_effects(spark, sf)
-    return V.correct_split(V.split_values(V.split_counts(e, 0.5, 100), e))
+    return V.correct_split_counts(saved_effects(spark, sf), 0.5, 100)
 
 
 @query("v4_split_diagnostics", with_("rpick", **_VALUES) + """

@@ -191,3 +191,55 @@ def test_rule_and_model_hooks(spark, forest_data):
     forest = T.ForestModel(["x"], 2, settings=ForestSettings(2, 3))
     moon = T.policy_correct("moon", df, target, ["x"], 2, 3, 0.8, model=forest).first()
     assert moon.draws == 3 and moon.corrected == pytest.approx(moon.naive - moon.bias)
+
+
+# draw blocks ---------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def count_effects(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{i}", a, int(n), float(rng.binomial(n, 0.1 + 0.01 * a) / n))
+            for i in range(6) for a, n in enumerate(rng.integers(40, 400, 2 + i % 4))]
+    return spark.createDataFrame(rows, "test_id string, arm int, n bigint, effect double")
+
+
+def test_split_arrays_are_the_long_splits(count_effects):
+    long = V.split_values(V.split_counts(count_effects, 0.4, 30), count_effects)
+    want = {(r.test_id, r.split_id): (r.selected_arm, r.est_value, r.eval_value, r.full_winner_value)
+            for r in long.collect()}
+    got = {(r.test_id, i): tuple(v) for r in V.count_split_values(
+        count_effects, 0.4, 30).collect() for i, v in enumerate(r["values"])}
+    assert got == want
+    a = {r.test_id: r for r in V.correct_split(long).collect()}
+    for r in V.correct_split_counts(count_effects, 0.4, 30).collect():
+        for c, v in r.asDict().items():
+            assert v == (pytest.approx(a[r.test_id][c], abs=1e-12) if isinstance(v, float)
+                         else a[r.test_id][c]), c
+
+
+@pytest.mark.parametrize("draws", [7, 100, 230])
+def test_blocks_of_draws(count_effects, draws):
+    blocks = B.count_blocks(count_effects, draws, power=0.8, salt=202).collect()
+    want = {}
+    for b in sorted(blocks, key=lambda b: b.block):
+        e = np.array([np.array(x.clicks) / x.m for x in b.arms])
+        assert all(x.m == max(1, math.floor(x.n ** 0.8)) for x in b.arms)
+        best = e.argmax(0)
+        gap = e.max(0) - np.array([x.original for x in b.arms])[best]
+        scale = math.sqrt(max(1, math.floor(b.n_avg ** 0.8)) / b.n_avg)
+        want.setdefault(b.test_id, []).extend(gap * scale)
+    got = B.correct_counts(count_effects, draws, 0.8).collect()
+    assert len(got) == 6
+    for r in got:
+        x = np.array(want[r.test_id])
+        assert len(x) == draws and r.bias == pytest.approx(x.mean())
+        assert r.bias_sd == pytest.approx(x.std(ddof=1))
+        assert (r.bias_q025, r.bias_q50, r.bias_q975) == pytest.approx(
+            tuple(np.quantile(x, [0.025, 0.5, 0.975])))
+        assert r.corrected == pytest.approx(r.naive - r.bias)
+    one = B.correct_counts(count_effects, 1).collect()
+    assert all(r.bias_sd == 0 and r.bias_q50 == r.bias for r in one)
+
+
+def test_counts_move_arms_not_draws(count_effects):
+    plan = B.correct_counts(count_effects, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "percentile" not in plan
