@@ -1,69 +1,111 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, by counters alone.
 
-percentile() keeps every distinct value of a group in one task.  Here a sketch brackets each
-wanted quantile, all rows outside the brackets are only counted (on the map side), and just
-the few distinct values inside them are ranked.  The answer is exact: a bracket that missed
-its rank raises an error instead of giving a wrong number.
+percentile() keeps every distinct value of a group in one task.  Here a wanted rank is an interval
+of values, at first from a group's least to its greatest.  A pass counts the rows of open
+intervals in bins, where the rows are; the bin that holds the rank is the next interval, from the
+least to the greatest value really in it.  An interval of one value is solved; one with few rows
+is solved by counting its values.  Rows stay where they are: what is exchanged are counters.
 """
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from honestpick.functions.columns import attach_row, col
+from honestpick.functions.lineage import save_table
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """By keys that may be NULL; without keys, the one row of `right` beside every row."""
+    if not keys:
+        return attach_row(left, right)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _bin(v: Column, lo: Column, hi: Column, bins: int, logarithmic: bool) -> Column:
+    """A bin that never falls with v; the ends have bins of their own, so intervals shrink.
+
+    Equal widths suit most values; every other pass takes logarithms around zero, for values that
+    differ by many orders of magnitude.
+    """
+    def place(x):
+        if not logarithmic:
+            return x / 2                # a difference of doubles may overflow
+        scale = F.greatest(F.abs(lo), F.abs(hi)) * 2.0 ** -40
+        return F.signum(x) * F.log1p(F.try_divide(F.abs(x), scale))
+    share = F.try_divide(place(v) - place(lo), place(hi) - place(lo))
+    share = F.when(share.isNull() | F.isnan(share), 0.5).otherwise(share)
+    inner = F.greatest(F.lit(1), F.least(F.lit(bins - 2), F.floor(share * bins)))
+    return F.when(v == lo, 0).when(v == hi, bins - 1).otherwise(inner).cast("int")
 
 
-def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] = (),
-                    accuracy: int = 100_000, name: str = "q") -> DataFrame:
-    """(by..., n, <name> ARRAY<DOUBLE>) with linearly interpolated quantiles; NULLs ignored."""
+def _hits(counts: DataFrame, targets: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The targets with the row of `counts` (by..., _lo, order, _c, _min, _max) they fall in."""
+    run = Window.partitionBy(*by, "_lo").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    upto = counts.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+    at = F.col("_rank") - F.col("_below") - F.col("_before")
+    # _lo is a key on both sides, and never NULL
+    return _join(targets, upto, [*by, "_lo"]).where((at >= 0) & (at < F.col("_c")))
+
+
+def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in one of their group's intervals, with `_lo` and `_hi`."""
+    wanted = targets.groupBy(*by).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_in"))
+    v = F.col("_v")
+    own = F.get(F.filter("_in", lambda x: (x["_lo"] <= v) & (v <= x["_hi"])), F.lit(0))
+    return _join(rows, wanted, by).select(*by, "_v", own.alias("_i")).where(
+        "_i IS NOT NULL").select(*by, "_v", "_i._lo", "_i._hi")
+
+
+def exact_quantiles(df: DataFrame, value, probs: Sequence[float], by: list[str] = (),
+                    name: str = "q", limit: int = 10_000, bins: int = 4_096) -> DataFrame:
+    """(by..., n, <name> ARRAY<DOUBLE>) with linearly interpolated quantiles; NULL and NaN are
+    ignored, a NULL key is a group, a group without values has no row.
+
+    Intervals with up to `limit` rows are solved by counting their values: a setting of the work,
+    not of the result.
+    """
     by = list(by)
-    order = sorted(range(len(probs)), key=lambda i: probs[i])
-    sorted_probs = [float(probs[i]) for i in order]
-    rows = df.select(*by, col(value).cast("double").alias("_v")).where(
+    rows = df.select(*[F.col(f"`{k}`") for k in by], col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    margin = 2.0 / accuracy
-    marks = [m for p in sorted_probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]),
-                                 F.lit(accuracy))
-    brackets = rows.groupBy(*by).agg(sketch.alias("_marks"), F.count(F.lit(1)).alias("_cnt"))
-    if by:
-        joined = rows.alias("r").join(
-            brackets.alias("b"),
-            F.expr(" AND ".join(f"r.`{k}` <=> b.`{k}`" for k in by))
-        ).select(*[f"r.{k}" for k in by], "_v", "_marks", "_cnt")
-    else:
-        joined = attach_row(rows, brackets)
-    slot = F.when(F.lit(False), F.lit(0))
-    for i in range(len(sorted_probs)):
-        lo, hi = F.col("_marks")[2 * i], F.col("_marks")[2 * i + 1]
-        slot = slot.when(F.col("_v") < lo, 2 * i).when(F.col("_v") <= hi, 2 * i + 1)
-    slot = slot.otherwise(2 * len(sorted_probs))
-    counted = (joined.withColumn("_slot", slot)
-               .withColumn("_key", F.when(F.col("_slot") % 2 == 1, F.col("_v")))
-               .groupBy(*by, "_cnt", "_slot", "_key").agg(
-                   F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"),
-                   F.max("_v").alias("_max")))
-    w = Window.partitionBy(*by).orderBy("_slot", "_key").rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(w))
-
-    def at_rank(rank: Column) -> Column:
-        # inside a bracket min = max; a rank next to a bracket is the end of a gap
-        first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-        value = F.when((rank == first) | (F.col("_slot") % 2 == 1), F.col("_min")).when(
-            rank == last, F.col("_max"))
-        return F.max(F.when((rank >= first) & (rank <= last), value))
-
-    picks, values = [], {}
-    for i, p in enumerate(sorted_probs):
-        position = (F.col("_cnt") - 1) * F.lit(p)
-        low = F.floor(position)
-        picks += [at_rank(low).alias(f"_lo{i}"), at_rank(F.ceil(position)).alias(f"_hi{i}")]
-        lo, hi, frac = F.col(f"_lo{i}"), F.col(f"_hi{i}"), position - low
-        exact = F.when(lo.isNull() | hi.isNull(), F.raise_error(
-            F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-        values[order[i]] = exact.otherwise(lo * (1 - frac) + hi * frac)
-    return (ranked.groupBy(*by, "_cnt").agg(*picks)
-            .select(*by, F.col("_cnt").alias("n"),
-                    F.array(*[values[i] for i in range(len(probs))]).alias(name)))
+    position = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in position
+                                       for f in (F.floor, F.ceil)]))
+    targets = save_table(rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .where("_n > 0").select(*by, "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
+                                F.col("_n").alias("_rows"), F.explode(ranks).alias("_rank")))
+    large = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > limit)
+    passes = 0
+    while not (wide := targets.where(large)).isEmpty():
+        near = _inside(rows, wide, by)
+        counts = near.groupBy(*by, "_lo", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins,
+                                               passes % 2 == 1).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        next_ = _hits(counts, wide, by, "_b").select(
+            *by, "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
+            (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_rows"),
+            "_rank")
+        targets = save_table(targets.where(~large).unionByName(next_))
+        passes += 1
+    small = targets.where("_lo < _hi")
+    counts = _inside(rows, small, by).groupBy(*by, "_lo", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    found = _hits(counts, small, by, "_v").select(*by, "_n", "_rank", F.col("_v").alias("_x"))
+    found = found.unionByName(targets.where("_lo = _hi").select(*by, "_n", "_rank",
+                                                                F.col("_lo").alias("_x")))
+    by_rank = found.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(
+        F.struct("_rank", "_x"))).alias("_m"))
+
+    def interpolated(x):
+        low = F.floor(x).cast("bigint")
+        lo, hi = F.col("_m")[low], F.col("_m")[F.ceil(x).cast("bigint")]
+        return lo * (1 - (x - low)) + hi * (x - low)
+    return by_rank.select(*by, F.col("_n").alias("n"),
+                          F.array(*[interpolated(x) for x in position]).alias(name))
 
 
 def exact_median(df: DataFrame, value, by: list[str] = (), name: str = "median") -> DataFrame:

@@ -42,11 +42,40 @@ def test_exact_quantiles_match_numpy(spark, n):
     assert got["h"].q == [1.5] * 7
 
 
-def test_exact_quantiles_coarse_sketch_is_still_exact(spark):
-    x = np.arange(20_000)[::-1] % 7919
-    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(8)
-    got = quantiles.exact_quantiles(df, "v", [0.05, 0.5, 0.95], accuracy=200).first()["q"]
-    assert np.allclose(got, np.quantile(x, [0.05, 0.5, 0.95]))
+@pytest.mark.parametrize("limit, bins", [(0, 8), (30, 16), (10_000, 4_096)])
+def test_exact_quantiles_by_refinement(spark, limit, bins):
+    """Ties, heavy tails, infinities, values that differ in the last bit, any work settings."""
+    rng = np.random.default_rng(1)
+    groups = {"ties": np.arange(3_000)[::-1] % 79 * 1.0, "one": np.full(50, 2.5),
+              "tails": np.exp(rng.normal(0, 60, 900)) * rng.choice([-1, 1], 900),
+              "near": np.repeat([1.0, np.nextafter(1, 2), np.nextafter(1, 0)], 20),
+              "ends": np.array([-np.inf] * 3 + [0.0, 1.0, 2.0] + [np.inf] * 3),
+              "wide": np.array([-1.7e308, -1.0, -5e-324, 0.0, 5e-324, 3.0, 1.7e308]), None: [7.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("no", None)],
+                               "k string, v double").repartition(6)
+    probs = [0.0, 0.125, 0.5, 0.75, 1.0]
+    got = {r.k: (r.n, r.q) for r in quantiles.exact_quantiles(
+        df, "v", probs, ["k"], limit=limit, bins=bins).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        x = np.sort(np.array(x))
+        at = np.array(probs) * (len(x) - 1)
+        lo, hi = x[np.floor(at).astype(int)], x[np.ceil(at).astype(int)]
+        with np.errstate(invalid="ignore"):
+            want = lo * (1 - at % 1) + hi * (at % 1)
+        assert got[k][0] == len(x) and np.allclose(got[k][1], want, rtol=1e-12, atol=0,
+                                                   equal_nan=True), k
+    whole = quantiles.exact_quantiles(df.where("k = 'ties'"), "v", [0.5], limit=limit,
+                                      bins=bins).first()
+    assert whole.q == [float(np.median(groups["ties"]))]
+    assert quantiles.exact_quantiles(df.where("false"), "v", [0.5]).count() == 0
+
+
+def test_quantiles_exchange_counters_only(spark):
+    df = spark.range(50_000).select((F.col("id") % 7).cast("double").alias("v"), F.lit(1).alias("g"))
+    plan = quantiles.exact_quantiles(df, "v", [0.5], ["g"])._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "raise_error" not in text and "SortMergeJoin" not in text
 
 
 @pytest.mark.parametrize("rows_per_bucket", [10, 500_000])
