@@ -84,9 +84,10 @@ def summarize(long: DataFrame) -> DataFrame:
 
     Every test is copied once per grouping, so all groupings share one aggregation.
     """
-    tests = long.select("test_id", "total_impressions").dropDuplicates(["test_id"])
-    quartile = quantile_bin(tests, "total_impressions", 4, name="_quartile").select(
-        "test_id", "_quartile")
+    # both are one row per test and read by every pass of a quantile
+    tests = save_table(long.select("test_id", "total_impressions").dropDuplicates(["test_id"]))
+    quartile = save_table(quantile_bin(tests, "total_impressions", 4, name="_quartile").select(
+        "test_id", "_quartile"))
     groups = F.array(*[F.struct(F.lit(name).alias("group"), value.alias("group_value"))
                        for name, value in [
         ("overall", F.lit("all")), ("split", F.col("split")),
