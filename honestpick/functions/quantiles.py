@@ -43,68 +43,69 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int, logarithmic: bool) -> Col
 
 
 def _hits(counts: DataFrame, targets: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The targets with the row of `counts` (by..., _lo, order, _c, _min, _max) they fall in."""
-    run = Window.partitionBy(*by, "_lo").orderBy(order).rowsBetween(
+    """The targets with the row of `counts` (by..., _q_lo, order, _q_c, _q_min, _q_max) they fall in."""
+    run = Window.partitionBy(*by, "_q_lo").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
-    upto = counts.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
-    at = F.col("_rank") - F.col("_below") - F.col("_before")
-    # _lo is a key on both sides, and never NULL
-    return _join(targets, upto, [*by, "_lo"]).where((at >= 0) & (at < F.col("_c")))
+    upto = counts.withColumn("_q_before", F.coalesce(F.sum("_q_c").over(run), F.lit(0)))
+    at = F.col("_q_rank") - F.col("_q_below") - F.col("_q_before")
+    # _q_lo is a key on both sides, and never NULL
+    return _join(targets, upto, [*by, "_q_lo"]).where((at >= 0) & (at < F.col("_q_c")))
 
 
 def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows in one of their group's intervals, with `_lo` and `_hi`."""
-    wanted = targets.groupBy(*by).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_in"))
-    v = F.col("_v")
-    own = F.get(F.filter("_in", lambda x: (x["_lo"] <= v) & (v <= x["_hi"])), F.lit(0))
-    return _join(rows, wanted, by).select(*by, "_v", own.alias("_i")).where(
-        "_i IS NOT NULL").select(*by, "_v", "_i._lo", "_i._hi")
+    """Rows in one of their group's intervals, with `_q_lo` and `_q_hi`."""
+    wanted = targets.groupBy(*by).agg(F.collect_set(F.struct("_q_lo", "_q_hi")).alias("_q_in"))
+    v = F.col("_q_v")
+    own = F.get(F.filter("_q_in", lambda x: (x["_q_lo"] <= v) & (v <= x["_q_hi"])), F.lit(0))
+    return _join(rows, wanted, by).select(*by, "_q_v", own.alias("_q_i")).where(
+        "_q_i IS NOT NULL").select(*by, "_q_v", "_q_i._q_lo", "_q_i._q_hi")
 
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], by: list[str] = (),
                     name: str = "q", limit: int = 10_000, bins: int = 4_096) -> DataFrame:
     """(by..., n, <name> ARRAY<DOUBLE>) with linearly interpolated quantiles; NULL and NaN are
-    ignored, a NULL key is a group, a group without values has no row.
+    ignored, a NULL key is a group, a group without values has no row.  Columns named _q_... are
+    the function's own.
 
     Intervals with up to `limit` rows are solved by counting their values: a setting of the work,
     not of the result.
     """
     by = list(by)
-    rows = df.select(*[F.col(f"`{k}`") for k in by], col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    position = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    rows = df.select(*[F.col(f"`{k}`") for k in by], col(value).cast("double").alias("_q_v")).where(
+        F.col("_q_v").isNotNull() & ~F.isnan("_q_v"))
+    position = [(F.col("_q_n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in position
                                        for f in (F.floor, F.ceil)]))
     targets = save_table(rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .where("_n > 0").select(*by, "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
-                                F.col("_n").alias("_rows"), F.explode(ranks).alias("_rank")))
-    large = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > limit)
+        F.count(F.lit(1)).alias("_q_n"), F.min("_q_v").alias("_q_lo"), F.max("_q_v").alias("_q_hi"))
+        .where("_q_n > 0").select(*by, "_q_n", "_q_lo", "_q_hi", F.lit(0).cast("bigint").alias("_q_below"),
+                                F.col("_q_n").alias("_q_rows"), F.explode(ranks).alias("_q_rank")))
+    large = (F.col("_q_lo") < F.col("_q_hi")) & (F.col("_q_rows") > limit)
     passes = 0
     while not (wide := targets.where(large)).isEmpty():
         near = _inside(rows, wide, by)
-        counts = near.groupBy(*by, "_lo", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins,
-                                               passes % 2 == 1).alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        next_ = _hits(counts, wide, by, "_b").select(
-            *by, "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-            (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_rows"),
-            "_rank")
+        counts = near.groupBy(*by, "_q_lo", _bin(F.col("_q_v"), F.col("_q_lo"), F.col("_q_hi"), bins,
+                                               passes % 2 == 1).alias("_q_b")).agg(
+            F.count(F.lit(1)).alias("_q_c"), F.min("_q_v").alias("_q_min"), F.max("_q_v").alias("_q_max"))
+        next_ = _hits(counts, wide, by, "_q_b").select(
+            *by, "_q_n", F.col("_q_min").alias("_q_lo"), F.col("_q_max").alias("_q_hi"),
+            (F.col("_q_below") + F.col("_q_before")).alias("_q_below"), F.col("_q_c").alias("_q_rows"),
+            "_q_rank")
         targets = save_table(targets.where(~large).unionByName(next_))
         passes += 1
-    small = targets.where("_lo < _hi")
-    counts = _inside(rows, small, by).groupBy(*by, "_lo", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    found = _hits(counts, small, by, "_v").select(*by, "_n", "_rank", F.col("_v").alias("_x"))
-    found = found.unionByName(targets.where("_lo = _hi").select(*by, "_n", "_rank",
-                                                                F.col("_lo").alias("_x")))
-    by_rank = found.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(
-        F.struct("_rank", "_x"))).alias("_m"))
+    small = targets.where("_q_lo < _q_hi")
+    counts = _inside(rows, small, by).groupBy(*by, "_q_lo", "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+    found = _hits(counts, small, by, "_q_v").select(*by, "_q_n", "_q_rank", F.col("_q_v").alias("_q_x"))
+    found = found.unionByName(targets.where("_q_lo = _q_hi").select(*by, "_q_n", "_q_rank",
+                                                                F.col("_q_lo").alias("_q_x")))
+    by_rank = found.groupBy(*by, "_q_n").agg(F.map_from_entries(F.collect_list(
+        F.struct("_q_rank", "_q_x"))).alias("_q_m"))
 
     def interpolated(x):
         low = F.floor(x).cast("bigint")
-        lo, hi = F.col("_m")[low], F.col("_m")[F.ceil(x).cast("bigint")]
+        lo, hi = F.col("_q_m")[low], F.col("_q_m")[F.ceil(x).cast("bigint")]
         return lo * (1 - (x - low)) + hi * (x - low)
-    return by_rank.select(*by, F.col("_n").alias("n"),
+    return by_rank.select(*by, F.col("_q_n").alias("n"),
                           F.array(*[interpolated(x) for x in position]).alias(name))
 
 

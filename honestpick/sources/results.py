@@ -1,8 +1,10 @@
 """Result tables: resume, merge, replace, catalogues of runs."""
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honestpick.functions.columns import attach_row
 from honestpick.sources.arms import write_estimates
@@ -37,22 +39,49 @@ def pending(tests: DataFrame, done: DataFrame, keys: list[str] = ("test_id",)) -
     return tests.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def run_incremental(tests: DataFrame, estimate, path: str, signature: str,
-                    keys: list[str] = ("test_id",)) -> DataFrame:
-    """Estimates only the tests not yet under `path`, appends them, returns the whole table.
+                    keys: list[str] = ("test_id",), tests_per_slice: int = 10_000) -> DataFrame:
+    """Estimates only the tests not yet under `path`, returns the whole table.
 
-    `estimate` maps the pending rows of `tests` to a DataFrame.
+    `estimate` maps the rows of some pending tests to a DataFrame.  Pending tests are cut into
+    slices by a hash of their keys; a slice's results are written to a folder of their own, and
+    count once the slice is entered in the table of finished ones, after they are whole.  A run
+    that is stopped loses the slice at work; the next run skips the finished ones.
     """
-    spark = tests.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hadoop):
-        done = spark.read.parquet(path)
-        check_signature(done, signature)
-        tests = pending(tests, done, keys)
-    write_estimates(estimate(tests).withColumn("signature", F.lit(signature)), path,
-                    mode="append")
-    return spark.read.parquet(path)
+    spark, keys = tests.sparkSession, list(keys)
+    log = f"{path}/finished"
+
+    def results() -> DataFrame | None:
+        finished = _parquet(spark, log)
+        if finished is None:
+            return None
+        check_signature(finished, signature)
+        # one name per slice
+        return spark.read.parquet(*[f"{path}/slices/{r.slice}" for r in finished.collect()])
+
+    done = results()
+    todo = tests if done is None else pending(tests, done, keys)
+    n = todo.select(*keys).distinct().count()
+    slices, run = -(-n // tests_per_slice), uuid.uuid4().hex
+    part = F.pmod(F.xxhash64(*keys, F.lit(run)), F.lit(max(slices, 1)))
+    for k in range(slices):
+        name = f"{run}-{k}"
+        write_estimates(estimate(todo.where(part == k)).withColumn(
+            "signature", F.lit(signature)), f"{path}/slices/{name}")
+        spark.createDataFrame([(name, signature)], "slice string, signature string").coalesce(
+            1).write.mode("append").parquet(log)
+    done = results()
+    return (estimate(todo).withColumn("signature", F.lit(signature)) if done is None else done)
 
 
 def merge_estimates(base: DataFrame, delta: DataFrame, drop: list[str] = (),

@@ -40,6 +40,33 @@ def test_incremental_resumes_and_refuses(spark):
         SR.run_incremental(tests, estimate, p, "b")
 
 
+def test_incremental_goes_on_after_a_lost_slice(spark):
+    """The estimator dies in its third slice; the first two are not made again."""
+    tests = spark.range(400).select(F.concat(F.lit("t"), "id").alias("test_id"))
+    p, seen, stop = path(spark, "slices"), [], [True]
+
+    def estimate(df):
+        names = {r.test_id for r in df.collect()}
+        if len(seen) == 2 and stop[0]:
+            raise RuntimeError("lost")
+        seen.append(names)
+        return df.withColumn("v", F.length("test_id"))
+    with pytest.raises(RuntimeError, match="lost"):
+        SR.run_incremental(tests, estimate, p, "a", tests_per_slice=80)
+    # a slice whose results were written but not entered does not count
+    tests.limit(3).withColumn("v", F.lit(0)).withColumn("signature", F.lit("a")).write.parquet(
+        f"{p}/slices/not-entered")
+    stop[0] = False
+    out = SR.run_incremental(tests, estimate, p, "a", tests_per_slice=80)
+    assert out.count() == 400 == out.select("test_id").distinct().count()
+    assert sum(map(len, seen)) == 400 and not (seen[0] | seen[1]) & set().union(*seen[2:])
+    assert len(seen) > 4 and out.where("v = 0").isEmpty()
+    n = len(seen)
+    assert SR.run_incremental(tests, estimate, p, "a").count() == 400 and len(seen) == n
+    none = path(spark, "none")
+    assert SR.run_incremental(tests.limit(0), lambda df: df, none, "a").count() == 0
+
+
 def errors(spark, settings, estimators):
     return spark.createDataFrame([(s, e, r, 1.0 * r, 0.5, r - 0.5) for s in settings
                                   for e in estimators for r in range(3)],
