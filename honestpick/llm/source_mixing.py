@@ -68,6 +68,12 @@ def fill(sources: DataFrame, percent: int, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", F.when(above, cap.cast("double")).otherwise(level))
 
 
+def _before(value: str, by: list, order: str) -> Column:
+    """Sum of the rows that come before in the group."""
+    rows = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(rows), F.lit(0))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
         max_epochs: int = 2, seed: int = 0, doc_id: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
@@ -97,11 +103,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
                                       whole.cast("int").alias("copies")).withColumn(
         "rest", goal - F.col("copies") * F.col("source_size")))
 
-    # the digits in which the rest ends, and the words before them
-    order = Window.partitionBy("source").orderBy("digits").rowsBetween(
-        Window.unboundedPreceding, -1)
-    ends = (parts.withColumn("before", F.coalesce(F.sum("part").over(order), F.lit(0)))
-            .withColumnRenamed("source", "_s"))
+    # the digits in which the rest ends, and the words before them: running sums over the first
+    # two digits, then within them, so that no window holds more than 256 rows of a source
+    first = F.substring("digits", 1, 2)
+    heads = parts.groupBy("source", first.alias("_d")).agg(F.sum("part").alias("_p"))
+    heads = save_table(heads.select(F.col("source").alias("_h"), "_d", _before(
+        "_p", ["source"], "_d").alias("_ahead")))
+    ends = parts.withColumn("_within", _before("part", ["source", first], "digits")).join(
+        heads, F.col("source").eqNullSafe(F.col("_h")) & (first == F.col("_d"))).select(
+        F.col("source").alias("_s"), "digits", "part",
+        (F.col("_ahead") + F.col("_within")).alias("before"))
     cut = ends.join(goals.select(F.col("source").alias("_g"), "rest"),
                     F.col("_s").eqNullSafe(F.col("_g"))).where(
         "before < rest AND rest <= before + part").select("_s", "digits", "before")
