@@ -1,27 +1,9 @@
 """Column contracts shared by the operators."""
 
-from pyspark.sql import types as T
-
-ARM_SCHEMA = T.StructType([
-    T.StructField("test_id", T.StringType()),
-    T.StructField("split", T.StringType()),
-    T.StructField("source_row_id", T.LongType()),
-    T.StructField("impressions", T.LongType()),
-    T.StructField("clicks", T.LongType()),
-    T.StructField("rate", T.DoubleType()),
-    T.StructField("first_place", T.BooleanType()),
-    T.StructField("winner", T.BooleanType()),
-    T.StructField("arm_ordinal", T.IntegerType()),
-])
-
 # What an arm-level file must carry before it is prepared (all text, cast later).
 RAW_ARM_COLUMNS = ["test_id", "split", "source_row_id", "impressions", "clicks",
                    "first_place", "winner"]
 
-# Every corrector returns its key columns followed by these.
-ESTIMATE_COLUMNS = ["estimator", "selected_arm", "naive", "corrected", "bias",
-                    "bias_sd", "bias_se", "bias_q025", "bias_q50", "bias_q975", "status"]
-
 # Families in presentation order, all other estimators after them (R21).  A name
 # that ends in * stands for all that begin so.
 ESTIMATOR_FAMILIES = [("none",), ("standard",), ("moon*",), ("bayes_*", "eb_*"),
