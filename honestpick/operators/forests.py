@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
 from honestpick.functions.lineage import save_table
+from honestpick.functions.ranks import spread
 from honestpick.operators.joins import join_null_safe
 
 _NODE = "array<struct<f:int,bin:int,cut:double,value:double,low:double,high:double>>"
@@ -80,6 +81,8 @@ def grow_forests(rows: DataFrame, features: list[str], by: list[str] = (), t: st
     slim = rows.where(F.col(y).isNotNull()).select(
         *dict.fromkeys([*keys, row_key, *([weight] if weight else []), *features]),
         F.col(y).alias("_y"), bins.alias("_b"))
+    # rows are copied for every tree, on every level
+    slim, _ = spread(slim, keys)
     hash_keys = [*by, row_key]
     bagged = (D.with_rate_weights(slim, weight, s.trees, hash_keys, s.seed, "forest", s.fast,
                                   "tree", "_w") if weight else
