@@ -1,8 +1,8 @@
 """Similar documents by Jaccard similarity of word shingles, through a token-group matrix.
 
 Similar documents are first put in groups: each distinct shingle set is compared with the most
-central set that it shares min-hashes with, and joins that leader's group if they are linked.  The
-matrix says which tokens each group's members hold together.  A set is a query against the groups
+central set that it shares min-hashes with, and joins that leader's group if they are linked; those
+left over by a leader that has a group choose again among themselves.  The matrix says which tokens each group's members hold together.  A set is a query against the groups
 of other components: it can be similar to a member only if enough of its tokens are in the
 group's union, so the overlap of query and union bounds every pair at once, and only groups that
 reach the bound are opened.  An opened group's leader is compared first.  A link settles the
@@ -279,18 +279,12 @@ def _with_comp(df: DataFrame, comps: DataFrame, key: str, name: str) -> DataFram
     return df.join(c, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, percent: int,
-          seed: int, known_frequent: int, deal: int = 1_000) -> DataFrame:
-    """(sid, comp) of all sets that have a link."""
-    sets = save_table(named.where("n > 0").groupBy("sid").agg(
-        F.min("t").alias("t"), F.first("n").alias("n"),
-        *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)]))
-    texts = _Texts(rows, sets.select("sid", "t"), size, percent)
+def _leaders(sets: DataFrame) -> DataFrame:
+    """(x, y): each set and the one that it shares most min-hashes with, of those that lead one.
 
-    # groups: each set against the set that it shares most min-hashes with, of those that lead a
-    # min-hash.  The one that shares its min-hashes with most others leads: the middle of a
-    # cluster.  Sums are saved before they are joined with their rows: else both would share one
-    # exchange, which Spark cannot split where a key is frequent.
+    The one that shares its min-hashes with most others leads: the middle of a cluster.  Sums are
+    saved before they are joined with their rows: else both would share one exchange, which
+    Spark cannot split where a key is frequent."""
     keyed = sets.select("sid", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
                         .alias("k", "key"))
     sizes = save_table(keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
@@ -300,8 +294,40 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
         F.max(F.struct("s", "sid")).alias("b")).select("k", "key", "b.s", F.col("b.sid").alias("y")))
     met = shared.join(lead, ["k", "key"]).where("sid <> y").groupBy(
         F.col("sid").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
-    best = met.groupBy("x").agg(F.max(F.struct("c", "s", "y")).alias("b")).select("x", "b.y")
-    first = texts.compare(best)
+    return met.groupBy("x").agg(F.max(F.struct("c", "s", "y")).alias("b")).select("x", "b.y")
+
+
+def _grouped(sets: DataFrame, texts: _Texts) -> DataFrame:
+    """(x, y, nx, ny, both, linked): sets against leaders; no x is linked with two.
+
+    A crowd may meet the leader of a larger crowd that it is not linked with, and hide its own.
+    Such sets choose again among themselves, while a round links one in a hundred of those it
+    looks at: how often changes the groups and the work, never the result."""
+    found = texts.compare(_leaders(sets))
+    done = found
+    while True:
+        linked = save_table(found.where("linked").select("x", "y"))
+        heads = save_table(linked.select("y").distinct())
+        apart = save_table(found.where("NOT linked").join(heads, "y", "left_semi")
+                           .select(F.col("x").alias("sid"))
+                           .join(heads.select(F.col("y").alias("sid")), "sid", "left_anti"))
+        looked, won = apart.count(), linked.count()
+        if not won or 100 * won < looked + won or not looked:
+            return done
+        found = texts.compare(_leaders(sets.join(apart, "sid", "left_semi")))
+        done = save_table(done.join(found.where("linked").select("x"), "x", "left_anti")
+                          .union(found.where("linked")))
+
+
+def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, percent: int,
+          seed: int, known_frequent: int, deal: int = 1_000) -> DataFrame:
+    """(sid, comp) of all sets that have a link."""
+    sets = save_table(named.where("n > 0").groupBy("sid").agg(
+        F.min("t").alias("t"), F.first("n").alias("n"),
+        *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)]))
+    texts = _Texts(rows, sets.select("sid", "t"), size, percent)
+
+    first = _grouped(sets, texts)
     edges = first.where("linked").select("x", "y")
     comps = components(edges)
     # a member has a leader it is linked with, and `extra` tokens that the leader lacks
@@ -335,7 +361,10 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     # partners have at least ceil(percent n / 100) tokens, hence a prefix bound of their l
     opened = save_table(hits.where(F.col("hits") >= 1 + F.floor(F.col("n") * percent / 2000))
                         .select("x", F.col("g").alias("y")))
-    second = texts.compare(opened)
+    # pairs compared above are not compared again
+    met = first.where("NOT linked")
+    second = texts.compare(opened.join(met, ["x", "y"], "left_anti")).union(
+        met.join(opened, ["x", "y"], "left_semi").select("x", "y", "nx", "ny", "both", "linked"))
     edges = edges.union(second.where("linked").select("x", "y"))
     comps2 = components(edges)
 

@@ -184,6 +184,32 @@ def test_jaccard_members_beyond_the_leader(spark):
     assert key(jaccard_join.join(frame(spark, pairs)).collect()) == key(brute.jaccard(pairs))
 
 
+def test_jaccard_crowd_beside_a_larger_one(spark, monkeypatch):
+    """A crowd whose members meet a larger crowd's leader, just below 75 %, gets a group too."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    other = base[:240] + [f"v{i}" for i in range(60)]       # 236 of 356 shingles are shared
+
+    def near(words, i):
+        at = int(rng.integers(0, 230))
+        return " ".join([*words[:at], f"x{i}", *words[at + 1:]])
+
+    pairs = [(i, near(base, i)) for i in range(16)] + [(i, near(other, i)) for i in range(16, 28)]
+    real, found = jaccard_join._grouped, []
+
+    def grouped(*args):
+        found.append(real(*args))
+        return found[-1]
+
+    monkeypatch.setattr(jaccard_join, "_grouped", grouped)
+    got = jaccard_join.join(frame(spark, pairs)).collect()
+    assert key(got) == key(brute.jaccard(pairs))
+    assert {r.component_id for r in got} == {0, 16}
+    rows = found[0].collect()
+    assert len({r.x for r in rows}) == len(rows)            # no set has two leaders
+    assert sum(r.linked for r in rows) >= 24                # both crowds are in groups
+
+
 def test_jaccard_odd_rows(nulls, empty):
     got = jaccard_join.join(nulls).collect()
     assert key(got) == Counter({(None, 0, None): 1, (4, 0, 4): 1, (None, 66, 2): 2,
