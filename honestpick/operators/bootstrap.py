@@ -86,7 +86,8 @@ def index_rows(rows: DataFrame, sizes: DataFrame, draws: int, strata: list[str],
         *strata, *power_key, "draw",
         (D.hash48(keys, seed, salt, fast) % F.col("n")).alias("pos"))
     num = numbered(rows.select(*strata, row_key, *carry), strata[:-1], strata[-1], row_key)
-    return wanted.join(num.select(*strata, "pos", *carry), [*strata, "pos"]).drop("pos")
+    # Spark takes the slots for as few as the sizes they are unfolded from, and would broadcast them
+    return wanted.hint("merge").join(num.select(*strata, "pos", *carry), [*strata, "pos"]).drop("pos")
 
 
 def index_draws(rows: DataFrame, sizes: DataFrame, draws: int, by: list[str] = TEST,
