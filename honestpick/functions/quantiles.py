@@ -4,7 +4,8 @@ percentile() keeps every distinct value of a group in one task.  Here a wanted r
 of values, at first from a group's least to its greatest.  A pass counts the rows of open
 intervals in bins, where the rows are; the bin that holds the rank is the next interval, from the
 least to the greatest value really in it.  An interval of one value is solved; one with few rows
-is solved by counting its values.  Rows stay where they are: what is exchanged are counters.
+is solved by counting its values.  The values are saved once, as all passes read them; rows stay
+where they are: what is exchanged are counters.
 """
 
 from collections.abc import Sequence
@@ -71,8 +72,10 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], by: list[str]
     not of the result.
     """
     by = list(by)
-    rows = df.select(*[F.col(f"`{k}`") for k in by], col(value).cast("double").alias("_q_v")).where(
-        F.col("_q_v").isNotNull() & ~F.isnan("_q_v"))
+    # every pass must meet the same values: a sum of doubles may differ when it is made again
+    rows = save_table(df.select(
+        *[F.col(f"`{k}`") for k in by], col(value).cast("double").alias("_q_v")).where(
+        F.col("_q_v").isNotNull() & ~F.isnan("_q_v")))
     position = [(F.col("_q_n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in position
                                        for f in (F.floor, F.ceil)]))

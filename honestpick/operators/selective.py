@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from honestpick.functions import gauss
+from honestpick.functions.lineage import save_table
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators.effects import TEST
 from honestpick.operators.joins import join_null_safe
@@ -200,6 +201,7 @@ def coverage(df: DataFrame, truth: str, by: list[str], estimate: str = "correcte
     def share(condition):
         return F.coalesce(condition, F.lit(False)).cast("int")
 
+    df = save_table(df.select(*dict.fromkeys([*by, truth, estimate, low, high])))
     error = F.col(estimate) - F.col(truth)
     main = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

@@ -1,8 +1,11 @@
 """Slots that are not broadcast, folded forests, tables read twice, shared medians."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from honestpick.operators import bootstrap as B
+from honestpick.functions.quantiles import exact_quantiles
+from honestpick.operators import bootstrap as B, selective as S
 
 
 def test_slots_are_not_broadcast(spark):
@@ -15,3 +18,26 @@ def test_slots_are_not_broadcast(spark):
     joins = [line for line in text.splitlines() if "Join" in line and "pos" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
     assert plan.count() == 4_000 * 20
+
+
+def unsteady(column):
+    """Values whose last bits differ each time they are made, as sums of doubles may."""
+    made = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    return made(F.col(column).cast("double"))
+
+
+def test_quantiles_of_unsteady_values(spark):
+    df = spark.range(300).select((F.col("id") % 100).alias("g"), F.col("id").alias("v")).select(
+        "g", unsteady("v").alias("v"))
+    got = {r.g: (r.n, r.q[0]) for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert got.keys() == set(range(100))
+    assert all(n == 3 and q is not None and abs(q - (g + 100)) < 1e-6 for g, (n, q) in got.items())
+
+
+def test_coverage_of_unsteady_effects(spark):
+    df = spark.range(60).select((F.col("id") % 20).alias("g"), F.col("id").alias("v")).select(
+        "g", unsteady("v").alias("effect"), F.lit(0.0).alias("truth")).select(
+        "*", (F.col("effect") - 1).alias("ci_low"), (F.col("effect") + 1).alias("ci_high"))
+    got = S.coverage(df, "truth", ["g"], "effect").collect()
+    assert len(got) == 20
+    assert all(abs(r.median_error - (r.g + 20)) < 1e-6 and abs(r.median_width - 2) < 1e-6 for r in got)
