@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from honestpick.functions.quantiles import exact_quantiles
 from honestpick.operators import bootstrap as B, selective as S
+from honestpick.plans import queries_sources as Q, roles as R
+from honestpick.plans.catalog import load_all
 
 
 def test_slots_are_not_broadcast(spark):
@@ -41,3 +43,10 @@ def test_coverage_of_unsteady_effects(spark):
     got = S.coverage(df, "truth", ["g"], "effect").collect()
     assert len(got) == 20
     assert all(abs(r.median_error - (r.g + 20)) < 1e-6 and abs(r.median_width - 2) < 1e-6 for r in got)
+
+
+def test_unchanged_with_unsteady_estimates(spark, monkeypatch):
+    made = R.error_table
+    monkeypatch.setattr(Q, "_errors", lambda *a: made(*a).withColumn("val_est", unsteady("val_est")))
+    row = load_all()["s9b_unchanged"].run(spark, "/root/testdata/sf0.001").first()
+    assert row.unchanged and row.rows_before == row.rows_after > 0
