@@ -71,16 +71,20 @@ def _weight_of(lane: Column, thresholds: list) -> Column:
     return out.otherwise(len(thresholds))
 
 
-def _lanes(keys, seed: int, salt: str, fast: bool) -> Column:
-    """ARRAY of LANES uniform 32-bit values of a hash of keys: numbers, or hex texts of md5."""
-    if fast:
-        h = [F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt)),
-             F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt + "+"))]
-        return F.array(*[F.shiftrightunsigned(h[i // 2], 32) if i % 2 == 0
-                         else h[i // 2].bitwiseAND(F.lit(2 ** 32 - 1)) for i in range(LANES)])
-    h = hash_hex(keys, seed, salt)
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)),
-                       lambda i: F.substr(h, 1 + _LANE_HEX * i, F.lit(_LANE_HEX)))
+def _hashes(keys, seed: int, salt: str, fast: bool) -> Column:
+    """What LANES uniform values are taken from: two numbers, or the hex text of md5."""
+    if not fast:
+        return hash_hex(keys, seed, salt)
+    return F.array(F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt)),
+                   F.xxhash64(*_text(keys), F.lit(seed), F.lit(salt + "+")))
+
+
+def _lanes(h: str, fast: bool) -> list[Column]:
+    """LANES uniform 32-bit values of _hashes(): numbers, or hex texts."""
+    if not fast:
+        return [F.substring(h, 1 + _LANE_HEX * i, _LANE_HEX) for i in range(LANES)]
+    return [F.shiftrightunsigned(F.col(h)[i // 2], 32) if i % 2 == 0
+            else F.col(h)[i // 2].bitwiseAND(F.lit(2 ** 32 - 1)) for i in range(LANES)]
 
 
 def with_poisson_weights(df: DataFrame, draws: int, keys, seed: int, salt: str,
@@ -92,21 +96,11 @@ def with_poisson_weights(df: DataFrame, draws: int, keys, seed: int, salt: str,
     """
     blocks = F.sequence(F.lit(first // LANES), F.lit((draws + LANES - 1) // LANES - 1))
     out = df.withColumn("_block", F.explode(blocks))
-    if fast:
-        cuts = [F.lit(t) for t in poisson_thresholds()]
-        out = out.withColumn("_h", F.array(
-            F.xxhash64(*_text(keys), "_block", F.lit(seed), F.lit(salt)),
-            F.xxhash64(*_text(keys), "_block", F.lit(seed), F.lit(salt + "+"))))
-        lanes = [F.shiftrightunsigned(F.col("_h")[i // 2], 32) if i % 2 == 0
-                 else F.col("_h")[i // 2].bitwiseAND(F.lit(2 ** 32 - 1))
-                 for i in range(LANES)]
-    else:
-        cuts = [F.lit(hex_threshold(t)) for t in poisson_thresholds()]
-        out = out.withColumn("_h", hash_hex([*keys, "_block"], seed, salt))
-        lanes = [F.substring("_h", 1 + _LANE_HEX * i, _LANE_HEX) for i in range(LANES)]
+    cuts = [F.lit(t if fast else hex_threshold(t)) for t in poisson_thresholds()]
+    out = out.withColumn("_h", _hashes([*keys, "_block"], seed, salt, fast))
     pairs = F.array(*[F.struct((F.col("_block") * LANES + i).alias(draw),
                                _weight_of(lane, cuts).alias(weight))
-                      for i, lane in enumerate(lanes)])
+                      for i, lane in enumerate(_lanes("_h", fast))])
     return (out.select(*df.columns, F.explode(pairs).alias("_p"))
             .where((F.col(f"_p.{draw}") >= first) & (F.col(f"_p.{draw}") < draws)
                    & (F.col(f"_p.{weight}") > 0))
@@ -129,22 +123,26 @@ def with_rate_weights(df: DataFrame, rate: str, draws: int, keys, seed: int, sal
     last = F.floor((F.col(rate) - 1) / MAX_RATE)
     tables = [poisson_thresholds(rate=r) for r in range(1, MAX_RATE + 1)]
     blocks = F.sequence(F.lit(0), F.lit((draws + LANES - 1) // LANES - 1))
-    names = ["_part", "_block", "_lane", "_in", "_rate"]
+    # a chain of conditions for all rates would be too long a method for the JVM to compile, so a
+    # table is an array: few of its values decide nearly all lanes, the others count the rest
+    table = F.array(*[F.array(*[F.lit(c if fast else hex_threshold(c)) for c in t]) for t in tables])
+    own = F.least(F.lit(MAX_RATE), F.col(rate) - F.col("_part") * MAX_RATE).cast("int")
     out = (df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
            .withColumn("_block", F.explode(blocks)))
-    out = out.select(*df.columns, "_part", "_block", F.posexplode(_lanes(
-        [*keys, "_part", "_block"], seed, salt, fast)).alias("_in", "_lane")).withColumn(
-        "_rate", F.least(F.lit(MAX_RATE), F.col(rate) - F.col("_part") * MAX_RATE).cast("int"))
-    found = None
-    for k in range(max(map(len, tables))):
-        cuts = [t[k] if k < len(t) else 2 ** 32 for t in tables]
-        # the end of a table is above every lane
-        cut = F.element_at(F.array(*[F.lit(c if fast else hex_threshold(c) if c < 2 ** 32 else "g")
-                                     for c in cuts]), F.col("_rate"))
-        found = (F.when if found is None else found.when)(F.col("_lane") < cut, k)
-    return out.select(*df.columns, (F.col("_block") * LANES + F.col("_in")).alias(draw),
-                      found.otherwise(max(map(len, tables))).alias(weight)).where(
-        (F.col(draw) < draws) & (F.col(weight) > 0)).drop(*names)
+    out = out.select(*df.columns, "_block", F.get(table, own - 1).alias("_t"),
+                     _hashes([*keys, "_part", "_block"], seed, salt, fast).alias("_h"))
+
+    def weight_of(lane):
+        found = F.when(lane < F.col("_t")[0], 0)
+        for k in range(1, 4):
+            found = found.when(lane < F.col("_t")[k], k)
+        return found.otherwise(F.size(F.filter("_t", lambda c: c <= lane)))
+    pairs = F.array(*[F.struct((F.col("_block") * LANES + i).alias(draw),
+                               weight_of(lane).alias(weight))
+                      for i, lane in enumerate(_lanes("_h", fast))])
+    return (out.select(*df.columns, F.explode(pairs).alias("_p"))
+            .where((F.col(f"_p.{draw}") < draws) & (F.col(f"_p.{weight}") > 0))
+            .select(*df.columns, f"_p.{draw}", f"_p.{weight}"))
 
 
 def poisson_rate_weight(u: Column, rate: Column, terms: int = 12) -> Column:

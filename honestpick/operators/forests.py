@@ -1,20 +1,24 @@
 """Regression forests grown level by level, all of them at once.
 
 A tree is a key (by..., t, tree): trees of all draws, treatments and tree numbers grow together,
-one aggregate per level.  Rows send sums per (tree, node, feature, bin), folded where the rows
-are; windows over those sums find each node's best cut.  Finished levels are arrays in heap order,
-a few numbers per tree, which the rows of the next level walk down.
+one aggregate per level.  Growing only needs a row's bins, so where their combinations are few the
+rows are weighed once and folded to sums per (tree, combination), and the levels read these sums.
+Else rows send sums per (tree, node, feature, bin) on every level, folded where the rows are.
+Windows over the sums find each node's best cut.  Finished levels are arrays in heap order, a few
+numbers per tree, which the next level walks down.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from honestpick.functions import draws as D
 from honestpick.functions.lineage import save_table
-from honestpick.functions.ranks import spread
 from honestpick.operators.joins import join_null_safe
 
+FOLDED = 10_000      # combinations of bins up to which rows are folded to them
+
 _NODE = "array<struct<f:int,bin:int,cut:double,value:double,low:double,high:double>>"
 
 
@@ -33,17 +37,25 @@ def candidate_cuts(rows: DataFrame, features: list[str], max_bins: int) -> list[
 
     A fixed number of values comes to the driver, whatever the table's size.
     """
+    return _cuts_and_tasks(rows, features, max_bins)[0]
+
+
+def _cuts_and_tasks(rows: DataFrame, features: list[str], max_bins: int
+                    ) -> tuple[list[list[float]], int]:
+    """candidate_cuts(), and in how many tasks the rows came."""
     fine = 4 * max_bins
     ranks = F.array(*[F.lit(i / fine) for i in range(1, fine + 1)])
-    found = rows.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(
-        F.col(f).cast("double"), ranks, F.lit(100 * fine)))).alias(f"_{i}")
-        for i, f in enumerate(features)]).first()
+    slim = rows.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)],
+                       F.spark_partition_id().alias("_task"))
+    *found, last = slim.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(
+        f"_{i}", ranks, F.lit(100 * fine)))).alias(f"_c{i}") for i in range(len(features))],
+        F.max("_task")).first()
     cuts = []
     for values in found:
         values = values or []
         step = max(1, -(-len(values) // max_bins))
         cuts.append(values[step - 1::step])
-    return cuts
+    return cuts, (last or 0) + 1
 
 
 def _bin(x: Column, cuts: list[float]) -> Column:
@@ -52,13 +64,14 @@ def _bin(x: Column, cuts: list[float]) -> Column:
                            lambda c: c < x))
 
 
-def _walk(nodes: Column, values: list[Column], depth: int) -> Column:
-    """Heap index of the node where a row ends up; a missing value goes to the low side."""
-    x = F.array(*[v.cast("double") for v in values])
+def _walk(nodes: Column, x: Column, depth: int, cut: str = "cut") -> Column:
+    """Heap index of the node where a row ends up; a missing value goes to the low side.
 
+    `x` holds the values of the features, or their bins with `cut` "bin".
+    """
     def step(at, _):
         node = F.get(nodes, at)
-        high = F.coalesce(F.get(x, node["f"]) > node["cut"], F.lit(False))
+        high = F.coalesce(F.get(x, node["f"]) > node[cut], F.lit(False))
         return F.when(node["f"].isNull(), at).otherwise(2 * at + 1 + high.cast("int"))
     if depth == 0:
         return F.lit(0)
@@ -76,25 +89,36 @@ def grow_forests(rows: DataFrame, features: list[str], by: list[str] = (), t: st
     """
     s, by = settings, list(by)
     keys = [*by, t]
-    cuts = candidate_cuts(rows, features, s.max_bins)
-    bins = F.array(*[_bin(F.col(f), cut) for f, cut in zip(features, cuts, strict=True)])
+    cuts, tasks = _cuts_and_tasks(rows, features, s.max_bins)
+    bins = [_bin(F.col(f), cut) for f, cut in zip(features, cuts, strict=True)]
+    counts = [len(cut) + 1 for cut in cuts]
+    folds = math.prod(counts) <= FOLDED
+    # one number stands for a combination of bins
+    steps = [math.prod(counts[:i]) for i in range(len(counts))]
+    code = sum((b * step for b, step in zip(bins, steps)), F.lit(0)) if folds else F.array(*bins)
     slim = rows.where(F.col(y).isNotNull()).select(
-        *dict.fromkeys([*keys, row_key, *([weight] if weight else []), *features]),
-        F.col(y).alias("_y"), bins.alias("_b"))
-    # rows are copied for every tree, on every level
-    slim, _ = spread(slim, keys)
+        *dict.fromkeys([*keys, row_key, *([weight] if weight else [])]), F.col(y).alias("_y"),
+        code.alias("_b"))
+    # rows are copied for every tree
+    if tasks < (cores := rows.sparkSession.sparkContext.defaultParallelism):
+        slim = save_table(slim.repartition(cores))
     hash_keys = [*by, row_key]
     bagged = (D.with_rate_weights(slim, weight, s.trees, hash_keys, s.seed, "forest", s.fast,
                                   "tree", "_w") if weight else
               D.with_poisson_weights(slim, s.trees, hash_keys, s.seed, "forest", s.fast,
                                      "tree", "_w"))
     model = [*keys, "tree"]
+    bagged = bagged.select(*model, "_b", "_w", (F.col("_w") * F.col("_y")).alias("_s"))
+    if folds:
+        decoded = [(F.floor(F.col("_b") / step) % n).cast("int") for step, n in zip(steps, counts)]
+        bagged = save_table(bagged.groupBy(*model, "_b").agg(
+            F.sum("_w").alias("_w"), F.sum("_s").alias("_s"))).withColumn("_b", F.array(*decoded))
     grown = None
     for level in range(s.depth):
         first, size = 2 ** level - 1, 2 ** level
         at = (bagged.withColumn("_node", F.lit(0)) if grown is None else
               join_null_safe(bagged, grown, model, "inner").withColumn(
-                  "_node", _walk(F.col("nodes"), [F.col(f) for f in features], level))
+                  "_node", _walk(F.col("nodes"), F.col("_b"), level, "bin"))
               .where(F.col("_node") >= first))
         found = _best_cuts(at, model, cuts, s)
         if grown is not None:
@@ -110,9 +134,8 @@ def grow_forests(rows: DataFrame, features: list[str], by: list[str] = (), t: st
 def _best_cuts(at: DataFrame, model: list[str], cuts, s: ForestSettings) -> DataFrame:
     """(model..., _m: node -> struct) from the rows' nodes and bins."""
     node = [*model, "_node"]
-    sums = at.select(*node, "_w", "_y", F.posexplode("_b").alias("f", "bin")).groupBy(
-        *node, "f", "bin").agg(F.sum("_w").cast("double").alias("n"),
-                               F.sum(F.col("_w") * F.col("_y")).alias("s"))
+    sums = at.select(*node, "_w", "_s", F.posexplode("_b").alias("f", "bin")).groupBy(
+        *node, "f", "bin").agg(F.sum("_w").cast("double").alias("n"), F.sum("_s").alias("s"))
     whole = Window.partitionBy(*node, "f")
     run = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     n, total, low, low_n = (F.sum("n").over(whole), F.sum("s").over(whole), F.sum("s").over(run),
@@ -156,7 +179,7 @@ def _with_leaves(grown: DataFrame, model: list[str], depth: int) -> DataFrame:
 
 
 def _stumps(bagged: DataFrame, model: list[str]) -> DataFrame:
-    mean = F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")
+    mean = F.sum("_s") / F.sum("_w")
     return bagged.groupBy(*model).agg(F.array(F.struct(
         F.lit(None).cast("int").alias("f"), F.lit(None).cast("double").alias("cut"),
         mean.alias("value"))).alias("nodes"))
@@ -164,8 +187,8 @@ def _stumps(bagged: DataFrame, model: list[str]) -> DataFrame:
 
 def forest_value(trees: Column, features: list[str], depth: int) -> Column:
     """Mean of the trees' values for a row; `trees` is an array of node arrays."""
-    values = [F.col(f) for f in features]
-    leaves = F.transform(trees, lambda nodes: F.get(nodes, _walk(nodes, values, depth))["value"])
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    leaves = F.transform(trees, lambda nodes: F.get(nodes, _walk(nodes, x, depth))["value"])
     return F.aggregate(leaves, F.lit(0.0), lambda a, x: a + x) / F.size(trees)
 
 

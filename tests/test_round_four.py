@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from honestpick.functions import draws as D
 from honestpick.functions.quantiles import exact_quantiles
-from honestpick.operators import bootstrap as B, selective as S
+from honestpick.operators import bootstrap as B, forests, selective as S
 from honestpick.plans import queries_sources as Q, roles as R
 from honestpick.plans.catalog import load_all
 
@@ -50,3 +51,44 @@ def test_unchanged_with_unsteady_estimates(spark, monkeypatch):
     monkeypatch.setattr(Q, "_errors", lambda *a: made(*a).withColumn("val_est", unsteady("val_est")))
     row = load_all()["s9b_unchanged"].run(spark, "/root/testdata/sf0.001").first()
     assert row.unchanged and row.rows_before == row.rows_after > 0
+
+
+def test_rate_weights_compile_to_short_methods(spark):
+    """A chain of conditions for every rate's table is a method that the JVM never compiles."""
+    df = spark.range(100).select("id", (1 + F.col("id") % 20).alias("r"))
+    text = D.with_rate_weights(df, "r", 4, ["id"], 5, "x")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < text.count("WHEN") <= 4 * D.LANES
+
+
+def unfolded(spark):
+    return spark.range(800).select(
+        F.col("id").alias("row_id"), (1 + F.col("id") % 2).alias("t"), (F.col("id") * 7 % 31).alias("x"),
+        F.when(F.col("id") % 9 > 0, F.col("id") * 5 % 11).alias("z")).withColumn(
+        "y", F.when(F.col("x") > 12, 3.0).otherwise(1.0) + F.coalesce("z", F.lit(4)) / 8
+        + F.col("row_id") % 17 / 64)
+
+
+def test_folded_forests_are_the_same(spark, monkeypatch):
+    """Two features, one with missing values: sums per combination of bins, and rows as they are."""
+    grown = []
+    for limit in (10_000, 0):
+        monkeypatch.setattr(forests, "FOLDED", limit)
+        got = forests.grow_forests(unfolded(spark), ["x", "z"],
+                                   settings=forests.ForestSettings(depth=3, trees=3)).collect()
+        grown.append({(r.t, r.tree): [n and (n.f, n.cut, n.value and round(n.value, 9)) for n in r.nodes]
+                      for r in got})
+    assert grown[0] == grown[1] and len(grown[0]) == 6
+
+
+def test_forests_weigh_rows_once(spark, monkeypatch):
+    """Levels read sums of bins: the rows are weighed and hashed once, not on every level."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(keys, *args, made=D.hash_hex):
+        def mark(v):
+            seen.add(1)
+            return v
+        return F.udf(mark, "string").asNondeterministic()(made(keys, *args))
+    monkeypatch.setattr(D, "hash_hex", counted)
+    forests.grow_forests(unfolded(spark), ["x"], settings=forests.ForestSettings(depth=3, trees=4))
+    assert seen.value == 800
