@@ -123,7 +123,7 @@ def with_rate_weights(df: DataFrame, rate: str, draws: int, keys, seed: int, sal
     last = F.floor((F.col(rate) - 1) / MAX_RATE)
     tables = [poisson_thresholds(rate=r) for r in range(1, MAX_RATE + 1)]
     blocks = F.sequence(F.lit(0), F.lit((draws + LANES - 1) // LANES - 1))
-    # a chain of conditions for all rates would be too long a method for the JVM to compile, so a
+    # a chain of conditions for all rates is long and was slow, so a
     # table is an array: few of its values decide nearly all lanes, the others count the rest
     table = F.array(*[F.array(*[F.lit(c if fast else hex_threshold(c)) for c in t]) for t in tables])
     own = F.least(F.lit(MAX_RATE), F.col(rate) - F.col("_part") * MAX_RATE).cast("int")
