@@ -8,12 +8,17 @@ group's union, so the overlap of query and union bounds every pair at once, and
 reach the bound are opened.  An opened group's leader is compared first.  A link settles the
 group, as all its members are linked with the leader.  Else the overlap with a member is at most
 that with the leader plus the member's tokens that the leader lacks, and only members for which
-this is enough are compared.
+this is enough, and that a token brings together with the query, are compared.
 
 The matrix holds prefixes only: tokens are put in one order for all documents (rare before
-frequent ones), and of n tokens the first n - ceil(t n) + l are kept, with l = 1 + n // 20.  Two
-sets with similarity t or more share at least the smaller l of their prefixes, so no link is
-lost.  The order needs no exact counts: the most frequent tokens found by counting within lots
+frequent ones).  All that two sets share comes at or after the first token they share, so its
+place tells how large a partner the set can be linked with (`reach`).  The larger set of a link is
+the query and the smaller one the member: a query keeps tokens that reach 75 % of its size, the
+matrix those that reach the member's own size, and a token brings the two together only where
+each reaches the other.  No link is lost, as its first shared token does.  Near copies of one text
+that are too far from it to be linked begin with tokens of their own, beyond which they reach
+nothing of their size, so a crowd of them meets its centre but not each other.  The order needs no
+exact counts: the most frequent tokens found by counting within lots
 of documents go last, at most `known_frequent` of them (8 bytes each are sent to every task);
 which tokens these are changes the work, never the result.
 
@@ -42,7 +47,13 @@ def ceil_share(n, percent: int):
 
 
 def prefix_length(n, percent: int):
-    return np.minimum(n, n - ceil_share(n, percent) + 1 + n // 20)
+    """Tokens of a set of n whose place leaves percent of it: a link's first shared one is there."""
+    return np.minimum(n, n - ceil_share(n, percent) + 1)
+
+
+def reach(n, place, percent: int):
+    """The most tokens of a set linked with one of n that shares no token before `place`."""
+    return (100 + percent) * (n - place) // percent - n
 
 
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +145,7 @@ def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 4):
 
 def _prefixes(size: int, seed: int, percent: int, frequent: np.ndarray, counts: np.ndarray,
               deal: int):
-    """Rows (token, salt, sid, n): prefixes of the distinct sets of a task.
+    """Rows (token, salt, sid, n, reach): prefixes of the distinct sets of a task.
 
     Tokens in more than `deal` sets get a salt, by which they are dealt to several tasks."""
     by_count = np.argsort(counts, kind="stable")
@@ -168,11 +179,12 @@ def _prefixes(size: int, seed: int, percent: int, frequent: np.ndarray, counts:
                 left = np.where(fresh, n, 0)
                 place = np.arange(len(doc)) - (np.cumsum(left) - left)[doc]
                 keep = place < prefix_length(n, percent)[doc]
-                doc = doc[keep]
+                doc, place = doc[keep], place[keep]
                 yield pa.RecordBatch.from_arrays(
                     [_signed(token[keep]), pa.array(salts[keep].astype(np.int32)),
-                     _signed(name[doc]), pa.array(n[doc].astype(np.int32))],
-                    ["token", "salt", "sid", "n"])
+                     _signed(name[doc]), pa.array(n[doc].astype(np.int64)),
+                     pa.array(reach(n[doc], place, percent).astype(np.int64))],
+                    ["token", "salt", "sid", "n", "reach"])
     return run
 
 
@@ -282,16 +294,18 @@ def _with_comp(df: DataFrame, comps: DataFrame, key: str, name: str) -> DataFram
 def _leaders(sets: DataFrame) -> DataFrame:
     """(x, y): each set and the one that it shares most min-hashes with, of those that lead one.
 
-    The one that shares its min-hashes with most others leads: the middle of a cluster.  Sums are
+    The one with most of its prefix in other sets too leads (`common`), then the one that shares
+    its min-hashes with most others: the middle of a cluster.  Sums are
     saved before they are joined with their rows: else both would share one exchange, which
     Spark cannot split where a key is frequent."""
-    keyed = sets.select("sid", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
+    keyed = sets.select("sid", "common", F.posexplode(F.array(*[f"key{k}" for k in range(KEYS)]))
                         .alias("k", "key"))
     sizes = save_table(keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     shared = save_table(keyed.join(sizes, ["k", "key"]))
     central = save_table(shared.groupBy("sid").agg(F.sum("c").alias("s")))
     lead = save_table(shared.join(central, "sid").groupBy("k", "key").agg(
-        F.max(F.struct("s", "sid")).alias("b")).select("k", "key", "b.s", F.col("b.sid").alias("y")))
+        F.max(F.struct("common", "s", "sid")).alias("b")).select(
+            "k", "key", F.struct("b.common", "b.s").alias("s"), F.col("b.sid").alias("y")))
     met = shared.join(lead, ["k", "key"]).where("sid <> y").groupBy(
         F.col("sid").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
     return met.groupBy("x").agg(F.max(F.struct("c", "s", "y")).alias("b")).select("x", "b.y")
@@ -327,40 +341,49 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
         *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)]))
     texts = _Texts(rows, sets.select("sid", "t"), size, percent)
 
-    first = _grouped(sets, texts)
-    edges = first.where("linked").select("x", "y")
-    comps = components(edges)
-    # a member has a leader it is linked with, and `extra` tokens that the leader lacks
-    member = first.where("linked").select(F.col("x").alias("sid"), F.col("y").alias("g"),
-                                          (F.col("nx") - F.col("both")).alias("extra"))
-
-    # the matrix, as far as tokens are in several components
+    # prefixes, as far as tokens are in several sets
     top = frequent.groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(
         F.desc("docs"), "token").limit(known_frequent).toArrow()    # a few bytes each, bounded
     token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     prefixes = rows.select("text").mapInArrow(
         _prefixes(size, seed, percent, token[order], top["docs"].to_numpy()[order], deal),
-        "token bigint, salt int, sid bigint, n int")
+        "token bigint, salt int, sid bigint, n bigint, reach bigint")
     same = Window.partitionBy("token", "salt")
-    live = (prefixes.withColumn("lo", F.min("sid").over(same))
-            .withColumn("hi", F.max("sid").over(same)).where("salt > 0 OR lo < hi")
-            .select("token", "sid", "n").distinct())
-    live = save_table(_with_comp(save_table(live), comps, "sid", "comp"))
+    shared = save_table(
+        prefixes.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same))
+        .withColumn("held", F.max(F.expr("reach >= n")).over(same) | (F.col("salt") > 0))
+        .where("salt > 0 OR lo < hi").select("token", "salt", "sid", "n", "reach", "held")
+        .distinct().drop("salt"))
+    # a set without a token that another one holds in the matrix has no link
+    common = shared.groupBy("sid").agg(
+        (F.count(F.lit(1)) / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1))
+        .alias("common"), F.max("held").alias("held")).where("held").select("sid", "common")
+    first = _grouped(save_table(sets.join(common, "sid").drop("t", "n")), texts)
+    edges = first.where("linked").select("x", "y")
+    comps = components(edges)
+    # a member has a leader it is linked with, and `extra` tokens that the leader lacks
+    member = first.where("linked").select(F.col("x").alias("sid"), F.col("y").alias("g"),
+                                          (F.col("nx") - F.col("both")).alias("extra"))
+
+    # the matrix, as far as tokens are in several components
+    placed = save_table(comps.join(member.select("sid", "g"), "sid", "left"))
+    live = save_table(shared.where("held").drop("held").join(placed, "sid", "left").withColumns(
+        {"comp": F.coalesce("comp", "sid"), "g": F.coalesce("g", "sid")}))
     several = save_table(live.groupBy("token").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-    live = live.join(several, "token").join(member.select("sid", "g"), "sid", "left")
-    live = save_table(live.withColumn("g", F.coalesce("g", "sid")))
-    matrix = save_table(live.groupBy("token", "g").agg(
-        F.first("comp").alias("gc"), F.min("n").alias("least"), F.max("n").alias("most")))
-
-    # queries against groups: enough of the query's tokens in the union, and sizes that fit
-    hits = live.select("token", F.col("sid").alias("x"), "n", "comp").join(matrix, "token").where(
-        f"comp <> gc AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least").groupBy(
-        "x", "g").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-    # partners have at least ceil(percent n / 100) tokens, hence a prefix bound of their l
-    opened = save_table(hits.where(F.col("hits") >= 1 + F.floor(F.col("n") * percent / 2000))
-                        .select("x", F.col("g").alias("y")))
+    live = save_table(live.join(several, "token"))
+    held = live.where("reach >= n")
+    matrix = save_table(held.groupBy("token", "g").agg(
+        F.first("comp").alias("gc"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max("reach").alias("far")))
+
+    # queries against groups: tokens that can be the first ones shared with a member
+    hits = save_table(live.select("token", F.col("sid").alias("x"), "n", "reach", "comp").join(
+        matrix, "token").where(
+        f"comp <> gc AND n >= least AND reach >= least AND far >= n AND 100 * most >= {percent} * n")
+        .select("x", "g", "token", "n", "reach"))
+    opened = save_table(hits.select("x", F.col("g").alias("y")).distinct())
     # pairs compared above are not compared again
     met = first.where("NOT linked")
     second = texts.compare(opened.join(met, ["x", "y"], "left_anti")).union(
@@ -371,11 +394,14 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     # groups still apart: a member y shares at most what the leader shares and what y has besides
     apart = _with_comp(_with_comp(second.where("NOT linked"), comps2, "x", "cx"), comps2, "y", "cy")
     apart = apart.where("cx <> cy").select("x", F.col("y").alias("g"), "nx", "both")
-    members = member.join(sets.select("sid", "n"), "sid").select(
-        "g", F.col("sid").alias("y"), F.col("n").alias("ny"), "extra")
-    rest = save_table(apart).join(save_table(members), "g").where(
-        f"x <> y AND {100 + percent} * (both + extra) >= {percent} * (nx + ny) "
-        f"AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    inside = held.where("sid <> g").select("token", "g", F.col("sid").alias("y"),
+                                           F.col("n").alias("ny"), F.col("reach").alias("far"))
+    rest = save_table(apart).join(hits.select("x", "g", "token", "reach"), ["x", "g"])
+    rest = save_table(rest).join(save_table(inside), ["token", "g"]).where(
+        f"nx >= ny AND reach >= ny AND far >= nx AND 100 * ny >= {percent} * nx").select(
+        "x", "y", "nx", "ny", "both").distinct()
+    rest = rest.join(member.select(F.col("sid").alias("y"), "extra"), "y").where(
+        f"{100 + percent} * (both + extra) >= {percent} * (nx + ny)")
     third = texts.compare(rest.select("x", "y").distinct())
     return components(edges.union(third.where("linked").select("x", "y")))
 

@@ -210,6 +210,31 @@ def test_jaccard_crowd_beside_a_larger_one(spark, monkeypatch):
     assert sum(r.linked for r in rows) >= 24                # both crowds are in groups
 
 
+def test_jaccard_far_copies_of_one_text_do_not_meet_each_other(spark, monkeypatch):
+    """Copies below 75 % of their text, with its words in all of them, are not paired."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+
+    def near(i, changes):
+        w = list(base)
+        for j in rng.choice(150, changes, replace=False):
+            w[j] = f"x{i}y{j}"
+        return " ".join(w)
+
+    pairs = [(0, " ".join(base))] + [(i, near(i, 2)) for i in range(1, 31)]
+    pairs += [(i, near(i, 9)) for i in range(31, 91)]
+    real, compared = jaccard_join._Texts.compare, []
+
+    def compare(self, pairs):
+        compared.append(pairs.count())
+        return real(self, pairs)
+
+    monkeypatch.setattr(jaccard_join._Texts, "compare", compare)
+    got = jaccard_join.join(frame(spark, pairs)).collect()
+    assert key(got) == key(brute.jaccard(pairs))
+    assert sum(compared) <= 4 * len(pairs)
+
+
 def test_jaccard_odd_rows(nulls, empty):
     got = jaccard_join.join(nulls).collect()
     assert key(got) == Counter({(None, 0, None): 1, (4, 0, 4): 1, (None, 66, 2): 2,
