@@ -69,6 +69,16 @@ def prefix_bucket(df: DataFrame, by: list[str], c: str) -> Column:
         length = 2 * length or 1
 
 
+def hex_digits(df: DataFrame, by: list[str], most: int | None = None) -> int:
+    """Leading hex digits that cut the largest group's uniform hashes into buckets of `most`."""
+    most = ROWS_PER_BUCKET if most is None else most
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    digits = 0
+    while (largest or 0) / 16 ** digits > most:
+        digits += 1
+    return digits
+
+
 def spread(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
     """(rows for work that copies each of them, size of the largest group).
 
