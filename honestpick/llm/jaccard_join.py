@@ -22,9 +22,14 @@ exact counts: the most frequent tokens found by counting within lots
 of documents go last, at most `known_frequent` of them (8 bytes each are sent to every task);
 which tokens these are changes the work, never the result.
 
+Most pairs to compare are settled by signatures: bit i of a set's tells whether an odd number of
+its tokens fall on i, so sets differ in at least as many tokens as their signatures in bits, which
+bounds what they share (`most_shared`).  A pair that may be linked by that bound is compared by its
+texts; only these texts move.
+
 Tokens and sets are known by 64-bit hashes; two sets with one name are found by a second hash, and
 then all names are made anew.  Frequent tokens are dealt to several tasks; sums and minima are
-combined before shuffles; texts move only for pairs to compare.
+combined before shuffles.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from honestpick.llm.text import Hashed, WordHashes, lots, mix
 
 KEYS = 8
 _FILTER_BITS = 25
+_FEW = 20_000           # names of texts that are sent to every task as they are
 _HASHES = WordHashes()
 
 
@@ -98,21 +104,49 @@ def set_names(doc: np.ndarray, token: np.ndarray, n_docs: int, seed: int):
                                                       for k in range(KEYS)]
 
 
+def signatures(doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each set of n tokens, 2 n bits at least: a bit is 1 if it is met by an odd number of them.
+
+    The number of bits is a power of two, so the halves of a signature, one xor the other, are the
+    signature of half as many bits."""
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    ends = np.cumsum(bits)
+    at = (ends - bits)[doc] + (token & (bits - 1).astype(np.uint64)[doc]).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd.astype(np.uint8),
+                                                              bitorder="little"))])
+
+
+def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """No fewer than the tokens shared by sets of na and nb tokens with signatures a and b."""
+    x, y = (int.from_bytes(v, "little") for v in (a, b))
+    if len(a) < len(b):
+        a, b, x, y = b, a, y, x
+    bits = 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return min(na, nb, (na + nb - (x ^ y).bit_count()) // 2)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_NAMED = ["doc_id", "t", "n", "sid", "second", *[f"key{k}" for k in range(KEYS)], "token", "docs"]
+_NAMED = ["doc_id", "t", "n", "sid", "second", *[f"key{k}" for k in range(KEYS)], "sig", "token",
+          "docs"]
 
 
-def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 4):
+def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 2):
     """One row per document with its set's names, and rows of tokens that are frequent in a lot
     of documents (with the number of distinct sets there)."""
     def frequent(doc_type, tokens):
         token, count = np.unique(np.concatenate(tokens), return_counts=True)
         token, count = token[count >= at_least], count[count >= at_least]
-        nulls = [pa.nulls(len(token), doc_type if c == "doc_id" else pa.int64())
-                 for c in _NAMED[:-2]]
+        kinds = {"doc_id": doc_type, "sig": pa.binary()}
+        nulls = [pa.nulls(len(token), kinds.get(c, pa.int64())) for c in _NAMED[:-2]]
         return pa.RecordBatch.from_arrays(
             [*nulls, _signed(token), pa.array(count.astype(np.int64))], _NAMED)
 
@@ -134,7 +168,8 @@ def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 4):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                      pa.array(n), _signed(name), _signed(second), *map(_signed, keys),
-                     pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int64())], _NAMED)
+                     signatures(doc, token, n), pa.nulls(hi - lo, pa.int64()),
+                     pa.nulls(hi - lo, pa.int64())], _NAMED)
                 if held >= lot:
                     yield frequent(kind, tokens)
                     tokens, held = [], 0
@@ -188,6 +223,18 @@ def _prefixes(size: int, seed: int, percent: int, frequent: np.ndarray, counts:
     return run
 
 
+_SIFTED = ["x", "y", "tx", "ty", "nx", "ny", "both"]
+
+
+def _sift(batches):
+    """Pairs with the sizes of their sets and the most that they can share, by signatures."""
+    for batch in batches:
+        most = [most_shared(*row) for row in zip(*(batch.column(c).to_pylist() for c in (
+            "sx", "sy", "nx", "ny")), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in _SIFTED[:-1]), pa.array(most, pa.int64())], _SIFTED)
+
+
 def _fetch(bits: np.ndarray):
     """(t, text) of texts whose hash may be wanted, each once in a task."""
     def run(batches):
@@ -230,36 +277,55 @@ def _compare(size: int):
 
 
 class _Texts:
-    """Texts of the sets that pairs name, and their comparison."""
-
-    def __init__(self, rows: DataFrame, places: DataFrame, size: int, percent: int):
-        self.rows, self.places, self.size, self.percent = rows, places, size, percent
+    """Signatures and texts of the sets that pairs name, and their comparison."""
+
+    def __init__(self, rows: DataFrame, sets: DataFrame, size: int, percent: int):
+        self.rows, self.sets, self.size, self.percent = rows, sets, size, percent
+
+    def _moved(self, named: DataFrame) -> DataFrame:
+        """(t, text), saved: each text named in a row (t) once."""
+        if named.count() <= _FEW:
+            near = self.rows.select("t", "text").join(F.broadcast(named), "t")
+        else:
+            # a bit filter of a fixed four megabytes keeps most other texts from moving
+            slot = F.col("t").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+            # (bucket b and position p of the bitmap functions stand for the number
+            # 32768 (b - 1) + p + 1)
+            found = (named.select((slot + 1).alias("s")).groupBy(
+                F.bitmap_bucket_number("s").alias("b")).agg(
+                F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))).collect()
+            bits = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
+            for r in found:
+                part = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+                at = (r["b"] - 1) * 4096
+                bits[at:at + len(part)] = part
+            near = self.rows.select("t", "text").mapInArrow(_fetch(bits), "t bigint, text string")
+            near = near.join(named, "t")
+        return save_table(near.groupBy("t").agg(F.first("text").alias("text")))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, nx, ny, both, linked), saved, for distinct pairs (x, y) of sids."""
+        """(x, y, nx, ny, both, linked), saved, for distinct pairs (x, y) of sids.
+
+        both is exact for linked pairs, else what they share at most."""
         pairs = save_table(pairs)
-        named = save_table(pairs.select(F.col("x").alias("sid")).union(pairs.select("y"))
-                           .distinct().join(self.places, "sid"))
-        # a bit filter of a fixed four megabytes keeps most other texts from moving
-        slot = F.col("t").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-        # (bucket b and position p of the bitmap functions stand for the number 32768 (b - 1) + p + 1)
-        found = (named.select((slot + 1).alias("s")).groupBy(
-            F.bitmap_bucket_number("s").alias("b")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))).collect()
-        bits = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
-        for r in found:
-            part = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-            at = (r["b"] - 1) * 4096
-            bits[at:at + len(part)] = part
-        near = self.rows.select("t", "text").mapInArrow(_fetch(bits), "t bigint, text string")
-        texts = save_table(near.join(named, "t").groupBy("sid").agg(F.first("text").alias("text")))
-        both = (pairs.join(texts.withColumnRenamed("sid", "x").withColumnRenamed(
-            "text", "text_x"), "x").join(texts.withColumnRenamed("sid", "y").withColumnRenamed(
-                "text", "text_y"), "y"))
-        found = both.mapInArrow(_compare(self.size),
-                                "x bigint, y bigint, nx bigint, ny bigint, both bigint")
-        return save_table(found.withColumn("linked", F.expr(
-            f"100 * both >= {self.percent} * (nx + ny - both)")))
+        named = save_table(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct())
+        sets = save_table(self.sets.join(named, "sid"))
+        x, y = (sets.select(F.col("sid").alias(k), F.col("t").alias(f"t{k}"),
+                            F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "xy")
+        sifted = save_table(pairs.join(x, "x").join(y, "y").mapInArrow(
+            _sift, ", ".join(f"{c} bigint" for c in _SIFTED)))
+        enough = f"{100 + self.percent} * both >= {self.percent} * (nx + ny)"
+        near = sifted.where(enough)
+        named = save_table(near.select(F.col("tx").alias("t")).union(near.select("ty")).distinct())
+        done = sifted.where(f"NOT ({enough})").select("x", "y", "nx", "ny", "both")
+        if not named.isEmpty():
+            texts = self._moved(named)
+            both = near.select("x", "y", "tx", "ty").join(
+                texts.select(F.col("t").alias("tx"), F.col("text").alias("text_x")), "tx").join(
+                texts.select(F.col("t").alias("ty"), F.col("text").alias("text_y")), "ty")
+            done = done.union(both.select("x", "y", "text_x", "text_y").mapInArrow(
+                _compare(self.size), "x bigint, y bigint, nx bigint, ny bigint, both bigint"))
+        return save_table(done.withColumn("linked", F.expr(enough)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,8 +404,8 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     """(sid, comp) of all sets that have a link."""
     sets = save_table(named.where("n > 0").groupBy("sid").agg(
         F.min("t").alias("t"), F.first("n").alias("n"),
-        *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)]))
-    texts = _Texts(rows, sets.select("sid", "t"), size, percent)
+        *[F.first(c).alias(c) for c in (*[f"key{k}" for k in range(KEYS)], "sig")]))
+    texts = _Texts(rows, sets.select("sid", "t", "n", "sig"), size, percent)
 
     # prefixes, as far as tokens are in several sets
     top = frequent.groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(
@@ -359,11 +425,12 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     common = shared.groupBy("sid").agg(
         (F.count(F.lit(1)) / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1))
         .alias("common"), F.max("held").alias("held")).where("held").select("sid", "common")
-    first = _grouped(save_table(sets.join(common, "sid").drop("t", "n")), texts)
+    first = _grouped(save_table(sets.join(common, "sid").drop("t", "n", "sig")), texts)
     edges = first.where("linked").select("x", "y")
     comps = components(edges)
     # a member has a leader it is linked with, and `extra` tokens that the leader lacks
     member = first.where("linked").select(F.col("x").alias("sid"), F.col("y").alias("g"),
+                                          F.col("nx").alias("ny"),
                                           (F.col("nx") - F.col("both")).alias("extra"))
 
     # the matrix, as far as tokens are in several components
@@ -394,6 +461,11 @@ def links(rows: DataFrame, named: DataFrame, frequent: DataFrame, size: int, per
     # groups still apart: a member y shares at most what the leader shares and what y has besides
     apart = _with_comp(_with_comp(second.where("NOT linked"), comps2, "x", "cx"), comps2, "y", "cy")
     apart = apart.where("cx <> cy").select("x", F.col("y").alias("g"), "nx", "both")
+    # (the most that any member adds to the bound below; groups of one have none)
+    more = member.groupBy("g").agg(
+        F.max(F.expr(f"{100 + percent} * extra - {percent} * ny")).alias("more"))
+    apart = apart.join(more, "g").where(f"{100 + percent} * both + more >= {percent} * nx").drop(
+        "more")
     inside = held.where("sid <> g").select("token", "g", F.col("sid").alias("y"),
                                            F.col("n").alias("ny"), F.col("reach").alias("far"))
     rest = save_table(apart).join(hits.select("x", "g", "token", "reach"), ["x", "g"])
@@ -413,7 +485,7 @@ def judged(docs: DataFrame, size: int, percent: int, doc_id: str, text: str,
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("t"),
                        body.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    longs = ", ".join(f"{c} bigint" for c in _NAMED[1:])
+    longs = ", ".join(f"{c} {'binary' if c == 'sig' else 'bigint'}" for c in _NAMED[1:])
     for seed in range(8):
         found = save_table(rows.mapInArrow(_name(size, seed), f"doc_id {kind}, {longs}"))
         named = found.where("token IS NULL").drop("token", "docs")

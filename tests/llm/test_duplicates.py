@@ -235,6 +235,70 @@ def test_jaccard_far_copies_of_one_text_do_not_meet_each_other(spark, monkeypatc
     assert sum(compared) <= 4 * len(pairs)
 
 
+def test_jaccard_signatures_bound_what_sets_share():
+    """Never less than two sets share, whatever their sizes; close for sets that are nearly linked."""
+    r = np.random.default_rng(4)
+    for _ in range(500):
+        na, nb = (int(x) for x in r.integers(1, 900, 2))
+        both = int(r.integers(0, min(na, nb) + 1))
+        pool = r.integers(0, 2 ** 63, na + nb).astype(np.uint64)
+        token = np.concatenate([pool[:na], pool[:both], pool[na:na + nb - both]])
+        a, none, b = jaccard_join.signatures(np.repeat([0, 1, 2], [na, 0, nb]), token,
+                                             np.array([na, 0, nb])).to_pylist()
+        most = jaccard_join.most_shared(a, b, na, nb)
+        assert both <= most == jaccard_join.most_shared(b, a, nb, na)
+        assert jaccard_join.most_shared(a, none, na, 0) == 0
+        if 100 * both >= 70 * (na + nb - both):
+            assert most - both <= 8 + (na + nb) // 20
+
+
+def saved(monkeypatch):
+    """[(columns, rows)] of the tables that the join saves."""
+    real, out = jaccard_join.save_table, []
+
+    def save(df):
+        df = real(df)
+        out.append((df.columns, df.count()))
+        return df
+
+    monkeypatch.setattr(jaccard_join, "save_table", save)
+    return out
+
+
+def test_jaccard_moves_no_texts_of_sets_far_apart(spark, monkeypatch):
+    """Sets that share a third are met, but neither their texts nor their tokens are looked up."""
+    passage = [f"p{i}" for i in range(100)]
+    pairs = [(i, " ".join([f"d{i}w{j}" for j in range(100)] + passage)) for i in range(40)]
+    pairs += [(50, pairs[0][1] + " end"), (51, pairs[7][1] + " end")]
+    tables = saved(monkeypatch)
+    got = jaccard_join.join(frame(spark, pairs), known_frequent=0).collect()
+    assert key(got) == key(brute.jaccard(pairs))
+    assert sum(n for c, n in tables if "text" in c) == 4
+    assert sum(n for c, n in tables if c == ["x", "g", "nx", "both"]) < 10
+
+
+def test_jaccard_few_far_copies_do_not_meet(spark, monkeypatch):
+    """Words of three far copies of a text come after the copies' own."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for b in range(12):
+        for i in range(3):
+            w = [f"b{b}w{j}" for j in range(150)]
+            for j in rng.choice(150, 9, replace=False):
+                w[j] = f"b{b}x{i}y{j}"
+            pairs.append((3 * b + i, " ".join(w)))
+    tables = saved(monkeypatch)
+    got = jaccard_join.join(frame(spark, pairs, 1)).collect()
+    assert key(got) == key(brute.jaccard(pairs))
+    assert sum(n for c, n in tables if c[:3] == ["x", "g", "token"]) < 40
+
+
+def test_jaccard_looks_texts_up_by_filter_too(docs, rows, monkeypatch):
+    """With more names than are sent to every task."""
+    monkeypatch.setattr(jaccard_join, "_FEW", 0)
+    assert key(jaccard_join.join(docs).collect()) == key(brute.jaccard(rows))
+
+
 def test_jaccard_odd_rows(nulls, empty):
     got = jaccard_join.join(nulls).collect()
     assert key(got) == Counter({(None, 0, None): 1, (4, 0, 4): 1, (None, 66, 2): 2,
