@@ -36,10 +36,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from honestpick.functions.lineage import save_table
-from honestpick.llm.text import Hashed, WordHashes, lots, mix
+from honestpick.llm.text import Hashed, WordHashes, mix
 
 KEYS = 8
 _FILTER_BITS = 25
@@ -47,6 +48,22 @@ _FEW = 20_000           # names of texts that are sent to every task as they are
 _HASHES = WordHashes()
 
 
+def _let_go() -> None:
+    """Gives back the memory that a worker would else hold until its next task."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def _lots(column: pa.Array):
+    """(first, end, texts) of about a million bytes of text each."""
+    sizes = np.array(pc.fill_null(pc.binary_length(column), 0))
+    lot = (np.cumsum(sizes, dtype=np.int64) - sizes) // 1_000_000
+    at = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(lot)]
+    for lo, hi in zip(at, at[1:]):
+        if lo < hi:
+            yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+
+
 def ceil_share(n, percent: int):
     """ceil(n * percent / 100) in whole numbers."""
     return -(-n * percent // 100)
@@ -141,22 +158,27 @@ _NAMED = ["doc_id", "t", "n", "sid", "second", *[f"key{k}" for k in range(KEYS)]
 
 def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 2):
     """One row per document with its set's names, and rows of tokens that are frequent in a lot
-    of documents (with the number of distinct sets there)."""
+    of documents (with the number of distinct sets there); at_least: 2 or more."""
     def frequent(doc_type, tokens):
-        token, count = np.unique(np.concatenate(tokens), return_counts=True)
+        held = np.concatenate(tokens)
+        tokens.clear()
+        held.sort()
+        token = np.unique(held[1:][held[1:] == held[:-1]])      # little room: most are met once
+        count = np.searchsorted(held, token, "right") - np.searchsorted(held, token)
         token, count = token[count >= at_least], count[count >= at_least]
         kinds = {"doc_id": doc_type, "sig": pa.binary()}
-        nulls = [pa.nulls(len(token), kinds.get(c, pa.int64())) for c in _NAMED[:-2]]
-        return pa.RecordBatch.from_arrays(
-            [*nulls, _signed(token), pa.array(count.astype(np.int64))], _NAMED)
+        for lo in range(0, len(token), 20_000):     # the nulls beside them take room, too
+            t, n = token[lo:lo + 20_000], count[lo:lo + 20_000]
+            nulls = [pa.nulls(len(t), kinds.get(c, pa.int64())) for c in _NAMED[:-2]]
+            yield pa.RecordBatch.from_arrays(
+                [*nulls, _signed(t), pa.array(n.astype(np.int64))], _NAMED)
 
     def run(batches):
         seen, tokens, held, kind = set(), [], 0, None
         for batch in batches:
             kind = batch.column(0).type
-            texts = batch.column(2).to_pylist()
-            for lo, hi in lots(texts):
-                doc, token = shingle_sets(texts[lo:hi], size)
+            for lo, hi, texts in _lots(batch.column(2)):
+                doc, token = shingle_sets(texts, size)
                 n, name, second, keys = set_names(doc, token, hi - lo, seed)
                 fresh = np.zeros(hi - lo, dtype=bool)
                 for i, s in enumerate(name.tolist()):
@@ -171,10 +193,11 @@ def _name(size: int, seed: int, lot: int = 4_000_000, at_least: int = 2):
                      signatures(doc, token, n), pa.nulls(hi - lo, pa.int64()),
                      pa.nulls(hi - lo, pa.int64())], _NAMED)
                 if held >= lot:
-                    yield frequent(kind, tokens)
+                    yield from frequent(kind, tokens)
                     tokens, held = [], 0
         if held:
-            yield frequent(kind, tokens)
+            yield from frequent(kind, tokens)
+        _let_go()
     return run
 
 
@@ -190,9 +213,8 @@ def _prefixes(size: int, seed: int, percent: int, frequent: np.ndarray, counts:
     def run(batches):
         seen = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in lots(texts):
-                doc, token = shingle_sets(texts[lo:hi], size)
+            for lo, hi, texts in _lots(batch.column(0)):
+                doc, token = shingle_sets(texts, size)
                 n, name, _, _ = set_names(doc, token, hi - lo, seed)
                 fresh = np.zeros(hi - lo, dtype=bool)
                 for i, s in enumerate(name.tolist()):
@@ -220,6 +242,7 @@ def _prefixes(size: int, seed: int, percent: int, frequent: np.ndarray, counts:
                      _signed(name[doc]), pa.array(n[doc].astype(np.int64)),
                      pa.array(reach(n[doc], place, percent).astype(np.int64))],
                     ["token", "salt", "sid", "n", "reach"])
+        _let_go()
     return run
 
 
@@ -273,6 +296,7 @@ def _compare(size: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("x"), batch.column("y"), *[pa.array(c, pa.int64()) for c in cols]],
                 ["x", "y", "nx", "ny", "both"])
+        _let_go()
     return run
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,16 @@ def test_jaccard_looks_texts_up_by_filter_too(docs, rows, monkeypatch):
     assert key(jaccard_join.join(docs).collect()) == key(brute.jaccard(rows))
 
 
+def test_jaccard_lots_of_text_are_small():
+    """A worker holds about a million bytes of text as strings, whatever the batch."""
+    texts = ["x" * 400_000, None, "", "y" * 2_500_000, "é" * 600_000, "w"] * 2
+    got = list(jaccard_join._lots(pa.array(texts)))
+    assert [t for _, _, part in got for t in part] == texts
+    assert [(lo, hi) for lo, hi, _ in got] == [(lo, lo + len(part)) for lo, _, part in got]
+    assert all(sum(len((t or "").encode()) for t in part[:-1]) <= 1_000_000 for *_, part in got)
+    assert not list(jaccard_join._lots(pa.array([], pa.string())))
+
+
 def test_jaccard_odd_rows(nulls, empty):
     got = jaccard_join.join(nulls).collect()
     assert key(got) == Counter({(None, 0, None): 1, (4, 0, 4): 1, (None, 66, 2): 2,
